@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hydrorisk.functions.scalars import local_day, name_tokens, round_decimal, safe_double
+from hydrorisk.functions.scalars import (
+    by_district,
+    by_province,
+    local_day,
+    name_tokens,
+    round_decimal,
+    safe_double,
+)
 from hydrorisk.operators import quality
 from hydrorisk.operators.panel import with_backfill, with_registry
-from hydrorisk.plans.register import query, scaled, scaled_list, scaled_sql
+from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
 from hydrorisk.plans.stand_ins import (
     NATION_RAIN_SQL,
     NATION_REGISTRY_SQL,
@@ -140,21 +147,18 @@ def hourly_documents_to_daily(spark, sf_dir):
 
 
 @query(
-    """WITH means AS (
-      SELECT CAST(user_id AS VARCHAR) AS division, CAST(ts AS DATE) AS date,
-             CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total, COUNT(value) AS n
-      FROM events GROUP BY 1, 2)
-    SELECT division, date,
-           CAST(round_even(CAST(total AS DOUBLE) / n * 1e4, 0) AS BIGINT) AS value
-    FROM means WHERE n > 0"""
+    f"""WITH daily AS (SELECT CAST(user_id AS VARCHAR) AS division, CAST(ts AS DATE) AS date,
+                    AVG(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT division, date, {scaled_sql("value", factor=TIE_FREE)} FROM daily"""
 )
 def readings_to_daily(spark, sf_dir):
-    """Daily means of the event readings, rounded to four digits as landed data is."""
+    """Unrounded daily means of the event readings."""
+    day = local_day(F.col("ts").cast("string"))
     readings = table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias(DIVISION), local_day(F.col("ts").cast("string")).alias(DATE), "value"
+        F.col("user_id").cast("string").alias(DIVISION), day.alias(DATE), "value"
     )
-    daily = documents.hourly_to_daily(readings, ["value"])
-    return daily.select(DIVISION, DATE, scaled("value", 4))
+    daily = documents.hourly_to_daily(readings, ["value"], digits=None)
+    return daily.select(DIVISION, DATE, scaled("value", factor=TIE_FREE))
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS division FROM embeddings WHERE label = 0")
@@ -263,8 +267,6 @@ def registry_dimension(spark, sf_dir):
     SELECT 'province', id FROM registry WHERE lower(province) = 'asia'"""
 )
 def registry_lookup(spark, sf_dir):
-    from hydrorisk.functions.scalars import by_district, by_province
-
     registry = station_registry(spark, sf_dir)
     found = by_district(registry, "Nation_3").select(F.lit("district").alias("level"), "id")
     return found.unionByName(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from hydrorisk.functions import scalars
 from hydrorisk.operators import panel as ops
 from hydrorisk.operators import splits
-from hydrorisk.operators.windows import antecedent_rain, over_rows
 from hydrorisk.operators.spi import long_sums
-from hydrorisk.plans.register import query, scaled, scaled_list, scaled_sql
+from hydrorisk.operators.windows import antecedent_rain, over_rows
+from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
 from hydrorisk.plans.stand_ins import (
     NATION_SQL,
     STATION_SQL,
@@ -127,11 +127,11 @@ _MEANS = [*MEASURES, "soil_moisture_avg"]
     averaged AS (
       SELECT *, list_avg([soil_moisture_7_to_28cm, soil_moisture_28_to_100cm,
                           soil_moisture_100_to_255cm]) AS soil_moisture_avg FROM means)
-    SELECT division, year_month, {scaled_list(_MEANS, 7)} FROM averaged"""
+    SELECT division, year_month, {scaled_list(_MEANS, factor=TIE_FREE)} FROM averaged"""
 )
 def monthly_means(spark, sf_dir):
     means = ops.monthly_means(nation_panel(spark, sf_dir))
-    return means.select(DIVISION, "year_month", *[scaled(m, 7) for m in _MEANS])
+    return means.select(DIVISION, "year_month", *[scaled(m, factor=TIE_FREE) for m in _MEANS])
 
 
 @query(
@@ -176,10 +176,10 @@ def local_days(spark, sf_dir):
 
 
 @query(
-    f"""WITH {NATION_SQL}
-    SELECT date, division,
-           {scaled_sql("CASE WHEN rain_sum IS NOT NULL THEN greatest(1.5, least(rain_sum, 40.0)) END", "clipped")}
-    FROM panel"""
+    f"""WITH {NATION_SQL},
+    clipped AS (SELECT *, CASE WHEN rain_sum IS NOT NULL
+                          THEN greatest(1.5, least(rain_sum, 40.0)) END AS clipped FROM panel)
+    SELECT date, division, {scaled_sql("clipped")} FROM clipped"""
 )
 def clipped_rain(spark, sf_dir):
     panel = nation_panel(spark, sf_dir)
@@ -187,8 +187,9 @@ def clipped_rain(spark, sf_dir):
 
 
 @query(
-    f"""WITH {STATION_SQL}, {"encoder AS (SELECT division, CAST(row_number() OVER (ORDER BY division) - 1 AS INTEGER) AS division_encoded FROM (SELECT DISTINCT division FROM panel))"}
-    SELECT division, division_encoded FROM encoder"""
+    f"""WITH {STATION_SQL}
+    SELECT division, CAST(row_number() OVER (ORDER BY division) - 1 AS INTEGER) AS division_encoded
+    FROM (SELECT DISTINCT division FROM panel)"""
 )
 def division_encoder(spark, sf_dir):
     return ops.fit_division_encoder(station_panel(spark, sf_dir))

@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrorisk.functions import severity
-from hydrorisk.functions.scalars import month_start, severity_name, severity_ordinal
+from hydrorisk.functions.scalars import (
+    month_start,
+    round_half_even,
+    severity_name,
+    severity_ordinal,
+)
 from hydrorisk.operators import forecast, metrics, quality, spi
 from hydrorisk.operators.panel import balanced_weights, panel_features, with_class_weight
 from hydrorisk.operators.splits import split_tail, split_temporal
 from hydrorisk.plans import spi_sql as sql
 from hydrorisk.plans.features import feature_matrix
 from hydrorisk.plans.panel_queries import _ANTECEDENT_SQL, _LONG_SQL
-from hydrorisk.plans.register import query, scaled, scaled_list, scaled_sql
+from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
 from hydrorisk.plans.stand_ins import (
     NATION_SQL,
     STATION_SQL,
@@ -48,20 +53,24 @@ _PARAMS_SQL = (
 )
 
 
+_STATISTICS = ["q", "mean", "mean_log"]
+
+
 @query(
-    f"""WITH {STATION_SQL}
-    SELECT division, COUNT(rain_sum) AS n,
-           {scaled_sql("AVG(CASE WHEN rain_sum = 0 THEN 1.0 ELSE 0.0 END)", "q")},
-           {scaled_sql("AVG(CASE WHEN rain_sum > 0 THEN rain_sum END)", "mean")},
-           {scaled_sql("AVG(CASE WHEN rain_sum > 0 THEN ln(rain_sum) END)", "mean_log")}
-    FROM panel GROUP BY division"""
+    f"""WITH {STATION_SQL},
+    stats AS (SELECT division, COUNT(rain_sum) AS n,
+                     AVG(CASE WHEN rain_sum = 0 THEN 1.0 ELSE 0.0 END) AS q,
+                     AVG(CASE WHEN rain_sum > 0 THEN rain_sum END) AS mean,
+                     AVG(CASE WHEN rain_sum > 0 THEN ln(rain_sum) END) AS mean_log
+              FROM panel GROUP BY division)
+    SELECT division, n, {scaled_list(_STATISTICS, factor=TIE_FREE)} FROM stats"""
 )
 def gamma_statistics(spark, sf_dir):
     stats = spi.gamma_stats(station_panel(spark, sf_dir), [RAIN])
     return stats.select(
         DIVISION,
         F.col(f"{RAIN}_n").alias("n"),
-        *[scaled(f"{RAIN}_{c}", 6, c) for c in ("q", "mean", "mean_log")],
+        *[scaled(f"{RAIN}_{c}", name=c, factor=TIE_FREE) for c in _STATISTICS],
     )
 
 
@@ -155,8 +164,6 @@ indexed AS (SELECT *, round_even(spi_raw * 1000, 0) / 1000 AS spi FROM raw)"""
 
 def _short_index(spark, sf_dir):
     """Stations with the 30-row index, 3 digits, as ``spi``: it reaches every class."""
-    from hydrorisk.functions.scalars import round_half_even
-
     rows = spi.spi_window(_stations(spark, sf_dir), [30])
     return rows.withColumn("spi", round_half_even(F.col("spi_30d"), 3)).drop("spi_30d")
 
@@ -213,8 +220,6 @@ def hazard_class_distribution(spark, sf_dir):
     FROM indexed"""
 )
 def planned_rule_labels(spark, sf_dir):
-    from hydrorisk.functions.scalars import round_half_even
-
     rows = spi.spi_window(panel_features(_stations(spark, sf_dir)), [30, 90])
     rows = rows.withColumns({c: round_half_even(F.col(c), 3) for c in ("spi_30d", "spi_90d")})
     for rule in (severity.flood_rule_v0, severity.drought_rule_v0, severity.landslide_rule_v0):

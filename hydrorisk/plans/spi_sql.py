@@ -62,7 +62,7 @@ def fit_sql(source: str, value: str, fit: str) -> str:
   UNION ALL
   SELECT division, s, a - (ln(a) - {_digamma("a")} - s) / (1 / a - {_trigamma("a")}), step + 1
   FROM {fit}_newton WHERE step < 12),
-{fit} AS (
+{fit} AS MATERIALIZED (
   SELECT t.division, t.n, t.q, w.a AS alpha, t.m / w.a AS beta
   FROM {fit}_stats t LEFT JOIN {fit}_newton w ON w.division = t.division AND w.step = 12)"""
 
@@ -75,11 +75,11 @@ def score_sql(source: str, value: str, fit: str, scored: str, index: str) -> str
         f" exp((alpha + k) * ln({value} / beta) - {value} / beta - lgamma(alpha + k + 1))))) END"
     )
     return f"""
-{scored}_mixed AS (
+{scored}_mixed AS MATERIALIZED (
   SELECT s.*, greatest(0.0001, least(0.9999, q + (1 - q) * ({cdf}))) AS _p,
          alpha IS NULL OR {value} IS NULL AS _missing
   FROM {source} s LEFT JOIN {fit} f ON f.division = s.division),
-{scored} AS (
+{scored} AS MATERIALIZED (
   SELECT * EXCLUDE (_p, _missing),
          CASE WHEN NOT _missing THEN {_probit("_p")} END AS {index}
   FROM {scored}_mixed)"""

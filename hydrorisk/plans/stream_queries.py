@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hydrorisk.plans.panel_queries import _ANTECEDENT, _ANTECEDENT_SQL
-from hydrorisk.plans.register import query, scaled, scaled_list, scaled_sql
+from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
 from hydrorisk.plans.stand_ins import STATION_SQL, station_panel
 from hydrorisk.schemas import DATE, DIVISION, KEY, RAIN
 from hydrorisk.session import settle, shared_path
@@ -32,7 +32,7 @@ def run_to_end(stream, name):
     f"""WITH daily AS (
       SELECT CAST(user_id AS VARCHAR) AS division, CAST(ts AS DATE) AS date, AVG(value) AS value
       FROM events WHERE value IS NOT NULL GROUP BY 1, 2)
-    SELECT division, date, {scaled_sql('value')} FROM daily
+    SELECT division, date, {scaled_sql('value', factor=TIE_FREE)} FROM daily
     WHERE date + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY"""
 )
 def streamed_daily_means(spark, sf_dir):
@@ -44,7 +44,7 @@ def streamed_daily_means(spark, sf_dir):
         .select(F.col("user_id").cast("string").alias(DIVISION), "ts", "value")
     )
     daily = run_to_end(stream_daily_means(readings, ["value"]), "daily-stream")
-    return daily.select(DIVISION, DATE, scaled("value"))
+    return daily.select(DIVISION, DATE, scaled("value", factor=TIE_FREE))
 
 
 @query(

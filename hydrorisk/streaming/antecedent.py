@@ -29,12 +29,14 @@ def _extend(
     remembered ones are held. A day at or before the last remembered one is
     emitted with what the memory still knows, and remembered if recent enough.
     """
-    days, rain = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
-    known = pd.DataFrame({DATE: days, RAIN: pd.Series(rain, dtype=float), "_new": False})
-    parts = [known] + [f[[DATE, RAIN]].assign(_new=True) for f in frames]
-    rows = pd.concat([p for p in parts if len(p)], ignore_index=True)
+    arrived = [f[[DATE, RAIN]].astype({RAIN: float}).assign(_new=True) for f in frames]
+    if state.exists:
+        days, rain = state.get
+        known = pd.DataFrame({DATE: days, RAIN: pd.Series(rain, dtype=float), "_new": False})
+        arrived.insert(0, known)
+    rows = pd.concat(arrived, ignore_index=True)
     rows = rows.sort_values(DATE, kind="stable").reset_index(drop=True)
-    series = rows[RAIN].astype(float)
+    series = rows[RAIN]
     result = pd.DataFrame(
         {
             DIVISION: key[0],
