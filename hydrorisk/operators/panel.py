@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hydrorisk.functions.scalars import month_cyclic, month_start, row_mean
 from hydrorisk.operators.windows import antecedent_rain, over_rows, running_total
 from hydrorisk.schemas import DATE, DIVISION, KEY, MEASURES, SOIL
+from hydrorisk.session import settle
 
 
 def assemble_panel(rain: DataFrame, temperature: DataFrame, soil: DataFrame) -> DataFrame:
@@ -75,10 +76,11 @@ def distinct_divisions(df: DataFrame) -> DataFrame:
 
 
 def fit_division_encoder(df: DataFrame) -> DataFrame:
-    """division → 0-based code in name order, as a table."""
+    """division → 0-based code in name order, as a stored table of known size."""
     names = df.select(DIVISION).distinct().filter(F.col(DIVISION).isNotNull())
     coded = running_total(names.withColumn("_one", F.lit(1)), [DIVISION], "_one", "_nth")
-    return coded.select(DIVISION, (F.col("_nth") - 1).cast("int").alias("division_encoded"))
+    codes = coded.select(DIVISION, (F.col("_nth") - 1).cast("int").alias("division_encoded"))
+    return settle(codes, "encoder")
 
 
 def known_divisions(df: DataFrame, encoder: DataFrame) -> DataFrame:
@@ -88,13 +90,14 @@ def known_divisions(df: DataFrame, encoder: DataFrame) -> DataFrame:
 
 def encode_division(df: DataFrame, encoder: DataFrame) -> DataFrame:
     """Attach the integer code; rows of unknown divisions are left out."""
-    return df.join(encoder.select(DIVISION, "division_encoded"), DIVISION)
+    coded = df.join(encoder.select(DIVISION, "division_encoded"), DIVISION)
+    return coded.select(*df.columns, "division_encoded")
 
 
 def with_registry(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Attach district and province."""
     places = registry.select(F.col("id").alias(DIVISION), "district", "province")
-    return df.join(places, DIVISION)
+    return df.join(places, DIVISION).select(*df.columns, "district", "province")
 
 
 def balanced_weights(df: DataFrame, target: str) -> DataFrame:
@@ -115,4 +118,5 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, weights: DataFrame, target: str) -> DataFrame:
     """Attach each row's class weight; the weights have one row per class (four at most)."""
-    return df.join(F.broadcast(weights.select(target, "class_weight")), target)
+    weighted = df.join(F.broadcast(weights.select(target, "class_weight")), target)
+    return weighted.select(*df.columns, "class_weight")

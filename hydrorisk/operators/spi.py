@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hydrorisk.functions.gamma import gamma_shape, spi_score
 from hydrorisk.functions.scalars import no_nan, round_half_even
-from hydrorisk.operators.windows import over_rows, rolling_sum
+from hydrorisk.operators.windows import over_rows, rolling_sums
 from hydrorisk.schemas import DIVISION, RAIN
 from hydrorisk.session import settle
 
@@ -58,8 +58,9 @@ def fit_spi(df: DataFrame, columns: list[str], by: str = DIVISION) -> DataFrame:
 def apply_spi_params(df: DataFrame, params: DataFrame, by: str = DIVISION) -> DataFrame:
     """Attach the fitted parameters.
 
-    No broadcast hint: the planner broadcasts the parameters when their measured
-    size allows it, and otherwise splits a skewed division of the panel side.
+    No broadcast hint: stored parameters have a known size, so the planner
+    broadcasts them while they are small, without shuffling the panel, and
+    otherwise joins by division and splits a skewed one.
     """
     return df.join(params, by, "left")
 
@@ -79,9 +80,14 @@ def transform_spi(
     return scored.select(*df.columns, *outputs.values())
 
 
+def store_fit(df: DataFrame, columns: list[str], by: str = DIVISION) -> DataFrame:
+    """:func:`fit_spi`, written to the shared folder so that its size is known."""
+    return settle(fit_spi(df, columns, by), "fit")
+
+
 def spi_daily(df: DataFrame, digits: int = 3) -> DataFrame:
     """One-day index of the rain, fitted on the rows given, as column ``spi``."""
-    scored = transform_spi(df, fit_spi(df, [RAIN]), {RAIN: "spi"})
+    scored = transform_spi(df, store_fit(df, [RAIN]), {RAIN: "spi"})
     return scored.withColumn("spi", round_half_even(F.col("spi"), digits))
 
 
@@ -89,12 +95,8 @@ def long_sums(
     df: DataFrame, windows: list[int] = WINDOWS, largest: int | None = None
 ) -> DataFrame:
     """Full-window rolling rain sums, missing until the window is filled."""
-    return over_rows(
-        df,
-        lambda w: {f"rain_rolling_{n}d": rolling_sum(w, RAIN, n, n) for n in windows},
-        back=max(windows) - 1,
-        largest=largest,
-    )
+    stages, helpers = rolling_sums(RAIN, {n: f"rain_rolling_{n}d" for n in windows})
+    return over_rows(df, *stages, back=max(windows) - 1, largest=largest).drop(*helpers)
 
 
 def spi_window(
@@ -108,7 +110,7 @@ def spi_window(
     sums = settle(long_sums(df, windows, largest), "rolling-sums")
     columns = [f"rain_rolling_{n}d" for n in windows]
     outputs = {f"rain_rolling_{n}d": f"spi_{n}d" for n in windows}
-    return transform_spi(sums, fit_spi(sums, columns), outputs).drop(*columns)
+    return transform_spi(sums, store_fit(sums, columns), outputs).drop(*columns)
 
 
 def spi_against_baseline(df: DataFrame, params: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ outside it that its frames reach. The result is the same row for row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -21,6 +22,9 @@ from hydrorisk.session import shared_root
 
 ROWS_PER_TASK = 1_000_000
 
+# Builds new columns from the window they are to run over.
+Stage = Callable[[WindowSpec], dict[str, Column]]
+
 
 def panel_sort(df: DataFrame) -> DataFrame:
     return df.orderBy(DIVISION, DATE)
@@ -51,14 +55,13 @@ def positions(
     return (
         df.withColumn("_rank", rank)
         .join(starts, [*by, block], "left")
-        .withColumn(name, F.coalesce("_start", F.lit(0)) + F.col("_rank"))
-        .drop("_rank", "_start")
+        .select(*df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_rank")).alias(name))
     )
 
 
 def over_rows(
     df: DataFrame,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    *stages: Stage,
     back: int = 0,
     ahead: int = 0,
     rows_per_task: int = ROWS_PER_TASK,
@@ -67,28 +70,36 @@ def over_rows(
 ) -> DataFrame:
     """Add window columns computed over (division, date) order.
 
-    ``columns`` builds the new columns from a window; its frames may reach at
-    most ``back`` rows before and ``ahead`` rows after the current one.
+    Later stages may use the columns of earlier ones; together their frames may
+    reach at most ``back`` rows before and ``ahead`` rows after the current one.
     ``largest`` is the known size bound of a division; measured when not given.
     """
     if largest is None:
         largest = largest_group(df)
     if largest <= rows_per_task:
-        return df.withColumns(columns(Window.partitionBy(DIVISION).orderBy(DATE)))
-    return _over_slices(df, columns, back, ahead, rows_per_task, block)
+        return _add_stages(df, stages, Window.partitionBy(DIVISION).orderBy(DATE))
+    return _over_slices(df, stages, back, ahead, rows_per_task, block)
+
+
+def _add_stages(df: DataFrame, stages: tuple[Stage, ...], window: WindowSpec) -> DataFrame:
+    for stage in stages:
+        df = df.withColumns(stage(window))
+    return df
 
 
 def _over_slices(
     df: DataFrame,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    stages: tuple[Stage, ...],
     back: int,
     ahead: int,
     rows_per_task: int,
     block: str,
 ) -> DataFrame:
     size = max(rows_per_task, back, ahead)
+    # Repeated days are ordered by content, so that a recomputed task places them alike.
+    order = [F.col(DATE), F.xxhash64(*df.columns)]
     placed = positions(
-        df.withColumn("_block", F.trunc(DATE, block)), [DIVISION], "_block", [DATE], "_position"
+        df.withColumn("_block", F.trunc(DATE, block)), [DIVISION], "_block", order, "_position"
     ).drop("_block")
     index = F.col("_position") - 1
     home = F.floor(index / size)
@@ -103,7 +114,7 @@ def _over_slices(
     spread = placed.withColumn("_home", home).withColumn("_slice", F.explode(copies))
     window = Window.partitionBy(DIVISION, "_slice").orderBy("_position")
     return (
-        spread.withColumns(columns(window))
+        _add_stages(spread, stages, window)
         .filter(F.col("_slice") == F.col("_home"))
         .drop("_slice", "_home", "_position")
     )
@@ -120,6 +131,43 @@ def rolling_sum(window: WindowSpec, column: str, rows: int, min_periods: int) ->
     return F.when(F.count(column).over(frame) >= min_periods, F.sum(column).over(frame))
 
 
+def rolling_sums(column: str, names: dict[int, str]) -> tuple[list[Stage], list[str]]:
+    """Full-window sums of several lengths, as stages and the helper columns to drop.
+
+    A sum over k units of rows is the last unit's sum plus the ones k-1, k-2, …
+    units back, so each row adds one unit and a few earlier results instead of
+    every row of every frame.
+    """
+    unit = math.gcd(*names)
+
+    def units(window: WindowSpec) -> dict[str, Column]:
+        frame = window.rowsBetween(-(unit - 1), 0)
+        return {
+            "_unit_sum": F.coalesce(F.sum(column).over(frame), F.lit(0.0)),
+            "_unit_rows": F.count(column).over(frame),
+        }
+
+    def earlier(window: WindowSpec) -> dict[str, Column]:
+        back = range(1, max(names) // unit)
+        sums = {f"_unit_sum_{k}": F.lag("_unit_sum", k * unit, 0.0).over(window) for k in back}
+        rows = {f"_unit_rows_{k}": F.lag("_unit_rows", k * unit, 0).over(window) for k in back}
+        return {**sums, **rows}
+
+    def totals(_: WindowSpec) -> dict[str, Column]:
+        result = {}
+        for n, name in names.items():
+            total, rows = F.col("_unit_sum"), F.col("_unit_rows")
+            for k in range(1, n // unit):
+                total, rows = total + F.col(f"_unit_sum_{k}"), rows + F.col(f"_unit_rows_{k}")
+            result[name] = F.when(rows >= n, total)
+        return result
+
+    helpers = ["_unit_sum", "_unit_rows"]
+    for k in range(1, max(names) // unit):
+        helpers += [f"_unit_sum_{k}", f"_unit_rows_{k}"]
+    return [units, earlier, totals], helpers
+
+
 def antecedent_rain(window: WindowSpec) -> dict[str, Column]:
     """Yesterday's rain and the 3 and 7 row sums."""
     return {

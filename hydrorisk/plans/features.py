@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 from hydrorisk.functions.scalars import month_cyclic, round_frame, since
 from hydrorisk.operators.panel import assemble_panel
-from hydrorisk.operators.spi import WINDOWS, fit_spi, transform_spi
-from hydrorisk.operators.windows import antecedent_rain, largest_group, over_rows, rolling_sum
+from hydrorisk.operators.spi import WINDOWS, store_fit, transform_spi
+from hydrorisk.operators.windows import antecedent_rain, over_rows, rolling_sums
 from hydrorisk.schemas import DATE, DIVISION, MEASURES, RAIN
 from hydrorisk.session import settle
 
@@ -29,16 +29,12 @@ def feature_matrix(
     """
     panel = settle(assemble_panel(rain, temperature, soil), "panel")
 
-    def columns(window):
-        sums = {f"_sum_{n}": rolling_sum(window, RAIN, n, n) for n in windows}
-        return {**antecedent_rain(window), **sums}
-
-    windowed = over_rows(panel, columns, back=max(windows) - 1, largest=largest_group(panel))
-    staged = settle(month_cyclic(windowed), "windowed")
-    sums = [f"_sum_{n}" for n in windows]
-    scored = transform_spi(
-        staged, fit_spi(staged, sums), {f"_sum_{n}": f"spi_{n}d" for n in windows}
-    )
+    sums = {n: f"_sum_{n}" for n in windows}
+    stages, helpers = rolling_sums(RAIN, sums)
+    windowed = over_rows(panel, antecedent_rain, *stages, back=max(windows) - 1)
+    staged = settle(month_cyclic(windowed).drop(*helpers), "windowed")
+    fit = store_fit(staged, list(sums.values()))
+    scored = transform_spi(staged, fit, {s: f"spi_{n}d" for n, s in sums.items()})
     matrix = round_frame(since(scored, first_day))
     return matrix.select(
         DATE,

@@ -43,7 +43,6 @@ def train_all(
     scores = {}
     for hazard in HAZARDS:
         prepared, encoder = prepare_horizon(training[hazard], f"{hazard}_severity")
-        encoder = settle(encoder, "encoder")
         model, _, scores[hazard] = train_hazard(settle(prepared, "prepared"), trials, kind=kind)
         save_model(model, encoder, f"{path}/{hazard}")
     return scores

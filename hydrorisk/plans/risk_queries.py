@@ -124,7 +124,7 @@ def window_indices(spark, sf_dir):
 def index_against_baseline(spark, sf_dir):
     panel = _stations(spark, sf_dir)
     early, late = panel.filter(F.col(DATE) < "1999-01-01"), panel.filter(F.col(DATE) >= "1999-01-01")
-    scored = spi.spi_against_baseline(late, spi.fit_spi(early, [RAIN]))
+    scored = spi.spi_against_baseline(late, spi.store_fit(early, [RAIN]))
     return scored.select(*KEY, scaled("spi", 3))
 
 

@@ -6,7 +6,8 @@
 * stations: one division per supplier, rain from returned lines (days without
   returns are dry), so that divisions grow in number with the data.
 
-Money and rates are summed as decimals: the sums are exact in any order.
+Money and rates have two decimals and are summed as whole hundredths, so the sums
+are exact in any order.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _exact_sum(value: Column) -> Column:
-    return F.sum(value.cast("decimal(18,2)")).cast("double")
+    return F.sum(F.rint(value * 100.0).cast("bigint")) / 100.0
 
 
 def _exact_mean(value: Column) -> Column:
