@@ -10,7 +10,12 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier,
+    OneVsRest,
+    OneVsRestModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,7 +113,7 @@ def _classifier(params: TreeParams, target: str, output: str, weighted: bool) ->
             subsamplingRate=params.row_share,
             featureSubsetStrategy=str(params.column_share),
             seed=params.seed,
-        )
+        ).setRawPredictionCol(f"_raw_{suffix}")
         model = OneVsRest(classifier=booster, parallelism=len(HORIZONS))
     else:
         raise ValueError(f"unknown kind of trees: {params.kind}")
@@ -214,7 +219,12 @@ def save_model(model: PipelineModel, encoder: DataFrame, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/encoder")
+    model = PipelineModel.load(f"{path}/model")
+    for stage in model.stages:
+        if isinstance(stage, OneVsRestModel):
+            # Spark's writer leaves this column name out for one-versus-rest models.
+            stage.setRawPredictionCol(stage.models[0].getRawPredictionCol())
+    return model, spark.read.parquet(f"{path}/encoder")
 
 
 def evaluate_hazard(test: DataFrame, model: PipelineModel, hazard: str) -> DataFrame:
