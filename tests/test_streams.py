@@ -1,4 +1,6 @@
 import datetime
+import os
+from glob import glob
 
 import numpy as np
 import pytest
@@ -11,6 +13,15 @@ from hydrorisk.streaming.antecedent import stream_antecedent_rain
 from hydrorisk.streaming.daily import stream_daily_means
 from tests.conftest import sorted_pandas
 
+def append_file(df, path, turn):
+    """One more file of a streamed folder; file times give the order of the triggers."""
+    folder = path.removeprefix("file:")
+    before = set(glob(f"{folder}/*.parquet"))
+    df.coalesce(1).write.mode("append").parquet(path)
+    for new in set(glob(f"{folder}/*.parquet")) - before:
+        os.utime(new, (1_700_000_000 + 60 * turn,) * 2)
+
+
 COLUMNS = ["rain_lag_1", "rain_rolling_3d", "rain_rolling_7d"]
 
 
@@ -19,9 +30,9 @@ def test_antecedent_rain_over_several_triggers(spark, panel, panel_df):
     path = shared_path(spark, "t-actuals")
     days = sorted(panel["date"].unique())
     cuts = [days[0], days[3], days[40], days[41], days[600], datetime.date(2100, 1, 1)]
-    for low, high in zip(cuts, cuts[1:]):
+    for turn, (low, high) in enumerate(zip(cuts, cuts[1:])):
         part = panel_df.filter((F.col("date") >= low) & (F.col("date") < high))
-        part.coalesce(1).write.mode("append").parquet(path)
+        append_file(part, path, turn)
     stream = (
         spark.readStream.schema(panel_df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     )
@@ -36,9 +47,10 @@ def test_antecedent_rain_over_several_triggers(spark, panel, panel_df):
 def test_a_late_day_is_still_emitted(spark):
     path = shared_path(spark, "t-late")
     schema = "division string, date date, rain_sum double"
-    for rows in ([(1, 1.0), (2, 2.0), (4, 4.0)], [(3, 3.0)], [(5, 5.0)]):
+    batches = [[(1, 1.0), (2, 2.0), (4, 4.0)], [(3, 3.0)], [(5, 5.0)]]
+    for turn, rows in enumerate(batches):
         data = [("A", datetime.date(2015, 1, d), v) for d, v in rows]
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(path)
+        append_file(spark.createDataFrame(data, schema), path, turn)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     rows = run_to_end(stream_antecedent_rain(stream), "t-late-out").collect()
     got = {r["date"].day: (r["rain_lag_1"], r["rain_rolling_3d"]) for r in rows}
@@ -53,15 +65,17 @@ def test_daily_means_and_watermark(spark):
     first = [("A", start + datetime.timedelta(hours=h), float(h), None) for h in range(96)]
     first += [("B", start, None, None), ("B", start, None, 2.0)]
     late = [("A", start, 1000.0, 1.0), ("A", start + datetime.timedelta(hours=200), 1.0, 1.0)]
-    for rows in (first, late):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    more = [("B", start + datetime.timedelta(hours=95), 4.0, None)]
+    # a trigger drops what the watermark of the trigger before had passed
+    for turn, rows in enumerate((first, more, late)):
+        append_file(spark.createDataFrame(rows, schema), path, turn)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     rows = run_to_end(stream_daily_means(stream, ["v", "u"]), "t-daily").collect()
     got = {(r["division"], r["date"].day): (r["v"], r["u"]) for r in rows}
-    # the reading of day 1 that arrives after the watermark is dropped
+    # the reading of day 1 in the last file comes too late
     assert got == {
         ("A", 1): (11.5, None), ("A", 2): (35.5, None), ("A", 3): (59.5, None),
-        ("A", 4): (83.5, None), ("B", 1): (None, 2.0),
+        ("A", 4): (83.5, None), ("B", 1): (None, 2.0), ("B", 4): (4.0, None),
     }
 
 
