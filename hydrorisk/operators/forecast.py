@@ -38,6 +38,7 @@ from hydrorisk.operators.panel import (
 from hydrorisk.operators.splits import split_fraction, stratified_folds
 from hydrorisk.operators.windows import largest_group, lead_rows, over_rows
 from hydrorisk.schemas import FEATURES, HORIZONS, KEY, PREDICTIONS, TARGETS
+from hydrorisk.session import settle
 
 # Trees get missing inputs as a value below every measurement, so that a split
 # can send them either way.
@@ -254,9 +255,11 @@ def cross_validate_day1(
         )
         for k, m in enumerate(models)
     ]
-    counts = confusion(
-        reduce(DataFrame.unionByName, scored), TARGETS[0], PREDICTIONS[0], by=["fold"]
+    counts = settle(
+        confusion(reduce(DataFrame.unionByName, scored), TARGETS[0], PREDICTIONS[0], by=["fold"]),
+        "confusion",
     )
+    vectors.unpersist()
     return (
         accuracy(counts, ["fold"])
         .join(f1_scores(counts, ["fold"]), "fold")

@@ -6,33 +6,41 @@ the first grouped count is small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrorisk.schemas import HORIZONS, PREDICTIONS, TARGETS
+from hydrorisk.session import settle
 
 
 def exact_match(
     df: DataFrame, truths: list[str] = TARGETS, guesses: list[str] = PREDICTIONS
 ) -> DataFrame:
     """Rows, and share of rows whose horizons are all right."""
-    right = F.lit(True)
-    for y, p in zip(truths, guesses, strict=True):
-        right = right & (F.col(y) == F.col(p))
     return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(right.cast("int")).alias("exact_match")
+        F.count(F.lit(1)).alias("rows"),
+        F.avg(_all_right(truths, guesses)).alias("exact_match"),
     )
 
 
+def _all_right(truths: list[str], guesses: list[str]) -> Column:
+    pairs = zip(truths, guesses, strict=True)
+    return reduce(and_, [F.col(y) == F.col(p) for y, p in pairs]).cast("int")
+
+
 def horizon_pairs(
     df: DataFrame, truths: list[str] = TARGETS, guesses: list[str] = PREDICTIONS
 ) -> DataFrame:
-    """(horizon, y_true, y_pred) rows of a wide prediction table."""
+    """(horizon, y_true, y_pred) rows of a wide prediction table, and whether all were right."""
     pairs = [
         F.struct(
             F.lit(h).alias("horizon"),
             F.col(y).cast("int").alias("y_true"),
             F.col(p).cast("int").alias("y_pred"),
+            _all_right(truths, guesses).alias("all_right"),
         )
         for h, y, p in zip(HORIZONS, truths, guesses, strict=True)
     ]
@@ -155,10 +163,29 @@ def metric_table(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def evaluate_predictions(df: DataFrame, hazard: str) -> DataFrame:
-    """Metric table hazard x horizon of a wide prediction table, with the exact match."""
-    counts = confusion(horizon_pairs(df), by=["horizon"])
-    table = metric_table(counts, ["horizon"]).withColumn("hazard", F.lit(hazard))
-    overall = exact_match(df).select(F.lit(hazard).alias("hazard"), "exact_match")
-    return table.join(overall, "hazard").select(
-        "hazard", "horizon", "accuracy", "f1_macro", "f1_weighted", "kappa", "exact_match"
+    """Metric table hazard x horizon of a wide prediction table, with the exact match.
+
+    The predictions are read once: all scores follow from the confusion counts.
+    """
+    counts = settle(
+        horizon_pairs(df)
+        .groupBy("horizon", "y_true", "y_pred")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("all_right").alias("all_right")),
+        "confusion",
+    )
+    exact = counts.groupBy("horizon").agg(
+        (F.sum("all_right") / F.sum("rows")).alias("exact_match")
+    )
+    return (
+        metric_table(counts.drop("all_right"), ["horizon"])
+        .join(exact, "horizon")
+        .select(
+            F.lit(hazard).alias("hazard"),
+            "horizon",
+            "accuracy",
+            "f1_macro",
+            "f1_weighted",
+            "kappa",
+            "exact_match",
+        )
     )

@@ -88,17 +88,17 @@ def coverage(df: DataFrame, registry: DataFrame) -> DataFrame:
 
     All found ids count, registered or not, so the share may exceed 100 %.
     """
-    found = df.agg(F.count_distinct(DIVISION).alias("found"))
-    expected = registry.agg(F.count(F.lit(1)).alias("expected"))
-    both = found.select("found", F.lit(1).alias("_one")).join(
-        expected.select("expected", F.lit(1).alias("_one")), "_one"
+    found = df.select(DIVISION).distinct().select(F.lit("found").alias("side"))
+    expected = registry.select(F.lit("expected").alias("side"))
+    sides = found.unionByName(expected).agg(
+        *[F.count_if(F.col("side") == side).alias(side) for side in ("found", "expected")]
     )
     share = F.coalesce(
         F.try_divide(F.lit(100.0) * F.col("found"), F.col("expected")), F.lit(0.0)
     )
     filled = F.floor(share / 5).cast("int")
     bar = F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(20) - filled))
-    return both.select(
+    return sides.select(
         "found",
         "expected",
         round_decimal(share, 1).alias("coverage_pct"),

@@ -49,10 +49,11 @@ def _cut_at(df: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
     division, day = F.col(DIVISION), F.col(DATE)
     on_day = (division == cut.division) & (day == cut.day)
     before = (division < cut.division) | ((division == cut.division) & (day < cut.day))
+    # Rows without a key compare to nothing and stay in the second part.
+    keyless = division.isNull() | ((division == cut.division) & day.isNull())
     if cut.rows == cut.day_rows:
         before = before | on_day
-        head = F.coalesce(before, F.lit(False))
-        return df.filter(head), df.filter(~head)
+        return df.filter(before), df.filter(~before | keyless)
     # The cut falls among rows of one (division, day): rank just those, by content.
     ranked = positions(
         df.filter(on_day)
@@ -65,9 +66,8 @@ def _cut_at(df: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
     )
     first = ranked.filter(F.col("_nth") <= cut.rows).select(df.columns)
     rest = ranked.filter(F.col("_nth") > cut.rows).select(df.columns)
-    head = F.coalesce(before, F.lit(False))
-    after = ~F.coalesce(before | on_day, F.lit(False))
-    return df.filter(head).unionByName(first), df.filter(after).unionByName(rest)
+    after = ~(before | on_day) | keyless
+    return df.filter(before).unionByName(first), df.filter(after).unionByName(rest)
 
 
 def _split_after(df: DataFrame, rows: int, totals: DataFrame) -> tuple[DataFrame, DataFrame]:

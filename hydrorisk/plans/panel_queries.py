@@ -157,6 +157,13 @@ def one_division(spark, sf_dir):
     return _scaled_panel(scalars.of_division(nation_panel(spark, sf_dir), "7"))
 
 
+@query(f"WITH {NATION_SQL} SELECT COUNT(*) AS rows, 7 AS columns FROM panel")
+def panel_shape(spark, sf_dir):
+    panel = nation_panel(spark, sf_dir)
+    width = F.lit(len(panel.columns)).alias("columns")
+    return panel.agg(F.count(F.lit(1)).alias("rows")).select("rows", width)
+
+
 @query(f"WITH {STATION_SQL} SELECT DISTINCT division FROM panel")
 def distinct_divisions(spark, sf_dir):
     return ops.distinct_divisions(station_panel(spark, sf_dir))

@@ -46,9 +46,13 @@ def test_cut_among_repeated_days(spark):
 
 def test_rows_without_key_stay_in_the_tail(spark, panel_df):
     nameless = panel_df.limit(3).withColumn("division", F.lit(None).cast("string"))
-    train, test = splits.split_tail(panel_df.unionByName(nameless), 50)
+    undated = panel_df.limit(6).withColumn("date", F.lit(None).cast("date"))
+    everything = panel_df.unionByName(nameless).unionByName(undated)
+    train, test = splits.split_tail(everything, 50)
     assert train.filter("division IS NULL").count() == 0
     assert test.filter("division IS NULL").count() == 3
+    assert train.count() + test.count() == everything.count()
+    assert train.exceptAll(everything).count() == 0
 
 
 def test_rows_must_be_positive(panel_df):
