@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hydrorisk.schemas import DATE, DIVISION, RAIN
 from hydrorisk.session import shared_root
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_TASK = 4_000_000
 
 # Builds new columns from the window they are to run over.
 Stage = Callable[[WindowSpec], dict[str, Column]]

@@ -69,10 +69,13 @@ def fit_sql(source: str, value: str, fit: str) -> str:
 
 def score_sql(source: str, value: str, fit: str, scored: str, index: str) -> str:
     """CTEs ending in ``scored``: all of ``source`` plus the unrounded ``index``."""
+    # The terms are Poisson weights at alpha + k; twelve deviations past z they vanish.
+    z = f"({value} / beta)"
+    terms = f"CAST(greatest(1, ceil({z} + 12 * sqrt({z}) + 60 - alpha)) AS BIGINT)"
     cdf = (
         f"CASE WHEN {value} IS NULL OR alpha IS NULL THEN NULL WHEN {value} <= 0 THEN 0.0"
-        f" ELSE least(1.0, list_sum(list_transform(range(400), lambda k:"
-        f" exp((alpha + k) * ln({value} / beta) - {value} / beta - lgamma(alpha + k + 1))))) END"
+        f" ELSE least(1.0, list_sum(list_transform(range({terms}), lambda k:"
+        f" exp((alpha + k) * ln{z} - {z} - lgamma(alpha + k + 1))))) END"
     )
     return f"""
 {scored}_mixed AS MATERIALIZED (

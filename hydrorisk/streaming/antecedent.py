@@ -25,39 +25,38 @@ def _extend(
 ) -> Iterator[pd.DataFrame]:
     """Append the new days of one division to its last days and emit their features.
 
-    Batches arrive in pieces; only the days new in this trigger and the seven
-    remembered ones are held. A day at or before the last remembered one is
+    A division has one row per day, so what is held are the days new in this
+    trigger and the seven remembered ones. A day at or before the last remembered one is
     emitted with what the memory still knows, and remembered if recent enough.
     """
     arrived = [f[[DATE, RAIN]].astype({RAIN: float}).assign(_new=True) for f in frames]
     if state.exists:
-        days, rain = state.get
-        known = pd.DataFrame({DATE: days, RAIN: pd.Series(rain, dtype=float), "_new": False})
+        days, remembered = state.get
+        known = pd.DataFrame({DATE: days, RAIN: pd.Series(remembered, dtype=float), "_new": False})
         arrived.insert(0, known)
     rows = pd.concat(arrived, ignore_index=True)
     rows = rows.sort_values(DATE, kind="stable").reset_index(drop=True)
-    series = rows[RAIN]
+    rain = rows[RAIN].to_numpy()
     result = pd.DataFrame(
         {
             DIVISION: key[0],
             DATE: rows[DATE],
-            RAIN: series,
-            "rain_lag_1": series.shift(1),
-            "rain_rolling_3d": _window_sum(series, 3),
-            "rain_rolling_7d": _window_sum(series, 7),
+            RAIN: rain,
+            "rain_lag_1": np.concatenate([[np.nan], rain[:-1]]),
+            "rain_rolling_3d": _window_sum(rain, 3),
+            "rain_rolling_7d": _window_sum(rain, 7),
         }
     )
     last = rows.tail(MEMORY)
-    state.update(
-        (list(last[DATE]), [None if np.isnan(v) else float(v) for v in last[RAIN].astype(float)])
-    )
+    state.update((list(last[DATE]), [None if np.isnan(v) else float(v) for v in last[RAIN]]))
     yield result[rows["_new"].to_numpy(dtype=bool)]
 
 
-def _window_sum(series: pd.Series, rows: int) -> pd.Series:
-    """Sum over the last ``rows`` values present; missing if none is."""
-    shifted = pd.concat([series.shift(k) for k in range(rows)], axis=1)
-    return shifted.sum(axis=1, min_count=1)
+def _window_sum(values: np.ndarray, rows: int) -> np.ndarray:
+    """Sum of the values present in the last ``rows``; missing if none is."""
+    padded = np.concatenate([np.full(rows - 1, np.nan), values])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, rows)
+    return np.where(np.isnan(frames).all(axis=1), np.nan, np.nansum(frames, axis=1))
 
 
 def stream_antecedent_rain(stream: DataFrame) -> DataFrame:

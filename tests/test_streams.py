@@ -58,7 +58,14 @@ def test_a_late_day_is_still_emitted(spark):
     assert got[5] == (4.0, 12.0)
 
 
-def test_daily_means_and_watermark(spark):
+@pytest.fixture(params=["UTC", "Asia/Colombo", "America/New_York"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_daily_means_and_watermark(spark, zone):
     path = shared_path(spark, "t-hours")
     schema = "division string, ts timestamp_ntz, v double, u double"
     start = datetime.datetime(2024, 1, 1)
@@ -77,13 +84,3 @@ def test_daily_means_and_watermark(spark):
         ("A", 1): (11.5, None), ("A", 2): (35.5, None), ("A", 3): (59.5, None),
         ("A", 4): (83.5, None), ("B", 1): (None, 2.0), ("B", 4): (4.0, None),
     }
-
-
-def test_daily_means_need_utc(spark):
-    stream = spark.readStream.format("rate").load().selectExpr("timestamp AS ts", "value AS v")
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Colombo")
-    try:
-        with pytest.raises(ValueError):
-            stream_daily_means(stream, ["v"])
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -16,7 +16,7 @@ from hydrorisk.operators.windows import (
 )
 from tests.conftest import sorted_pandas, to_spark
 
-SPLITS = [1_000_000, 10, 97]
+SPLITS = [4_000_000, 10, 97]
 
 
 def pandas_rolling(frame, n, min_periods):
