@@ -109,8 +109,11 @@ def by_province(registry: DataFrame, name: str) -> DataFrame:
     return registry.filter(F.lower("province") == name.lower())
 
 
-# White space of any script, and the separator control characters.
-SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]+"
+# White space of any script, and the separator control characters.
+SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def name_tokens(df: DataFrame, text: str) -> DataFrame:
@@ -118,10 +121,9 @@ def name_tokens(df: DataFrame, text: str) -> DataFrame:
 
     Blank entries, picture captions (``Image…``) and ``Total`` lines are left out.
     """
-    token = F.regexp_replace("token", f"^{SPACE}|{SPACE}$", "")
     return (
         df.select(F.explode(F.split(text, ",+|\n")).alias("token"))
-        .select(token.alias("name"))
+        .select(F.btrim("token", F.lit(SPACE)).alias("name"))
         .filter((F.col("name") != "") & ~F.col("name").startswith("Image"))
         .filter(~F.col("name").contains("Total"))
         .distinct()
