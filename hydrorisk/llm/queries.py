@@ -8,6 +8,7 @@ from hydrorisk.llm.common import table
 from hydrorisk.llm.exact_dedup import exact_dedup
 from hydrorisk.llm.register import LLM_ORACLES, LLM_QUERIES, query
 from hydrorisk.llm.sharding import shard_by_bytes
+from hydrorisk.llm.simhash import simhash_components
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
@@ -21,6 +22,12 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+@query()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component: 3-word shingles, 3 bits."""
+    return simhash_components(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 @query(EXACT_SQL)
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""
