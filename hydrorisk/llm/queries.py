@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hydrorisk.llm.common import table
 from hydrorisk.llm.exact_dedup import exact_dedup
+from hydrorisk.llm.packing import pack
 from hydrorisk.llm.register import LLM_ORACLES, LLM_QUERIES, query
 from hydrorisk.llm.sharding import shard_by_bytes
 from hydrorisk.llm.simhash import simhash_components
+from hydrorisk.llm.token_counts import token_counts
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
@@ -22,6 +24,12 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+@query()
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and component: 3-word shingles, 3 bits."""
@@ -38,3 +46,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts(table(spark, sf_dir, "documents"))
