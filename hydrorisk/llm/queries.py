@@ -13,6 +13,7 @@ from hydrorisk.llm.register import LLM_ORACLES, LLM_QUERIES, query
 from hydrorisk.llm.sharding import shard_by_bytes
 from hydrorisk.llm.simhash import simhash_components
 from hydrorisk.llm.token_counts import token_counts
+from hydrorisk.llm.url_templates import judge_urls
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
 
@@ -65,6 +66,23 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# (action, host, path): fixed values of the query.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+@query()
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rule, or else by its template."""
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 @query(EXACT_SQL)
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""
