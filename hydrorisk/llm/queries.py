@@ -13,6 +13,7 @@ from hydrorisk.llm.register import LLM_ORACLES, LLM_QUERIES, query
 from hydrorisk.llm.sharding import shard_by_bytes
 from hydrorisk.llm.simhash import simhash_components
 from hydrorisk.llm.token_counts import token_counts
+from hydrorisk.llm.toxicity import fit_toxicity, score_toxicity
 from hydrorisk.llm.url_templates import judge_urls
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -83,6 +84,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), usable=fold != 1)
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        (fold == 1).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query(EXACT_SQL)
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""

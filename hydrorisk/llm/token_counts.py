@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import mul
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,30 @@ from hydrorisk.llm.common import whole_text
 # Distinct pre-tokens that a task remembers; beyond it the memory is emptied, counts stay the same.
 MEMORY = 500_000
 
-# Split pattern of the byte-level tokenizer: a fixed value of its file format.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters whose classes, lower and composed forms are the same in every edition of Unicode:
+# Latin letters, ASCII and common punctuation. Texts of these alone are split here, by patterns
+# spelled out for them; the library splits all others.
+SETTLED = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0132-\u0233\u2010-\u2027\u2030-\u205e]*")
+LETTERS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
+NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
-# Characters whose classes are the same in every edition of Unicode and every pattern engine.
-SETTLED = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-įĲ-ɏ‐-‧‰-⁞]*")
+# Split rule of the byte-level tokenizer: fixed by its file format.
+BYTE_LEVEL = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+)
+
+
+def portions(texts: Iterable[str], most_chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Consecutive texts of about so many characters together; a longer text is one portion."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= most_chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=8)
@@ -48,14 +68,13 @@ class PieceCounter:
     def __init__(self, file: str, memory: int = MEMORY):
         self.tokenizer = load_tokenizer(file)
         self.added = sorted(added_tokens(self.tokenizer), key=len, reverse=True)
-        self.split = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
-        self.pattern = regex.compile(BYTE_LEVEL)
+        self.split = re.compile("|".join(map(re.escape, self.added))) if self.added else None
         self.pieces: dict[str, int] = {}
         self.memory = memory
 
     def pre_tokens(self, text: str) -> list[str]:
         if SETTLED.fullmatch(text):
-            return self.pattern.findall(text)
+            return BYTE_LEVEL.findall(text)
         cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return [text[start:end] for _, (start, end) in cuts]
 
@@ -66,23 +85,25 @@ class PieceCounter:
         parts = self.split.split(text)
         return len(parts) - 1, Counter(p for part in parts for p in self.pre_tokens(part))
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Know every one of ``tokens``; the memory is emptied first if it has grown too large."""
         if len(self.pieces) > self.memory:
             self.pieces.clear()
-        for encoding, token in zip(
-            self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True
-        ):
-            self.pieces[token] = len(encoding)
-
-    def count(self, text: str) -> int:
-        special, frequencies = self.frequencies(text)
-        new = [t for t in frequencies if t not in self.pieces]
-        if new:
-            self.learn(new)
-            if len(new) < len(frequencies) and any(t not in self.pieces for t in frequencies):
-                self.learn([t for t in frequencies if t not in self.pieces])
-        pieces = self.pieces
-        return special + sum(pieces[t] * n for t, n in frequencies.items())
+        new = list({t for t in tokens if t not in self.pieces})
+        encodings = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.pieces.update(zip(new, map(len, encodings), strict=True))
+
+    def counts(self, texts: Iterable[str]) -> list[int]:
+        result = []
+        for portion in portions(texts):
+            found = [self.frequencies(text) for text in portion]
+            self.learn(t for _, frequencies in found for t in frequencies)
+            pieces = self.pieces
+            result += [
+                special + sum(map(mul, map(pieces.__getitem__, f), f.values()))
+                for special, f in found
+            ]
+        return result
 
 
 def token_counts(
@@ -107,7 +128,7 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(tokenizer, memory)
         for batch in batches:
-            numbers = [counter.count(text) for text in batch.column("text").to_pylist()]
+            numbers = counter.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("n_bytes"), pa.array(numbers, pa.int64())],
                 ["id", "n_bytes", "n_tokens"],

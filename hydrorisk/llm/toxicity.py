@@ -6,8 +6,10 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import as_rows, whole_text
+from hydrorisk.llm.token_counts import portions
 
 WORD = re.compile(r"\w+")
 # Longest part of a word in one window; longer words give several.
@@ -36,6 +39,7 @@ def windows(text: str) -> set[bytes]:
     return found
 
 
+@lru_cache(maxsize=8)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     parameters = zstandard.ZstdCompressionParameters.from_level(
@@ -129,20 +133,26 @@ class ToxicityModel:
     known: dict[bytes, float] = field(default_factory=dict, repr=False)
     memory: int = MEMORY
 
-    def features(self, text: str) -> list[float]:
-        """The log-odds of the most toxic windows, over all windows of the text."""
-        own = windows(text)
-        if len(self.known) > self.memory:
-            self.known.clear()
-        new = [w for w in own if w not in self.known]
-        if new:
+    def scores(self, texts: Iterable[str]) -> list[float]:
+        """The curve's value at the log-odds of each text's most toxic windows.
+
+        All windows of a text count; each distinct one is compressed once.
+        """
+        result, known = [], self.known
+        for portion in portions(texts):
+            own = [windows(text) for text in portion]
+            if len(known) > self.memory:
+                known.clear()
+            new = list({w for some in own for w in some if w not in known})
             cells = self.dictionaries.cells(new)
-            self.known.update(zip(new, (self.odds.get(c, 0.0) for c in cells), strict=True))
-        top = sorted((self.known[w] for w in own), reverse=True)[:TOP]
-        return top + [0.0] * (TOP - len(top))
+            known.update(zip(new, (self.odds.get(c, 0.0) for c in cells), strict=True))
+            result += [_logistic(self.weights, _top(map(known.__getitem__, some))) for some in own]
+        return result
 
-    def score(self, text: str) -> float:
-        return _logistic(self.weights, self.features(text))
+
+def _top(values: Iterable[float]) -> list[float]:
+    top = nlargest(TOP, values)
+    return top + [0.0] * (TOP - len(top))
 
 
 def _logistic(weights: list[float], features: list[float]) -> float:
@@ -150,20 +160,16 @@ def _logistic(weights: list[float], features: list[float]) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, value))))
 
 
-def _cell_odds(
-    dictionaries: Dictionaries, toxic: list[set[bytes]], ordinary: list[set[bytes]]
-) -> dict[tuple[int, int, int], float]:
+def _cell_odds(toxic: list[set[tuple]], ordinary: list[set[tuple]]) -> dict[tuple, float]:
     """Log-odds of a cell: in how many toxic and ordinary documents it has windows."""
-    every = sorted(set().union(*toxic, *ordinary)) if toxic or ordinary else []
-    cell = dict(zip(every, dictionaries.cells(every), strict=True))
-    seen = [Counter(c for doc in docs for c in {cell[w] for w in doc}) for docs in (toxic, ordinary)]
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
-    # Cells met in few documents are drawn to zero.
-    weight = {c: (seen[0][c] + seen[1][c]) / (seen[0][c] + seen[1][c] + 2.0) for c in seen[0] | seen[1]}
-    return {
-        c: weight[c] * math.log((seen[0][c] + 0.5) / (n + 1) / ((seen[1][c] + 0.5) / (m + 1)))
-        for c in weight
-    }
+    seen = [Counter(c for doc in docs for c in doc) for docs in (toxic, ordinary)]
+    n, m = len(toxic) + 1, len(ordinary) + 1
+    odds = {}
+    for cell in seen[0] | seen[1]:
+        a, b = seen[0][cell], seen[1][cell]
+        # Cells met in few documents are drawn to zero.
+        odds[cell] = (a + b) / (a + b + 2) * math.log((a + 0.5) / n / ((b + 0.5) / m))
+    return odds
 
 
 def _fit_logistic(rows: list[list[float]], labels: list[int], ridge: float = 0.1) -> list[float]:
@@ -203,13 +209,14 @@ def train_model(examples: list[tuple[str, int]], size: int = 32768) -> ToxicityM
     rows, targets = [], []
     for half in (0, 1):
         part = train_dictionaries(docs(half, 1), docs(half, 0), size)
-        table = _cell_odds(part, docs(1 - half, 1), docs(1 - half, 0))
+        other = [docs(1 - half, label) for label in (0, 1)]
+        every = list(set().union(*other[0], *other[1]))
+        cell = dict(zip(every, part.cells(every), strict=True))
+        table = _cell_odds(*[[{cell[w] for w in d} for d in other[label]] for label in (1, 0)])
         odds.append(table)
         for label in (0, 1):
-            for doc in docs(1 - half, label):
-                values = [table.get(c, 0.0) for c in part.cells(sorted(doc))]
-                top = sorted(values, reverse=True)[:TOP]
-                rows.append(top + [0.0] * (TOP - len(top)))
+            for doc in other[label]:
+                rows.append(_top(table.get(cell[w], 0.0) for w in doc))
                 targets.append(label)
     mean = {c: (odds[0].get(c, 0.0) + odds[1].get(c, 0.0)) / 2 for c in odds[0] | odds[1]}
     return ToxicityModel(dictionaries, mean, _fit_logistic(rows, targets))
@@ -265,7 +272,7 @@ def score_toxicity(
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
         for texts in batches:
-            yield pa.array([own.score(t) for t in texts.to_pylist()], pa.float64())
+            yield pa.array(own.scores(texts.to_pylist()), pa.float64())
 
     rows = as_rows(docs, value=scored(whole_text(text_col)))
     plain = [c for c in docs.columns if c != name]
