@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import whole_text
-from hydrorisk.llm.token_counts import SETTLED, added_tokens, load_tokenizer
+from hydrorisk.llm.token_counts import (
+    LETTERS,
+    NUMBERS,
+    SETTLED,
+    added_tokens,
+    load_tokenizer,
+    portions,
+)
 from hydrorisk.operators.windows import positions
 from hydrorisk.session import settle
 
-# Split pattern of the word tokenizer: a fixed value of its file format.
-WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Split rule of the word tokenizer, after lower-casing: fixed by its file format.
+WORD_LEVEL = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
+)
 
 MEMORY = 300_000
 BLOCKS = 128
@@ -34,29 +44,44 @@ class WordIds:
     def __init__(self, file: str, memory: int = MEMORY):
         self.tokenizer = load_tokenizer(file)
         self.added = list(added_tokens(self.tokenizer))
-        self.pattern = regex.compile(WORD_LEVEL)
         self.words: dict[str, bytes] = {}
         self.memory = memory
 
-    def of(self, text: str) -> bytes:
+    def split(self, text: str) -> list[str] | None:
         if not SETTLED.fullmatch(text) or any(a in text for a in self.added):
-            encoded = self.tokenizer.encode(text, add_special_tokens=False)
-            return np.asarray(encoded.ids, "<u4").tobytes()
-        words = self.pattern.findall(text.lower())
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(known.__getitem__, words))
-
-    def learn(self, words: list[str]) -> None:
+            return None
+        return WORD_LEVEL.findall(text.lower())
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Know every one of ``words``; the memory is emptied first if it has grown too large.
+
+        White space only separates words for this tokenizer, so new words are encoded as
+        one text and cut where the word number changes.
+        """
         if len(self.words) > self.memory:
             self.words.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        encodings = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for word, encoding in zip(new, encodings, strict=True):
-            self.words[word] = np.asarray(encoding.ids, "<u4").tobytes()
+        new = list({w for w in words if w not in self.words})
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            data = np.asarray(encoded.ids, "<u4").tobytes()
+            owner = np.asarray(encoded.word_ids)
+            cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+            self.words.update(
+                zip(part, (data[4 * a : 4 * b] for a, b in pairwise(cuts)), strict=True)
+            )
+
+    def of(self, texts: Iterable[str]) -> Iterator[bytes]:
+        for portion in portions(texts):
+            split = [self.split(text) for text in portion]
+            self.learn(w for words in split if words for w in words)
+            known = self.words
+            for text, words in zip(portion, split, strict=True):
+                if words is not None:
+                    yield b"".join(map(known.__getitem__, words))
+                else:
+                    encoded = self.tokenizer.encode(text, add_special_tokens=False)
+                    yield np.asarray(encoded.ids, "<u4").tobytes()
 
 
 def cut_pieces(
@@ -75,8 +100,8 @@ def cut_pieces(
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
             owner, start, length, crc, total, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                data = encoder.of(text) + end
+            for row, data in enumerate(encoder.of(batch.column("text").to_pylist())):
+                data += end
                 for at in range(0, len(data), 4 * window):
                     piece = data[at : at + 4 * window]
                     owner.append(row)
