@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import table
+from hydrorisk.llm.decontamination import build_index, find_leaks
 from hydrorisk.llm.exact_dedup import exact_dedup
 from hydrorisk.llm.line_dedup import drop_frequent_lines
 from hydrorisk.llm.packing import pack
@@ -110,6 +111,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+@query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item that a document holds."""
+    index = build_index(table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), index)
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
