@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from hydrorisk.llm.common import as_rows, original, whole_text
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 END = 1 << 60
+# Passages of a text that are bounded together.
+PASSAGES = 256
 
 
 def words_of(text: str) -> list[str]:
@@ -54,8 +58,7 @@ class Posting:
 
     items: list[int]
     weights: list[float]
-    block_max: list[float]
-    most: float
+    block_max: dict[int, float]
 
 
 class ItemIndex:
@@ -64,7 +67,7 @@ class ItemIndex:
     So a passage that holds all of an item's words scores 1 for it, whatever the item's length.
     """
 
-    def __init__(self, items: list[tuple[int, str, str]], block: int = 16):
+    def __init__(self, items: list[tuple[int, str, str]], block: int = 8):
         self.block = block
         self.ids, self.question, self.answer = [], [], []
         bags = []
@@ -93,92 +96,111 @@ class ItemIndex:
         self.number = {term: i for i, term in enumerate(postings)}
         self.postings = []
         for entries in postings.values():
-            weights = [w for _, w in entries]
-            blocks = [max(weights[i : i + block]) for i in range(0, len(weights), block)]
-            self.postings.append(Posting([i for i, _ in entries], weights, blocks, max(weights)))
-        # The last entry stands for words that no item has.
-        self.most = np.asarray([p.most for p in self.postings] + [0.0])
-
-    def above(self, terms: Iterable[int], threshold: float) -> list[tuple[int, float]]:
-        """Every item (number, score) that reaches ``threshold`` for the distinct ``terms``.
-
-        Block-max WAND: cursors ordered by item; the pivot is the first at which the terms'
-        largest weights could reach the threshold; it is scored only if the largest
-        weights of the blocks around it could too, else all cursors leap past those blocks.
+            blocks: dict[int, float] = {}
+            for item, weight in entries:
+                blocks[item // block] = max(weight, blocks.get(item // block, 0.0))
+            self.postings.append(Posting([i for i, _ in entries], [w for _, w in entries], blocks))
+        # The same block maxima, term after term, to bound many passages at once.
+        self.blocks = -(-len(bags) // block)
+        sizes = [len(p.block_max) for p in self.postings]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.block_ids = np.fromiter((b for p in self.postings for b in p.block_max), np.int64)
+        self.block_most = np.fromiter(
+            (m for p in self.postings for m in p.block_max.values()), np.float64
+        )
+
+    def promising(
+        self, passage: np.ndarray, term: np.ndarray, passages: int, threshold: float
+    ) -> list[tuple[int, int]]:
+        """(passage, block) where the block maxima of the passage's distinct terms reach the threshold.
+
+        ``passage`` and ``term`` are distinct pairs; one sum of block maxima per passage and block.
         """
-        cursors = [[self.postings[t].items[0], 0, self.postings[t]] for t in set(terms)]
-        found, size = [], self.block
+        if not len(term):
+            return []
+        sizes = self.first[term + 1] - self.first[term]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.first[term] - (ends - sizes), sizes)
+        cell = np.repeat(passage * self.blocks, sizes) + self.block_ids[at]
+        bounds = np.bincount(cell, self.block_most[at], passages * self.blocks)
+        return [divmod(c, self.blocks) for c in np.flatnonzero(bounds >= threshold - 1e-9).tolist()]
+
+    def above(self, terms: Iterable[int], threshold: float, block: int) -> list[tuple[int, float]]:
+        """Every item (number, score) of a block that reaches ``threshold`` for the distinct terms.
+
+        WAND: cursors ordered by item; the pivot is the first at which the terms' largest
+        weights in the block could reach the threshold. Items before it are leapt over.
+        """
+        end = (block + 1) * self.block
+        cursors = []
+        for term in terms:
+            posting = self.postings[term]
+            if block in posting.block_max:
+                at = bisect_left(posting.items, block * self.block)
+                cursors.append([posting.items[at], at, posting, posting.block_max[block]])
+        found = []
         while True:
-            cursors = sorted((c for c in cursors if c[0] < END), key=lambda c: c[0])
-            bound, pivot = 0.0, None
-            for at, cursor in enumerate(cursors):
-                bound += cursor[2].most
+            cursors = sorted((c for c in cursors if c[0] < end), key=itemgetter(0))
+            bound = 0.0
+            for cursor in cursors:
+                bound += cursor[3]
                 if bound >= threshold - 1e-12:
-                    pivot = at
+                    item = cursor[0]
                     break
-            if pivot is None:
-                return found
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            group = cursors[: pivot + 1]
-            for cursor in group:
-                _seek(cursor, item)
-            # Blocks that hold ``item`` or lie wholly beyond it; their ends limit the leap.
-            live = [c for c in group if c[0] < END]
-            block_bound = sum(c[2].block_max[c[1] // size] for c in live)
-            if block_bound >= threshold - 1e-12:
-                score = sum(c[2].weights[c[1]] for c in live if c[0] == item)
-                if score >= threshold - 1e-12:
-                    found.append((item, score))
-                leap = item + 1
             else:
-                ends = [c[2].items[min((c[1] // size + 1) * size, len(c[2].items)) - 1] for c in live]
-                rest = [c[0] for c in cursors[pivot + 1 :]]
-                leap = max(item + 1, min([e + 1 for e in ends] + rest, default=END))
-            for cursor in group:
-                _seek(cursor, leap)
+                return found
+            score = 0.0
+            for cursor in cursors:
+                if cursor[0] < item:
+                    _seek(cursor, item)
+                if cursor[0] == item:
+                    score += cursor[2].weights[cursor[1]]
+                    _seek(cursor, item + 1)
+            if score >= threshold - 1e-12:
+                found.append((item, score))
 
     def leaks(self, text: str, score: float, question: float, answer: float) -> list[tuple]:
         """(item, score, question overlap, answer overlap, first word of the passage), best passage each.
 
         Passages are windows of twice the longest item, one such length apart, so any
-        occurrence of an item lies whole in one of them. A passage whose terms' largest
-        weights stay below the threshold is passed over without a look at the index.
+        occurrence of an item lies whole in one of them. Blocks whose maxima stay below the
+        threshold for a passage are passed over without a look at their items.
         """
         words = words_of(text)
         none = len(self.postings)
         number = self.number
         terms = np.fromiter((number.get(w, none) for w in words), np.int64, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(self.most[terms])])
-        step, size = self.longest, 2 * self.longest
-        starts = np.arange(0, max(1, len(words) - step), step)
-        ends = np.minimum(starts + size, len(words))
+        known = np.flatnonzero(terms < none)
+        step = self.longest
+        last = max(0, -(-(len(words) - step) // step) - 1)
         best: dict[int, tuple] = {}
-        for start in starts[sums[ends] - sums[starts] >= score - 1e-9].tolist():
-            passage = terms[start : start + size]
-            distinct = np.unique(passage[passage < none]).tolist()
-            for item, value in self.above(distinct, score):
-                own = words[start : start + size]
-                q, a = overlap(self.question[item], own), overlap(self.answer[item], own)
-                if q >= question and a >= answer:
-                    entry = (value, q, a, -start)
-                    best[item] = max(best.get(item, entry), entry)
+        for low in range(0, last + 1, PASSAGES):
+            count = min(PASSAGES, last + 1 - low)
+            part = known[(known >= low * step) & (known < (low + count + 1) * step)]
+            own = part // step - low
+            pairs = np.concatenate([own, own - 1]) * none + np.tile(terms[part], 2)
+            # A word lies in the passage that starts in its stretch and in the one before.
+            inside = np.concatenate([own < count, own >= 1])
+            passage, term = np.divmod(np.unique(pairs[inside]), max(1, none))
+            of: dict[int, list[int]] = {}
+            for at, block in self.promising(passage, term, count, score):
+                if at not in of:
+                    of[at] = term[passage == at].tolist()
+                start = (low + at) * step
+                for item, value in self.above(of[at], score, block):
+                    near = words[start : start + 2 * step]
+                    q, a = overlap(self.question[item], near), overlap(self.answer[item], near)
+                    if q >= question and a >= answer:
+                        entry = (value, q, a, -start)
+                        best[item] = max(best.get(item, entry), entry)
         return [(self.ids[i], v, q, a, -s) for i, (v, q, a, s) in sorted(best.items())]
 
 
 def _seek(cursor: list, item: int) -> None:
     """Move a cursor to its first item at or after ``item``."""
-    items, at = cursor[2].items, cursor[1]
-    low, high = at, len(items)
-    while low < high:
-        middle = (low + high) // 2
-        if items[middle] < item:
-            low = middle + 1
-        else:
-            high = middle
-    cursor[1] = low
-    cursor[0] = items[low] if low < len(items) else END
+    items = cursor[2].items
+    cursor[1] = bisect_left(items, item, cursor[1])
+    cursor[0] = items[cursor[1]] if cursor[1] < len(items) else END
 
 
 def build_index(
