@@ -1,7 +1,81 @@
-"""Corpus pipeline."""
-STAGES = []
-ORACLE_SQL = None
+"""Corpus pipeline: toxicity, exact dedup, near dedup, decontamination, packing.
 
+Each stage reads what its predecessor kept, from Parquet. Every stage but the last returns
+the columns of ``documents``; the last one returns the packed pieces.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hydrorisk.llm.common import table
+from hydrorisk.llm.decontamination import build_index, drop_contaminated
+from hydrorisk.llm.exact_dedup import drop_exact_copies
+from hydrorisk.llm.near_duplicates import drop_near_duplicates
+from hydrorisk.llm.packing import pack
+from hydrorisk.llm.toxicity import fit_toxicity, score_toxicity
+from hydrorisk.session import shared_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+# Documents scoring this or more are rejected.
+TOXIC_FROM = 0.7
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression-distance model does not call toxic.
+
+    The model learns from all labelled documents of the corpus; with no labels, or labels
+    of one class only, nothing is rejected.
+    """
+    labels = table(spark, sf_dir, "labels")
+    model = fit_toxicity(table(spark, sf_dir, "documents"), labels)
+    scored = score_toxicity(docs, model, name="_toxicity")
+    if not model.odds:
+        return docs
+    return scored.filter(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of equal texts (A-Z lower-cased)."""
+    return drop_exact_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_contaminated(docs, build_index(table(spark, sf_dir, "benchmark")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, with their place in sequences."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+# Models, fingerprints and tokenizers are beyond SQL; tests compare with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -1,0 +1,161 @@
+"""One document of each group of near duplicates: candidates by fingerprints, similarity verified."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hydrorisk.llm.common import as_rows, id_key, original, whole_text
+from hydrorisk.llm.components import components
+from hydrorisk.llm.simhash import fingerprint, hamming_links, shingle_hashes
+from hydrorisk.session import settle
+
+ROWS = 4
+
+
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key per band of ``ROWS`` min-hashes over all shingles, block by block."""
+    n = bands * ROWS
+    draw = np.random.default_rng(11)
+    factor = draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+    least = np.full(n, np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 4096):
+        part = hashes[start : start + 4096, None] * factor + shift
+        least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(0))
+    rows = least.reshape(bands, ROWS)
+    mixed = rows[:, 0].copy()
+    for i in range(1, ROWS):
+        mixed = (mixed ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    return mixed ^ np.arange(bands, dtype=np.uint64)
+
+
+def _sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
+    """(doc, fingerprint, keys) of each row's whole text; doc identifies id and text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, keys = [], []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_hashes(text, words)
+                prints.append(fingerprint(hashes))
+                keys.append(band_keys(hashes, bands).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    pa.array(prints, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                ["doc", "fingerprint", "keys"],
+            )
+
+    return docs.mapInArrow(sketch, "doc binary, fingerprint bigint, keys array<bigint>")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) with ``alike``: whether their shingle sets reach the Jaccard similarity."""
+
+    @F.arrow_udf("array<bigint>")
+    def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sets = [
+                np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts.to_pylist()
+            ]
+            yield pa.array(sets, pa.list_(pa.int64()))
+
+    asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    sets = settle(
+        docs.join(asked, "doc", "left_semi")
+        .dropDuplicates(["doc"])
+        .select("doc", shingle_set("text").alias("set")),
+        "shingle-sets",
+    )
+    both = pairs.join(
+        sets.select(F.col("doc").alias("a"), F.col("set").alias("one")), "a"
+    ).join(sets.select(F.col("doc").alias("b"), F.col("set").alias("two")), "b")
+    common = F.size(F.array_intersect("one", "two"))
+    every = F.size("one") + F.size("two") - common
+    return both.select("a", "b", ((every == 0) | (common >= similarity * every)).alias("alike"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    distance: int = 3,
+    bands: int = 16,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: the smallest id of each group stays.
+
+    Two texts are near duplicates when their sets of ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more; groups are what such links connect. Candidates
+    are texts whose fingerprints differ in at most ``distance`` bits, found by multi-index
+    hashing, and, since few pairs at 0.8 are that close in a 64-bit fingerprint, texts
+    that share one of ``bands`` keys of four min-hashes. Every candidate is verified on
+    the whole shingle sets. In a key's bucket each text meets the smallest one; those
+    unlike it meet the smallest of the rest, and so on until none is left, so a bucket
+    costs its size and not its square, and no bucket is gathered in a task.
+
+    Texts without words are alike. NULL texts count as empty. Repeated rows (same id and
+    text) leave one; of a NULL id and others the NULL goes. An empty table gives an empty
+    one; columns may have any names. Starts jobs, with sketches stored in the shared folder.
+    """
+    text = whole_text(text_col)
+    identity = F.unhex(F.md5(F.concat_ws("\n", id_key(id_col), text)))
+    texts = docs.select(identity.alias("doc"), text.alias("text"))
+    sketches = settle(_sketches(texts, words, bands), "sketches").dropDuplicates(["doc"])
+
+    owners = sketches.groupBy("fingerprint").agg(F.min("doc").alias("owner"))
+    close = (
+        hamming_links(owners.select("fingerprint"), distance, 2)
+        .join(owners.toDF("a", "one"), "a")
+        .join(owners.toDF("b", "two"), "b")
+        .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    )
+    same = (
+        sketches.select("doc", "fingerprint")
+        .join(owners, "fingerprint")
+        .filter("doc <> owner")
+        .select(F.col("owner").alias("a"), F.col("doc").alias("b"))
+    )
+    extra = close.union(same)
+    members = sketches.select("doc", F.explode("keys").alias("key"))
+    found = None
+    while True:
+        centres = (
+            members.groupBy("key")
+            .agg(F.min("doc").alias("a"), F.max("doc").alias("last"))
+            .filter("a <> last")
+            .select("key", "a")
+        )
+        met = members.join(centres, "key").filter("doc <> a")
+        pairs = met.select("a", F.col("doc").alias("b"))
+        pairs = settle((pairs if extra is None else pairs.union(extra)).distinct(), "candidates")
+        if pairs.isEmpty():
+            break
+        judged = settle(_similar(pairs, texts, words, similarity), "judged")
+        links = judged.filter("alike").select("a", "b")
+        found = links if found is None else found.union(links)
+        unlike = judged.filter("NOT alike").select("a", F.col("b").alias("doc"))
+        members = settle(met.join(unlike, ["a", "doc"], "left_semi").select("doc", "key"), "rest")
+        extra = None
+    rows = as_rows(docs, id=F.col(id_col), doc=identity)
+    if found is None:
+        return original(rows.dropDuplicates(["doc"]))
+    groups = settle(components(found), "groups")
+    ids = docs.select(F.col(id_col).alias("id"), identity.alias("doc"))
+    # The member with the smallest id stays; equal ids are told apart by their text's digest.
+    stay = (
+        ids.join(groups, F.col("doc") == F.col("node"))
+        .groupBy("least")
+        .agg(F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("best"))
+    )
+    gone = groups.join(stay, "least").filter("node <> best.doc").select(F.col("node").alias("doc"))
+    return original(rows.join(gone, "doc", "left_anti").dropDuplicates(["doc"]))
