@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -30,7 +31,8 @@ WORD_LEVEL = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
 )
 
-MEMORY = 300_000
+# Distinct words that a worker remembers from task to task; beyond it the memory is emptied.
+MEMORY = 600_000
 BLOCKS = 128
 
 
@@ -84,6 +86,11 @@ class WordIds:
                     yield np.asarray(encoded.ids, "<u4").tobytes()
 
 
+@lru_cache(maxsize=2)
+def _encoder(file: str) -> WordIds:
+    return WordIds(file)
+
+
 def cut_pieces(
     docs: DataFrame,
     window: int,
@@ -96,7 +103,7 @@ def cut_pieces(
     """(id, start, length, crc, doc_tokens[, ids]) of full windows and one remainder per row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(tokenizer)
+        encoder = _encoder(tokenizer)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
             owner, start, length, crc, total, ids = [], [], [], [], [], []

@@ -13,6 +13,7 @@ from hydrorisk.llm.packing import pack
 from hydrorisk.llm.register import LLM_ORACLES, LLM_QUERIES, query
 from hydrorisk.llm.sharding import shard_by_bytes
 from hydrorisk.llm.simhash import simhash_components
+from hydrorisk.llm.substring_dedup import repeated_passages
 from hydrorisk.llm.token_counts import token_counts
 from hydrorisk.llm.toxicity import fit_toxicity, score_toxicity
 from hydrorisk.llm.url_templates import judge_urls
@@ -122,3 +123,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that are found again in another document."""
+    return repeated_passages(table(spark, sf_dir, "documents"), words=50, similarity=0.8)
