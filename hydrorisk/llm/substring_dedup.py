@@ -6,35 +6,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import whole_text
-from hydrorisk.llm.simhash import shingle_hashes
 from hydrorisk.session import settle
 
 SHINGLE = 5
 GRID = 64
 NO_ID = -(1 << 63)
+MEMORY = 500_000
+TIES = np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+class WordHashes(dict):
+    """XXH64 of each distinct word, computed once while the memory lasts."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def passage_hashes(text: str, known: WordHashes) -> np.ndarray:
+    """A 64-bit hash of each ``SHINGLE``-word shingle, rolled over the words' hashes."""
+    if len(known) > MEMORY:
+        known.clear()
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < SHINGLE:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = len(words) - SHINGLE + 1
+    rolled = np.zeros(n, np.uint64)
+    for at in range(SHINGLE):
+        rolled = rolled * FACTORS[0] + hashes[at : at + n]
+        rolled ^= rolled >> np.uint64(29)
+    return rolled * FACTORS[1]
+
+
 def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
     """Rows (left, centre, right): nodes of the Cartesian tree over at least ``least`` values.
 
     The centre holds the minimum of its node, so all stretches inside the node that hold
     the centre share that minimum; every stretch of ``least`` values or more belongs to
-    exactly one node. Of equal minima the middle one is the centre, which keeps the
+    exactly one node. Places break ties by a hash in the lowest bits, which keeps the
     tree shallow for repetitive texts.
     """
+    place = np.arange(len(values), dtype=np.uint64) * FACTORS[2] >> np.uint64(44)
+    order = (values & TIES) | place
     found, todo = [], [(0, len(values) - 1)]
     while todo:
         left, right = todo.pop()
         if right - left + 1 < least:
             continue
-        part = values[left : right + 1]
-        ties = np.flatnonzero(part == part.min())
-        centre = left + int(ties[len(ties) // 2])
+        centre = left + int(order[left : right + 1].argmin())
         found.append((left, centre, right))
         todo += [(left, centre - 1), (centre + 1, right)]
     return np.asarray(found, np.int64).reshape(-1, 3)
@@ -48,7 +74,8 @@ def _mixed(values: np.ndarray, function: int) -> np.ndarray:
 
 
 def window_keys(hashes: np.ndarray, least: int, functions: int) -> np.ndarray:
-    """Rows (key, centre, left, right) by which stretches sharing a min-hash meet.
+    """Rows (key, centre, left, right) by which stretches sharing a min-hash meet;
+    left and right tell how far the node reaches from its centre.
 
     A node is keyed by the shingle at its centre. The first function's nodes are also
     keyed by the centre with half a passage on its left, and on its right: an exact
@@ -69,18 +96,21 @@ def window_keys(hashes: np.ndarray, least: int, functions: int) -> np.ndarray:
             ordered = placed[end] - placed[start] - place[start] * total
             return _mixed(total ^ (ordered * FACTORS[2]), 50 + side)
 
+        def parity(keys: np.ndarray, kind: int) -> np.ndarray:
+            return (keys & ~np.uint64(1)) | np.uint64(kind % 2)
+
         for function in range(functions):
             nodes = compact_windows(_mixed(hashes, function), least)
             if not len(nodes):
                 continue
             left, centre, right = nodes.T
-            rows.append((_mixed(hashes[centre], 10 + function), centre, left, right))
+            left, right = centre - left, right - centre
+            rows.append((parity(_mixed(hashes[centre], 10 + function), function), centre, left, right))
             if function == 0:
                 for side, start in ((0, centre - half), (1, centre)):
                     fits = (start >= 0) & (start + half < len(hashes))
-                    rows.append(
-                        (context(start[fits], side), centre[fits], left[fits], right[fits])
-                    )
+                    key = parity(context(start[fits], side), side)
+                    rows.append((key, centre[fits], left[fits], right[fits]))
     if not rows:
         return np.zeros((0, 4), np.int64)
     return np.concatenate(
@@ -126,11 +156,12 @@ def _number(id_col: str, kind: str) -> Column:
 
 def _windows(texts: DataFrame, least: int, functions: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             numbers = batch.column("number").to_pylist()
             held, size = [], 0
             for number, text in zip(numbers, batch.column("text").to_pylist(), strict=True):
-                rows = window_keys(shingle_hashes(text, SHINGLE), least, functions)
+                rows = window_keys(passage_hashes(text, known), least, functions)
                 held.append(np.column_stack([np.full(len(rows), number, np.int64), rows]))
                 size += len(rows)
                 if size >= 100_000:
@@ -143,35 +174,35 @@ def _windows(texts: DataFrame, least: int, functions: int) -> DataFrame:
         rows = np.concatenate(held)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         columns = [pa.array(rows[:, i], kinds[i]) for i in range(5)]
-        return pa.RecordBatch.from_arrays(columns, ["number", "key", "centre", "low", "high"])
+        return pa.RecordBatch.from_arrays(columns, ["number", "key", "centre", "left", "right"])
 
-    return texts.mapInArrow(cut, "number bigint, key bigint, centre int, low int, high int")
+    return texts.mapInArrow(cut, "number bigint, key bigint, centre int, left int, right int")
 
 
 def _candidates(windows: DataFrame, least: int) -> DataFrame:
     """(number, first, shift, low, high): a stretch of a document that may repeat one of ``first``.
 
-    Each window meets the window of the smallest document under its key: rows grow with
-    the windows, never with pairs of them. Windows that overlap in fewer than ``least``
+    Each window meets the window of one document under its key, the smallest for even keys
+    and the largest for odd ones: rows grow with the windows, never with pairs of them, and
+    documents that meet an unlike one under one key have other keys to meet. Windows that overlap in fewer than ``least``
     shingles when laid over each other cannot hold a common passage. What is left is folded per
     pair and shift.
     """
     shared = (
         windows.groupBy("key")
-        .agg(F.min("number").alias("first"), F.max("number").alias("last"))
-        .filter("first < last")
-        .select("key", "first")
+        .agg(F.min("number").alias("least"), F.max("number").alias("most"))
+        .filter("least < most")
+        .select("key", F.when(F.col("key") % 2 == 0, F.col("least")).otherwise(F.col("most")).alias("first"))
     )
     met = settle(windows.join(shared, "key"), "shared-windows")
     heads = (
         met.filter("number = first")
         .groupBy("key")
-        .agg(F.min(F.struct("centre", "low", "high")).alias("head"))
+        .agg(F.min(F.struct("centre", "left", "right")).alias("head"))
     )
-    left = F.least(F.col("centre") - F.col("low"), F.col("head.centre") - F.col("head.low"))
-    right = F.least(F.col("high") - F.col("centre"), F.col("head.high") - F.col("head.centre"))
+    left, right = (F.least(side, f"head.{side}") for side in ("left", "right"))
     return (
-        met.filter("number > first")
+        met.filter("number <> first")
         .join(heads, "key")
         .select(
             "number",
@@ -195,11 +226,12 @@ def _pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for number, text, stretches in zip(
                 *(batch.column(c).to_pylist() for c in ("number", "text", "stretches")), strict=True
             ):
-                hashes = (shingle_hashes(text, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+                hashes = (passage_hashes(text, known) >> np.uint64(32)).astype(np.uint32)
                 lows = [s["low"] for s in stretches]
                 highs = [s["high"] for s in stretches]
                 parts = [hashes[a:b].tobytes() for a, b in zip(lows, highs, strict=True)]
@@ -233,10 +265,12 @@ def repeated_passages(
     A passage is a stretch of ``words`` words or more (split at white space, A-Z
     lower-cased) whose five-word shingles have a Jaccard similarity of ``similarity`` or
     more with a stretch of the document ``first_id``; starts and lengths are in words. The
-    smallest id that shares a window's key stands for all documents that do, so copies of
-    a passage give one row each and not one per pair; both ends of a row hold the passage.
-    Exact repeats always share keys of half a passage; those at the similarity share at
-    least one min-hash of ``functions`` with probability 1 - (1 - s)^functions.
+    smallest or the largest id that shares a window's key stands for all documents that do,
+    so copies of a passage give a row or two each and not one per pair; both ends of a row
+    hold the passage. Exact repeats always share keys of half a passage; those at the
+    similarity share at least one min-hash of ``functions`` with probability
+    1 - (1 - s)^functions. A passage is missed where, under all of its keys, the document
+    that stands for the others shares the key but not the passage (figures in the README).
 
     Rows that share an id are one document, as are those with NULL ids; repeats inside a
     document are not reported. NULL, empty and shorter texts hold no passage. An empty

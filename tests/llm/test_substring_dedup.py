@@ -10,7 +10,7 @@ from hydrorisk.llm.substring_dedup import alike_stretches, compact_windows, repe
 @pytest.mark.parametrize("kinds", [3, 50, 10**6])
 def test_each_stretch_lies_in_one_window_with_its_minimum(kinds):
     rng = np.random.default_rng(kinds)
-    values = rng.integers(0, kinds, 60).astype(np.uint64)
+    values = rng.integers(0, kinds, 60).astype(np.uint64) << np.uint64(20)
     least = 7
     nodes = compact_windows(values, least)
     for i in range(60):
