@@ -92,22 +92,23 @@ def spi_daily(df: DataFrame, digits: int = 3) -> DataFrame:
 
 
 def long_sums(
-    df: DataFrame, windows: list[int] = WINDOWS, largest: int | None = None
+    df: DataFrame, windows: list[int] = WINDOWS, rows_per_task: int | None = None
 ) -> DataFrame:
     """Full-window rolling rain sums, missing until the window is filled."""
     stages, helpers = rolling_sums(RAIN, {n: f"rain_rolling_{n}d" for n in windows})
-    return over_rows(df, *stages, back=max(windows) - 1, largest=largest).drop(*helpers)
+    reach = max(windows) - 1
+    return over_rows(df, *stages, back=reach, rows_per_task=rows_per_task).drop(*helpers)
 
 
 def spi_window(
-    df: DataFrame, windows: list[int] = WINDOWS, largest: int | None = None
+    df: DataFrame, windows: list[int] = WINDOWS, rows_per_task: int | None = None
 ) -> DataFrame:
     """Index of the rolling sums as ``spi_<n>d``, all windows in one pass.
 
     Fit and score both read the sums, so they are written once to the shared
-    folder. Fit on all rows: apply a date limit afterwards.
+    folder. Fit on all rows: apply a date limit afterwards. Starts jobs.
     """
-    sums = settle(long_sums(df, windows, largest), "rolling-sums")
+    sums = settle(long_sums(df, windows, rows_per_task), "rolling-sums")
     columns = [f"rain_rolling_{n}d" for n in windows]
     outputs = {f"rain_rolling_{n}d": f"spi_{n}d" for n in windows}
     return transform_spi(sums, store_fit(sums, columns), outputs).drop(*columns)

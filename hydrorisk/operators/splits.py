@@ -8,15 +8,17 @@ merely filtered at the row found, so both parts keep pushdown and need no shuffl
 from __future__ import annotations
 
 import datetime
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrorisk.operators.windows import ROWS_PER_TASK, positions, running_total
+from hydrorisk.operators.windows import positions, running_total
 from hydrorisk.schemas import DATE, DIVISION, KEY
 
+# Hex digits of a digest that are ranked together.
+PREFIX = 3
+
 
 @dataclass(frozen=True)
 class Cut:
@@ -115,14 +117,13 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold``: a seeded shuffle inside each class, dealt out in turn.
 
-    Fold sizes of a class differ by at most one. The shuffle order is a digest
-    of the row key; ranking runs per digest prefix, long enough for the counted
-    rows, so a class that holds most rows is ranked by many tasks.
+    Fold sizes of a class differ by at most one; rows without a class are a class. The
+    shuffle order is a digest of the row key; ranking runs per ``PREFIX`` hex digits of
+    it, so a class that holds most rows is ranked by many tasks.
     """
     digest = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
-    digits = 1 + int(math.log(max(df.count() / ROWS_PER_TASK, 1), 16))
     dealt = positions(
-        df.withColumn("_digest", digest).withColumn("_block", F.substring("_digest", 1, digits)),
+        df.withColumn("_digest", digest).withColumn("_block", F.substring("_digest", 1, PREFIX)),
         [target],
         "_block",
         ["_digest", *keys],

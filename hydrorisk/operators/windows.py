@@ -2,17 +2,18 @@
 
 History is counted in rows, not calendar days: a missing date shortens it.
 
-A division normally has at most one row per day, so a window task that owns a
-whole division is small. Where a division is larger than ``rows_per_task`` the
-same windows run over slices of it: every row gets its exact position in the
-division, slices are cut by position, and each slice also receives the rows just
-outside it that its frames reach. The result is the same row for row.
+Rows of a division are in one total order: by date, and rows of one day by a hash of
+their content, so that repeated days are placed alike in every run. A division is a
+window task of its own unless the caller sets ``rows_per_task``: then every row gets its
+exact position in the division, slices are cut by position, and each slice also
+receives the rows just outside it that its frames reach. Both give the same rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -20,8 +21,6 @@ from pyspark.sql import functions as F
 from hydrorisk.schemas import DATE, DIVISION, RAIN
 from hydrorisk.session import shared_root
 
-ROWS_PER_TASK = 4_000_000
-
 # Builds new columns from the window they are to run over.
 Stage = Callable[[WindowSpec], dict[str, Column]]
 
@@ -30,12 +29,6 @@ def panel_sort(df: DataFrame) -> DataFrame:
     return df.orderBy(DIVISION, DATE)
 
 
-def largest_group(df: DataFrame, by: str = DIVISION) -> int:
-    """Rows of the largest group: one job over the key column with map-side counts."""
-    top = df.groupBy(by).count().agg(F.max("count")).first()[0]
-    return top or 0
-
-
 def positions(
     df: DataFrame, by: list[str], block: str, order: list[str | Column], name: str = "position"
 ) -> DataFrame:
@@ -43,7 +36,8 @@ def positions(
 
     ``block`` is a coarser form of ``order`` (month of the date, prefix of a
     hash), so no task ranks more than one block of a group; the sizes of the
-    earlier blocks shift the ranks.
+    earlier blocks shift the ranks. NULLs in ``by`` and ``block`` are values like others,
+    and come first.
     """
     before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -52,10 +46,12 @@ def positions(
         .select(*by, block, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
     rank = F.row_number().over(Window.partitionBy(*by, block).orderBy(*order))
-    return (
-        df.withColumn("_rank", rank)
-        .join(starts, [*by, block], "left")
-        .select(*df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_rank")).alias(name))
+    ranked = df.withColumn("_rank", rank).alias("_rows")
+    same = [
+        F.col(f"_rows.{c}").eqNullSafe(F.col(f"_starts.{c}")) for c in dict.fromkeys([*by, block])
+    ]
+    return ranked.join(starts.alias("_starts"), reduce(Column.__and__, same)).select(
+        *[F.col(f"_rows.{c}") for c in df.columns], (F.col("_start") + F.col("_rank")).alias(name)
     )
 
 
@@ -64,21 +60,22 @@ def over_rows(
     *stages: Stage,
     back: int = 0,
     ahead: int = 0,
-    rows_per_task: int = ROWS_PER_TASK,
-    largest: int | None = None,
+    rows_per_task: int | None = None,
     block: str = "month",
 ) -> DataFrame:
     """Add window columns computed over (division, date) order.
 
     Later stages may use the columns of earlier ones; together their frames may
     reach at most ``back`` rows before and ``ahead`` rows after the current one.
-    ``largest`` is the known size bound of a division; measured when not given.
+    By default a task holds a whole division, which daily rows keep small: thirty years
+    are 11,000 of them. Set ``rows_per_task`` where a division may hold many times that;
+    it costs one more shuffle and changes no row. A NULL division is one division.
     """
-    if largest is None:
-        largest = largest_group(df)
-    if largest <= rows_per_task:
-        return _add_stages(df, stages, Window.partitionBy(DIVISION).orderBy(DATE))
-    return _over_slices(df, stages, back, ahead, rows_per_task, block)
+    ordered = df.withColumn("_content", F.xxhash64(*df.columns))
+    if rows_per_task is None:
+        window = Window.partitionBy(DIVISION).orderBy(DATE, "_content")
+        return _add_stages(ordered, stages, window).drop("_content")
+    return _over_slices(ordered, stages, back, ahead, rows_per_task, block)
 
 
 def _add_stages(df: DataFrame, stages: tuple[Stage, ...], window: WindowSpec) -> DataFrame:
@@ -96,11 +93,13 @@ def _over_slices(
     block: str,
 ) -> DataFrame:
     size = max(rows_per_task, back, ahead)
-    # Repeated days are ordered by content, so that a recomputed task places them alike.
-    order = [F.col(DATE), F.xxhash64(*df.columns)]
     placed = positions(
-        df.withColumn("_block", F.trunc(DATE, block)), [DIVISION], "_block", order, "_position"
-    ).drop("_block")
+        df.withColumn("_block", F.trunc(DATE, block)),
+        [DIVISION],
+        "_block",
+        [DATE, "_content"],
+        "_position",
+    ).drop("_block", "_content")
     index = F.col("_position") - 1
     home = F.floor(index / size)
     offset = index % size
@@ -203,7 +202,7 @@ def running_total(df: DataFrame, order: list[str | Column], value: str, name: st
     )
     return (
         ordered.withColumn("_inside", F.sum(value).over(inside))
-        .join(F.broadcast(starts), "_slice")
+        .join(starts, "_slice")
         .withColumn(name, F.col("_start") + F.col("_inside"))
         .drop("_slice", "_start", "_inside")
     )

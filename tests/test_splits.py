@@ -1,3 +1,5 @@
+import datetime
+
 from collections import Counter
 
 import pandas as pd
@@ -81,3 +83,12 @@ def test_folds_are_balanced_within_classes(panel_df):
     assert again == {(r["division"], r["date"]): r["fold"] for r in other.collect()}
     reseeded = splits.stratified_folds(classed, "y", folds=3, seed=2)
     assert again != {(r["division"], r["date"]): r["fold"] for r in reseeded.collect()}
+
+
+def test_folds_of_rows_without_a_class_are_even(spark):
+    rows = [("d", datetime.date(2000, 1, 1) + datetime.timedelta(days=i), None if i % 3 else 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "division string, date date, c int")
+    sizes = splits.stratified_folds(df, "c", 3).groupBy("c", "fold").count().collect()
+    for kind in (None, 1):
+        own = [r["count"] for r in sizes if r["c"] == kind]
+        assert len(own) == 3 and max(own) - min(own) <= 1

@@ -8,7 +8,6 @@ from hydrorisk.operators.forecast import horizon_targets
 from hydrorisk.operators.spi import long_sums
 from hydrorisk.operators.windows import (
     antecedent_rain,
-    largest_group,
     over_rows,
     positions,
     rolling_sums,
@@ -101,7 +100,7 @@ def test_no_slice_task_exceeds_its_bound(panel_df):
         lambda w: {"in_task": F.count(F.lit(1)).over(w.rowsBetween(-10_000, 10_000))},
         back=6, ahead=3, rows_per_task=50,
     )
-    assert largest_group(panel_df) > 1000
+    assert panel_df.groupBy("division").count().agg(F.max("count")).first()[0] > 1000
     assert sliced.agg(F.max("in_task")).first()[0] <= 50 + 6 + 3
 
 
@@ -120,3 +119,22 @@ def test_running_total(spark):
     df = spark.createDataFrame(rows, "k string, v long").repartition(16)
     got = sorted((r["k"], r["t"]) for r in running_total(df, ["k"], "v", "t").collect())
     assert got == [(k, int(t)) for (k, _), t in zip(rows, np.cumsum([v for _, v in rows]))]
+
+
+@pytest.mark.parametrize("rows_per_task", [7, 50, 1000])
+def test_repeated_days_and_no_division_agree_both_ways(spark, rows_per_task):
+    """Whole divisions and slices place equal days, NULL days and NULL divisions alike."""
+    rng = np.random.default_rng(rows_per_task)
+    rows = [
+        (None if d == 1 else f"d{d}", None if i % 50 == 0 else f"2000-{1 + i // 28:02d}-{1 + i % 28:02d}", float(v))
+        for d in range(3)
+        for i in range(300)
+        for v in rng.integers(0, 40, 2)
+    ]
+    df = spark.createDataFrame(rows, "division string, day string, rain_sum double").select(
+        "division", F.to_date("day").alias("date"), "rain_sum"
+    )
+    whole = over_rows(df, antecedent_rain, back=6)
+    sliced = over_rows(df, antecedent_rain, back=6, rows_per_task=rows_per_task)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, sliced.collect()))
+    assert whole.count() == len(rows)
