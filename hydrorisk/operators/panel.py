@@ -23,22 +23,35 @@ def assemble_panel(rain: DataFrame, temperature: DataFrame, soil: DataFrame) ->
 def assemble_unique_panel(*sources: DataFrame) -> DataFrame:
     """The same panel with one shuffle, for sources whose (date, division) is unique.
 
-    Each source is padded with typed NULLs and the union is grouped once.
+    Each source is padded with typed NULLs and the union is grouped once. The same
+    aggregation counts the rows of each source per key: a repeated key raises an
+    error instead of losing a row.
     """
     measures = [(c, t) for s in sources for c, t in s.dtypes if c not in KEY]
     padded = [
         s.select(
-            *KEY, *[F.col(c) if c in s.columns else F.lit(None).cast(t).alias(c) for c, t in measures]
+            *KEY,
+            *[F.col(c) if c in s.columns else F.lit(None).cast(t).alias(c) for c, t in measures],
+            *[F.lit(int(i == n)).alias(f"_source_{n}") for n in range(len(sources))],
         )
-        for s in sources
+        for i, s in enumerate(sources)
     ]
     stacked = padded[0]
     for more in padded[1:]:
         stacked = stacked.unionByName(more)
-    return (
-        stacked.groupBy(*KEY)
-        .agg(*[F.max(c).alias(c) for c, _ in measures])
-        .select(DATE, DIVISION, *[c for c, _ in measures])
+    most = F.greatest(*[F.sum(f"_source_{n}") for n in range(len(sources))], F.lit(0))
+    grouped = stacked.groupBy(*KEY).agg(
+        *[F.max(c).alias(c) for c, _ in measures], most.alias("_rows")
+    )
+    repeated = F.concat(
+        F.lit("repeated key in a source: "),
+        F.coalesce(F.col(DATE).cast("string"), F.lit("no date")),
+        F.lit(", "),
+        F.coalesce(F.col(DIVISION).cast("string"), F.lit("no division")),
+    )
+    checked = F.when(F.col("_rows") > 1, F.raise_error(repeated)).otherwise(F.col(DATE))
+    return grouped.select(
+        checked.cast(dict(sources[0].dtypes)[DATE]).alias(DATE), DIVISION, *[c for c, _ in measures]
     )
 
 
@@ -58,9 +71,9 @@ def with_backfill(rain: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def panel_features(df: DataFrame, largest: int | None = None) -> DataFrame:
+def panel_features(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Lag, short rolling sums and seasonal encoding."""
-    return month_cyclic(over_rows(df, antecedent_rain, back=6, largest=largest))
+    return month_cyclic(over_rows(df, antecedent_rain, back=6, rows_per_task=rows_per_task))
 
 
 def monthly_means(df: DataFrame) -> DataFrame:
@@ -117,6 +130,6 @@ def balanced_weights(df: DataFrame, target: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, weights: DataFrame, target: str) -> DataFrame:
-    """Attach each row's class weight; the weights have one row per class (four at most)."""
-    weighted = df.join(F.broadcast(weights.select(target, "class_weight")), target)
+    """Attach each row's class weight; rows of a class without one are left out."""
+    weighted = df.join(weights.select(target, "class_weight"), target)
     return weighted.select(*df.columns, "class_weight")

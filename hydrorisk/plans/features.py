@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from hydrorisk.functions.scalars import month_cyclic, round_frame, since
-from hydrorisk.operators.panel import assemble_panel
+from hydrorisk.operators.panel import assemble_unique_panel
 from hydrorisk.operators.spi import WINDOWS, store_fit, transform_spi
 from hydrorisk.operators.windows import antecedent_rain, over_rows, rolling_sums
 from hydrorisk.schemas import DATE, DIVISION, MEASURES, RAIN
@@ -23,11 +23,12 @@ def feature_matrix(
 ) -> DataFrame:
     """Join, antecedent rain, seasonal encoding and indices, from ``first_day`` on, 3 digits.
 
-    Earlier rows still warm up the windows and take part in the fits. All window
+    Earlier rows still warm up the windows and take part in the fits. A key that a source
+    repeats is an error. All window
     columns share one pass over the panel, written once because fit and score
     both read it.
     """
-    panel = settle(assemble_panel(rain, temperature, soil), "panel")
+    panel = settle(assemble_unique_panel(rain, temperature, soil), "panel")
 
     sums = {n: f"_sum_{n}" for n in windows}
     stages, helpers = rolling_sums(RAIN, sums)

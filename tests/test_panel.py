@@ -191,3 +191,12 @@ def test_class_distribution_order(spark):
     df = spark.createDataFrame([("Normal",)] * 3 + [("Severe",)] * 4 + [("Extreme",)], "s string")
     got = [tuple(r) for r in quality.class_distribution(df, "s").collect()]
     assert got == [("Severe", 4), ("Normal", 3), ("Extreme", 1)]
+
+
+def test_a_repeated_key_is_an_error(spark):
+    one = spark.createDataFrame([("a", "2000-01-01", 1.0), ("a", "2000-01-01", 2.0)], "division string, d string, x double")
+    one = one.select("division", F.to_date("d").alias("date"), "x")
+    two = one.limit(1).withColumnRenamed("x", "y")
+    with pytest.raises(Exception, match="repeated key"):
+        ops.assemble_unique_panel(one, two).collect()
+    assert ops.assemble_unique_panel(two, two.withColumnRenamed("y", "z")).count() == 1
