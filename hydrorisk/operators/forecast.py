@@ -36,7 +36,7 @@ from hydrorisk.operators.panel import (
     with_class_weight,
 )
 from hydrorisk.operators.splits import split_fraction, stratified_folds
-from hydrorisk.operators.windows import largest_group, lead_rows, over_rows
+from hydrorisk.operators.windows import lead_rows, over_rows
 from hydrorisk.schemas import FEATURES, HORIZONS, KEY, PREDICTIONS, TARGETS
 from hydrorisk.session import settle
 
@@ -58,15 +58,52 @@ class TreeParams:
     seed: int = 42
 
 
-def horizon_targets(df: DataFrame, label: str, largest: int | None = None) -> DataFrame:
+def horizon_targets(df: DataFrame, label: str, rows_per_task: int | None = None) -> DataFrame:
     """Label 1, 2 and 3 rows ahead."""
     return over_rows(
-        df, lambda w: lead_rows(w, label, HORIZONS), ahead=max(HORIZONS), largest=largest
+        df,
+        lambda w: lead_rows(w, label, HORIZONS),
+        ahead=max(HORIZONS),
+        rows_per_task=rows_per_task,
     )
 
 
+def prepare_features(
+    df: DataFrame, encoder: DataFrame | None = None, rows_per_task: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """All columns and the twelve inputs of every row with a previous day, and the encoder used.
+
+    Needs no targets, so the newest days can be scored: pass rows with the index against a
+    stored baseline, and the stored encoder; rows of divisions it does not know are
+    left out. Without an encoder one is fitted, for which the features are stored in the
+    shared folder (a job).
+    """
+    featured = drop_missing(panel_features(df, rows_per_task), ["rain_lag_1"])
+    if encoder is None:
+        featured = settle(featured, "features")
+        encoder = fit_division_encoder(featured)
+    return encode_division(featured, encoder), encoder
+
+
+def newest_features(
+    df: DataFrame, encoder: DataFrame, rows: int = 3, rows_per_task: int | None = None
+) -> DataFrame:
+    """Keys and the twelve inputs of the last ``rows`` rows of every known division."""
+    coded, _ = prepare_features(df, encoder, rows_per_task)
+    followed = over_rows(
+        coded,
+        lambda w: {"_followed": F.lead(F.lit(1), rows).over(w)},
+        ahead=rows,
+        rows_per_task=rows_per_task,
+    )
+    return followed.filter(F.col("_followed").isNull()).select(*KEY, *FEATURES)
+
+
 def prepare_horizon(
-    df: DataFrame, label: str, encoder: DataFrame | None = None
+    df: DataFrame,
+    label: str,
+    encoder: DataFrame | None = None,
+    rows_per_task: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Keys, the twelve features and the three targets, with the encoder used.
 
@@ -74,16 +111,18 @@ def prepare_horizon(
     divisions the encoder does not know, and only then are labels looked up
     ahead, among the rows left.
     """
-    largest = largest_group(df)
-    featured = drop_missing(panel_features(df, largest), ["rain_lag_1"])
-    if encoder is None:
-        encoder = fit_division_encoder(featured)
-    coded = encode_division(featured, encoder).withColumn(label, severity_ordinal(F.col(label)))
-    ahead = drop_missing(horizon_targets(coded, label, largest), [*TARGETS, label])
+    coded, encoder = prepare_features(df, encoder, rows_per_task)
+    coded = coded.withColumn(label, severity_ordinal(F.col(label)))
+    ahead = drop_missing(horizon_targets(coded, label, rows_per_task), [*TARGETS, label])
     targets = [F.col(t).cast("int").alias(t) for t in TARGETS]
     return ahead.select(*KEY, *FEATURES, *targets), encoder
 
 
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows for fitting, drawn by a hash of their keys; all of a smaller input."""
+    return df.orderBy(F.xxhash64(*KEY), *KEY).limit(rows)
+
+
 def _vector_stages() -> list:
     filled = ", ".join(
         f"coalesce(cast({c} as double), {MISSING_INPUT}D) AS _in_{c}" for c in FEATURES
@@ -164,7 +203,7 @@ def predicted_names(df: DataFrame) -> DataFrame:
 
 
 def draw_params(seed: int, trial: int, kind: str) -> TreeParams:
-    """Random settings within the fixed search ranges."""
+    """Random settings within the search ranges, which are fixed values."""
     rng = random.Random(f"{seed}-{trial}")
     return TreeParams(
         kind=kind,
@@ -188,7 +227,7 @@ def tune_hazard(
 
     The class weights come from all training rows, before the hold-out.
     """
-    weights = balanced_weights(train, TARGETS[0])
+    weights = settle(balanced_weights(train, TARGETS[0]), "weights")
     fitting, holdout = split_fraction(train, 0.8)
     tried = candidates or [draw_params(seed, t, kind) for t in range(trials)]
     scores = []
@@ -247,19 +286,19 @@ def cross_validate_day1(
     def fit(fold: int):
         return estimator.copy().fit(vectors.filter(F.col("fold") != fold))
 
-    with ThreadPool(folds) as pool:
-        models = pool.map(fit, range(folds))
-    scored = [
-        m.transform(vectors.filter(F.col("fold") == k)).select(
-            "fold", TARGETS[0], F.col(PREDICTIONS[0]).cast("int").alias(PREDICTIONS[0])
-        )
-        for k, m in enumerate(models)
-    ]
-    counts = settle(
-        confusion(reduce(DataFrame.unionByName, scored), TARGETS[0], PREDICTIONS[0], by=["fold"]),
-        "confusion",
-    )
-    vectors.unpersist()
+    try:
+        with ThreadPool(folds) as pool:
+            models = pool.map(fit, range(folds))
+        scored = [
+            m.transform(vectors.filter(F.col("fold") == k)).select(
+                "fold", TARGETS[0], F.col(PREDICTIONS[0]).cast("int").alias(PREDICTIONS[0])
+            )
+            for k, m in enumerate(models)
+        ]
+        predicted = reduce(DataFrame.unionByName, scored)
+        counts = settle(confusion(predicted, TARGETS[0], PREDICTIONS[0], by=["fold"]), "confusion")
+    finally:
+        vectors.unpersist()
     return (
         accuracy(counts, ["fold"])
         .join(f1_scores(counts, ["fold"]), "fold")
