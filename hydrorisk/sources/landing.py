@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydrorisk.schemas import DIVISION, MANIFEST
 
+# Partition column of landed tables: task and batch.
+LANDING = "landing"
+_BATCH = T.StructField(LANDING, T.StringType())
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Import a JSON object task → [divisions] as (task, division) rows."""
@@ -45,30 +50,61 @@ def mark_done(manifest: DataFrame, divisions: DataFrame, task: str) -> DataFrame
     ).dropDuplicates(["task", DIVISION])
 
 
-def manifest_counts(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("task").agg(F.count(F.lit(1)).alias("completed"))
+def manifest_counts(manifest: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """Finished divisions per task; with ``tasks`` (task) also those with none, as 0."""
+    counts = manifest.groupBy("task").agg(F.count(F.lit(1)).alias("completed"))
+    if tasks is None:
+        return counts
+    return (
+        tasks.select("task")
+        .distinct()
+        .join(counts, "task", "left")
+        .select("task", F.coalesce("completed", F.lit(0)).cast("bigint").alias("completed"))
+    )
+
+
+def manifest_tasks(df: DataFrame, text: str) -> DataFrame:
+    """Tasks named in manifest documents, those without divisions among them."""
+    tasks = df.select(F.explode(F.from_json(text, "map<string,array<string>>")).alias("task", "ids"))
+    return tasks.select("task").distinct()
 
 
 def manifest_reset(manifest: DataFrame, task: str) -> DataFrame:
     return manifest.filter(F.col("task") != task)
 
 
-def land(df: DataFrame, path: str, manifest_path: str, task: str) -> None:
-    """Write the rows of some divisions, then mark those divisions done.
+def land(df: DataFrame, path: str, manifest_path: str, task: str, batch: str) -> None:
+    """Write a batch of rows, then mark its divisions done.
 
-    Each division is a partition that a repeated run replaces, so a crash
-    between the two writes cannot duplicate rows. Divisions without rows are not
-    marked. The rebalance hint lets a large division use several tasks.
+    The batch is the unit that a repeated run replaces: landing it again, after a crash
+    between the two writes or with corrected rows, cannot duplicate a row, and other
+    batches of the same divisions stay. ``df`` is evaluated once; the marks come from
+    what was written. Divisions without rows are not marked, nor is one twice; a NULL
+    division is marked like any other. The rebalance hint lets a large batch use several tasks.
     """
     spark = df.sparkSession
+    own = f"{task}-{batch}"
     (
-        df.hint("rebalance", F.col(DIVISION))
+        df.withColumn(LANDING, F.lit(own))
+        .hint("rebalance")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DIVISION)
+        .partitionBy(LANDING)
         .parquet(path)
     )
-    known = stored_manifest(spark, manifest_path)
-    landed = df.select(F.lit(task).alias("task"), DIVISION).distinct()
-    fresh = landed.join(known, ["task", DIVISION], "left_anti")
-    fresh.write.mode("append").parquet(manifest_path)
+    written = read_landed(spark, path, df.schema, own)
+    landed = written.select(F.lit(task).alias("task"), DIVISION).distinct()
+    known = stored_manifest(spark, manifest_path).toDF("_task", "_division")
+    same = (F.col("task") == F.col("_task")) & F.col(DIVISION).eqNullSafe(F.col("_division"))
+    landed.join(known, same, "left_anti").write.mode("append").parquet(manifest_path)
+
+
+def read_landed(
+    spark: SparkSession, path: str, schema: T.StructType, batch: str | None = None
+) -> DataFrame:
+    """Landed rows in the given schema, so that ids like 007 stay text; one batch of them if named."""
+    columns = [f.name for f in schema.fields]
+    stored = spark.read.schema(T.StructType([*schema.fields, _BATCH])).parquet(path)
+    if batch is not None:
+        stored = stored.filter(F.col(LANDING) == batch)
+    return stored.select(*columns)
