@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +46,31 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_scope: ContextVar[str | None] = ContextVar("staging", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Owner of what is staged inside: its folder goes when the scope ends.
+
+    Frames that read staged tables are to be used inside; write results elsewhere.
+    Without a scope staged tables stay until the shared folder is emptied.
+    """
+    folder = shared_path(spark, "staging")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/hydrorisk-{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, or below the open staging scope."""
+    root = _scope.get() or shared_root(spark).rstrip("/")
+    return f"{root}/hydrorisk-{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -56,5 +81,5 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     costs a re-read instead of a recomputation.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from hydrorisk.session import staging
 from tests.compare import normal, open_duck
 
 SF = "/root/testdata/sf0.001"
@@ -14,13 +15,15 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    mine = entry.queries()[name](spark, SF).toArrow()
+    with staging(spark):
+        mine = entry.queries()[name](spark, SF).toArrow()
     assert normal(mine) == normal(duck.sql(ORACLES[name]).to_arrow_table())
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0
+    with staging(spark):
+        assert entry.queries()[name](spark, SF).count() > 0
 
 
 def test_flagship(spark):
