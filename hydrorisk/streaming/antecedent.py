@@ -15,28 +15,31 @@ MEMORY = 7
 
 OUTPUT = (
     f"{DIVISION} string, {DATE} date, {RAIN} double,"
-    " rain_lag_1 double, rain_rolling_3d double, rain_rolling_7d double"
+    " rain_lag_1 double, rain_rolling_3d double, rain_rolling_7d double, late boolean"
 )
-STATE = "days array<date>, rain array<double>"
+STATE = "days array<date>, rain array<double>, forgotten boolean"
 
 
 def _extend(
     key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Append the new days of one division to its last days and emit their features.
+    """Put the new days of one division among its last days and emit their features.
 
-    A division has one row per day, so what is held are the days new in this
-    trigger and the seven remembered ones. A day at or before the last remembered one is
-    emitted with what the memory still knows, and remembered if recent enough.
+    Days that are remembered, or arrive twice together, are repeated deliveries and are
+    dropped. ``late`` marks a day at or before the last remembered one. Where older days
+    are forgotten that its sums would need, its features are missing: such rows, and
+    the days after a late one, are for the batch operator to redo.
     """
-    arrived = [f[[DATE, RAIN]].astype({RAIN: float}).assign(_new=True) for f in frames]
-    if state.exists:
-        days, remembered = state.get
-        known = pd.DataFrame({DATE: days, RAIN: pd.Series(remembered, dtype=float), "_new": False})
-        arrived.insert(0, known)
-    rows = pd.concat(arrived, ignore_index=True)
-    rows = rows.sort_values(DATE, kind="stable").reset_index(drop=True)
-    rain = rows[RAIN].to_numpy()
+    new = pd.concat([f[[DATE, RAIN]].astype({RAIN: float}) for f in frames], ignore_index=True)
+    days, remembered, forgotten = state.get if state.exists else ([], [], False)
+    new = new.sort_values([DATE, RAIN]).drop_duplicates(DATE)
+    new = new[~new[DATE].isin(days)].assign(_new=True)
+    if len(days):
+        held = pd.DataFrame({DATE: days, RAIN: pd.Series(remembered, dtype=float), "_new": False})
+        new = pd.concat([held, new], ignore_index=True) if len(new) else held
+    rows = new.sort_values(DATE, kind="stable").reset_index(drop=True)
+    rain = rows[RAIN].to_numpy(dtype=float)
+    fresh = rows["_new"].to_numpy(dtype=bool)
     result = pd.DataFrame(
         {
             DIVISION: key[0],
@@ -45,11 +48,16 @@ def _extend(
             "rain_lag_1": np.concatenate([[np.nan], rain[:-1]]),
             "rain_rolling_3d": _window_sum(rain, 3),
             "rain_rolling_7d": _window_sum(rain, 7),
+            "late": rows[DATE] <= days[-1] if len(days) else False,
         }
     )
+    if forgotten:
+        before = (rows[DATE] < days[0]).sum()
+        result.loc[: before + MEMORY - 2, ["rain_lag_1", "rain_rolling_3d", "rain_rolling_7d"]] = np.nan
     last = rows.tail(MEMORY)
-    state.update((list(last[DATE]), [None if np.isnan(v) else float(v) for v in last[RAIN]]))
-    yield result[rows["_new"].to_numpy(dtype=bool)]
+    kept = [None if np.isnan(v) else float(v) for v in last[RAIN]]
+    state.update((list(last[DATE]), kept, bool(forgotten or len(rows) > MEMORY)))
+    yield result[fresh]
 
 
 def _window_sum(values: np.ndarray, rows: int) -> np.ndarray:
@@ -60,7 +68,11 @@ def _window_sum(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def stream_antecedent_rain(stream: DataFrame) -> DataFrame:
-    """Lag and 3 / 7 row sums per division from at most seven remembered days."""
+    """Lag and 3 / 7 row sums per division from at most seven remembered days.
+
+    The new days of one division are one task's: bound a trigger with the source's
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``, above all for a first load.
+    """
     return (
         stream.select(DIVISION, DATE, RAIN)
         .groupBy(DIVISION)

@@ -44,18 +44,29 @@ def test_antecedent_rain_over_several_triggers(spark, panel, panel_df):
     )
 
 
-def test_a_late_day_is_still_emitted(spark):
+def test_late_and_repeated_days(spark):
     path = shared_path(spark, "t-late")
     schema = "division string, date date, rain_sum double"
-    batches = [[(1, 1.0), (2, 2.0), (4, 4.0)], [(3, 3.0)], [(5, 5.0)]]
+    long = [(d, 10.0) for d in range(1, 21)]
+    batches = [
+        [("A", 1, 1.0), ("A", 2, 2.0), ("A", 4, 4.0), ("A", 4, 4.0)] + [("B", d, v) for d, v in long],
+        [("A", 3, 3.0), ("A", 2, 2.0), ("B", 6, 10.0), ("B", 20, 10.0)],
+        [("A", 5, 5.0), ("B", 21, 1.0)],
+    ]
     for turn, rows in enumerate(batches):
-        data = [("A", datetime.date(2015, 1, d), v) for d, v in rows]
+        data = [(k, datetime.date(2015, 1, d), v) for k, d, v in rows]
         append_file(spark.createDataFrame(data, schema), path, turn)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     rows = run_to_end(stream_antecedent_rain(stream), "t-late-out").collect()
-    got = {r["date"].day: (r["rain_lag_1"], r["rain_rolling_3d"]) for r in rows}
-    assert got[3] == (2.0, 6.0)
-    assert got[5] == (4.0, 12.0)
+    days = {r["date"].day: r for r in rows if r["division"] == "A"}
+    assert days[3]["late"] and days[3]["rain_lag_1"] == 2.0 and days[3]["rain_rolling_3d"] == 6.0
+    assert not days[5]["late"] and days[5]["rain_lag_1"] == 4.0 and days[5]["rain_rolling_3d"] == 12.0
+    late = [r for r in rows if r["division"] == "B" and r["late"]]
+    # Day 6 lies before all that is remembered: nothing can be said; day 20 came twice.
+    assert [(r["date"].day, r["rain_lag_1"], r["rain_rolling_7d"]) for r in late] == [(6, None, None)]
+    assert len(rows) == 5 + 20 + 1 + 1
+    last = next(r for r in rows if r["division"] == "B" and r["date"].day == 21)
+    assert last["rain_rolling_7d"] == 61.0 and last["rain_lag_1"] == 10.0
 
 
 @pytest.fixture(params=["UTC", "Asia/Colombo", "America/New_York"])
