@@ -6,26 +6,38 @@ power series over log-gamma terms.
 
 from __future__ import annotations
 
-from hydrorisk.functions.gamma import (
-    AS241_CENTRE_DEN,
-    AS241_CENTRE_NUM,
-    AS241_MIDDLE_DEN,
-    AS241_MIDDLE_NUM,
-)
+# Acklam's rational approximation of the normal quantile: fixed values, good to about 1e-9.
+_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02,
+      -3.066479806614716e01, 2.506628277459239e00]
+_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01,
+      -1.328068155288572e01, 1.0]
+_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
+      -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
+      3.754408661907416e00, 1.0]
 
 
 def _horner(coefficients: list[float], x: str) -> str:
-    text = repr(coefficients[-1])
-    for c in coefficients[-2::-1]:
-        text = f"({c!r} + {x} * {text})"
+    text = repr(coefficients[0])
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r})"
     return text
 
 
 def _probit(p: str) -> str:
-    r, t = f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))", f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)"
-    centre = f"({p} - 0.5) * {_horner(AS241_CENTRE_NUM, r)} / {_horner(AS241_CENTRE_DEN, r)}"
-    tail = f"sign({p} - 0.5) * {_horner(AS241_MIDDLE_NUM, t)} / {_horner(AS241_MIDDLE_DEN, t)}"
-    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN {centre} ELSE {tail} END"
+    """A first guess, then one Newton step against the normal CDF's own power series."""
+    r = f"(({p} - 0.5) * ({p} - 0.5))"
+    t = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    centre = f"({p} - 0.5) * {_horner(_A, r)} / {_horner(_B, r)}"
+    tail = f"sign(0.5 - {p}) * {_horner(_C, t)} / {_horner(_D, t)}"
+    guess = f"CASE WHEN abs({p} - 0.5) <= 0.47575 THEN {centre} ELSE {tail} END"
+    density = "(exp(-x * x / 2) / sqrt(2 * pi()))"
+    series = (
+        "list_sum(list_transform(range(90), lambda k: exp((2 * k + 1) * ln(greatest(abs(x), 1e-300))"
+        " - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+    )
+    cdf = f"(0.5 + sign(x) * {density} * {series})"
+    return f"list_transform([{guess}], lambda x: x - ({cdf} - {p}) / {density})[1]"
 
 
 def _digamma(x: str) -> str:

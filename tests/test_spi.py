@@ -1,4 +1,5 @@
 import math
+import time
 from statistics import NormalDist
 
 import numpy as np
@@ -159,3 +160,26 @@ def test_window_index_and_stored_parameters(panel, panel_df):
     scored = sorted_pandas(spi.spi_against_baseline(panel_df, params))
     daily = sorted_pandas(spi.spi_daily(panel_df))
     np.testing.assert_allclose(scored["spi"].astype(float), daily["spi"].astype(float), atol=5.1e-4)
+
+
+def test_cdf_of_large_shapes_is_fast_and_right():
+
+
+    rng = np.random.default_rng(1)
+    for shape in (1e5, 3e5):
+        x = shape + np.sqrt(shape) * rng.normal(size=200) * 2
+        a = np.full(200, shape)
+        exact = 1 - np.exp(a * np.log(x) - x - math.lgamma(shape)) * gamma._fraction(a, x)
+        low = x < a + 1
+        front = np.exp(a[low] * np.log(x[low]) - x[low] - math.lgamma(shape))
+        exact[low] = front * gamma._series(a[low], x[low])
+        np.testing.assert_allclose(gamma.gamma_cdf(a, x), exact, atol=2e-9)
+    for shape in (1e9, 5e11):
+        z = np.linspace(-4, 4, 2000)
+        # Wilson and Hilferty's cube is exact to 1 / shape here.
+        x = shape * (1 - 1 / (9 * shape) + z / (3 * np.sqrt(shape))) ** 3
+        start = time.perf_counter()
+        got = gamma.gamma_cdf(np.full(2000, shape), x)
+        assert time.perf_counter() - start < 0.1
+        normal = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+        np.testing.assert_allclose(got, normal, atol=1e-6)
