@@ -12,7 +12,7 @@ from hydrorisk.schemas import DATE, DIVISION
 def profile(df: DataFrame, measures: list[str]) -> DataFrame:
     """One row per measure: table size and range, and the measure's statistics.
 
-    One aggregation pass; text measures are read leniently.
+    A missing division counts as one, as in :func:`coverage`. One aggregation pass; text measures are read leniently.
     """
     kinds = dict(df.dtypes)
     values = {
@@ -21,7 +21,10 @@ def profile(df: DataFrame, measures: list[str]) -> DataFrame:
     }
     aggregates = [
         F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(DIVISION).alias("divisions"),
+        (
+            F.count_distinct(DIVISION)
+            + F.coalesce(F.max(F.col(DIVISION).isNull().cast("int")), F.lit(0))
+        ).alias("divisions"),
         F.min(DATE).alias("date_min"),
         F.max(DATE).alias("date_max"),
     ]

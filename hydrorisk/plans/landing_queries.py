@@ -28,9 +28,10 @@ from hydrorisk.plans.stand_ins import (
     station_registry,
     table,
 )
-from hydrorisk.schemas import DATE, DIVISION, MEASURES, RAIN, SOIL
+from hydrorisk.schemas import DATE, DIVISION, MEASURES, RAIN, SOIL, measurement_schema
 from hydrorisk.session import shared_path
 from hydrorisk.sources import documents, landing, tables
+from hydrorisk.sources.registry import read_registry
 
 
 @query(f"WITH {NATION_RAIN_SQL} SELECT date, division, {scaled_sql('rain_sum')} FROM rain")
@@ -161,6 +162,44 @@ def readings_to_daily(spark, sf_dir):
     return daily.select(DIVISION, DATE, scaled("value", factor=TIE_FREE))
 
 
+# A mean a hair from the middle of two roundings may go either way in floating point.
+_CLEAR = "abs(value * 1e4 - floor(value * 1e4) - 0.5) > 1e-6"
+
+
+@query(
+    f"""WITH daily AS (SELECT CAST(user_id AS VARCHAR) AS division, CAST(ts AS DATE) AS date,
+                    AVG(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT division, date, CASE WHEN {_CLEAR} THEN CAST(round(value * 1e4) AS BIGINT) END AS value
+    FROM daily"""
+)
+def rounded_daily_means(spark, sf_dir):
+    """Daily means of the event readings to the default four digits."""
+    day = local_day(F.col("ts").cast("string"))
+    readings = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias(DIVISION), day.alias(DATE), "value"
+    )
+    exact = documents.hourly_to_daily(readings, ["value"], digits=None)
+    rounded = documents.hourly_to_daily(readings, ["value"]).withColumnRenamed("value", "rounded")
+    return exact.join(rounded, [DIVISION, DATE]).select(
+        DIVISION, DATE, F.when(F.expr(_CLEAR), scaled("rounded", 4)).alias("value")
+    )
+
+
+@query(
+    f"""WITH {_ELEMENTS_SQL}
+    SELECT division, CAST(DATE '2024-01-01' + CAST(i - 1 AS INTEGER) AS DATE) AS date,
+           {scaled_sql("CAST(embedding[i] AS DOUBLE)", "rain_sum")}
+    FROM elements WHERE i <= size - label"""
+)
+def daily_document_files(spark, sf_dir):
+    """The daily documents written as JSON lines and read back from the files."""
+    path = shared_path(spark, "documents")
+    text = _vector_documents(spark, sf_dir, "daily", {RAIN: _shortened(F.col("_x"))})
+    text.write.text(path)
+    rows = documents.explode_daily(documents.read_documents(spark, path, "daily", [RAIN]), [RAIN])
+    return rows.select(DIVISION, DATE, scaled(RAIN))
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS division FROM embeddings WHERE label = 0")
 def failed_documents(spark, sf_dir):
     text = _vector_documents(spark, sf_dir, "daily", {RAIN: F.col("_x")})
@@ -170,17 +209,23 @@ def failed_documents(spark, sf_dir):
 
 
 def _segment_manifest(spark, sf_dir):
-    """Manifest documents task → [divisions] of the customers in credit, by segment."""
-    customer = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
+    """Manifest documents task → [divisions] of all customers, by segment."""
+    return landing.parse_manifest(_manifest_texts(spark, sf_dir), "text")
+
+
+def _manifest_texts(spark, sf_dir):
+    """One document per customer; its nation is a task of its own without divisions."""
+    customer = table(spark, sf_dir, "customer")
     ids = F.array(F.col("c_custkey").cast("string"), F.col("c_name"))
-    text = customer.select(F.to_json(F.create_map("c_mktsegment", ids)).alias("text"))
-    return landing.parse_manifest(text, "text")
+    idle = F.concat(F.lit("idle "), F.col("c_nationkey").cast("string"))
+    tasks = F.create_map("c_mktsegment", ids, idle, F.array().cast("array<string>"))
+    return customer.select(F.to_json(tasks).alias("text"))
 
 
 _MANIFEST_SQL = """
 manifest AS (
   SELECT c_mktsegment AS task, UNNEST([CAST(c_custkey AS VARCHAR), c_name]) AS division
-  FROM customer WHERE c_acctbal > 0)"""
+  FROM customer)"""
 
 
 @query(f"WITH {_MANIFEST_SQL} SELECT task, division FROM manifest")
@@ -188,9 +233,29 @@ def manifest_rows(spark, sf_dir):
     return _segment_manifest(spark, sf_dir)
 
 
-@query(f"WITH {_MANIFEST_SQL} SELECT task, COUNT(*) AS completed FROM manifest GROUP BY task")
+@query(
+    f"""WITH {_MANIFEST_SQL}
+    SELECT task, COUNT(*) AS completed FROM manifest GROUP BY task UNION ALL
+    SELECT DISTINCT 'idle ' || c_nationkey, 0 FROM customer"""
+)
 def manifest_counts(spark, sf_dir):
-    return landing.manifest_counts(_segment_manifest(spark, sf_dir))
+    """Finished divisions per task, tasks without any included."""
+    tasks = landing.manifest_tasks(_manifest_texts(spark, sf_dir), "text")
+    return landing.manifest_counts(_segment_manifest(spark, sf_dir), tasks)
+
+
+@query(
+    f"WITH {_MANIFEST_SQL} SELECT task, COUNT(DISTINCT division) AS divisions"
+    " FROM manifest GROUP BY task"
+)
+def manifest_files(spark, sf_dir):
+    """Manifest documents written as files and read back, one JSON object per file."""
+    path = shared_path(spark, "manifest-files")
+    whole = _segment_manifest(spark, sf_dir).groupBy("task").agg(F.collect_set(DIVISION).alias("ids"))
+    text = whole.select("task", F.to_json(F.create_map("task", "ids")).alias("value"))
+    text.write.partitionBy("task").text(path)
+    rows = landing.read_manifest(spark, path)
+    return rows.groupBy("task").agg(F.countDistinct(DIVISION).alias("divisions"))
 
 
 @query(f"WITH {_MANIFEST_SQL} SELECT task, division FROM manifest WHERE task <> 'BUILDING'")
@@ -221,18 +286,18 @@ def pending_divisions(spark, sf_dir):
     return landing.pending(registry, _segment_manifest(spark, sf_dir), "BUILDING")
 
 
-@query(
-    f"""WITH {NATION_RAIN_SQL}
+_LANDED_SQL = f"""WITH {NATION_RAIN_SQL}
     SELECT division, 'rain' AS task, COUNT(*) AS days,
            CAST(round_even(SUM(rain_sum) * 1e3, 0) AS BIGINT) AS rain_sum
     FROM rain GROUP BY division"""
-)
-def landed_twice(spark, sf_dir):
-    """Landing the same rows again replaces them and marks nothing twice."""
+
+
+def _landed(spark, batches):
+    """Land each (batch, rows) in turn; days and rain per division, with its mark."""
     path, manifest = shared_path(spark, "landed"), shared_path(spark, "manifest")
-    for _ in range(2):
-        landing.land(nation_rain(spark, sf_dir), path, manifest, "rain")
-    stored = spark.read.schema("date date, rain_sum double, division string").parquet(path)
+    for batch, rows in batches:
+        landing.land(rows, path, manifest, "rain", batch)
+    stored = landing.read_landed(spark, path, measurement_schema([RAIN]))
     return (
         stored.groupBy(DIVISION)
         .agg(F.count(F.lit(1)).alias("days"), scaled(F.sum(RAIN), 3, RAIN))
@@ -241,6 +306,20 @@ def landed_twice(spark, sf_dir):
     )
 
 
+@query(_LANDED_SQL)
+def landed_twice(spark, sf_dir):
+    """Landing the same batch again replaces it and marks nothing twice."""
+    return _landed(spark, [("all", nation_rain(spark, sf_dir))] * 2)
+
+
+@query(_LANDED_SQL)
+def landed_increments(spark, sf_dir):
+    """A first batch and newer days, both landed twice: nothing is lost, nothing doubled."""
+    rain = nation_rain(spark, sf_dir)
+    first, newer = rain.filter(F.col(DATE) < "1997-01-01"), rain.filter(F.col(DATE) >= "1997-01-01")
+    return _landed(spark, [("first", first), ("newer", newer)] * 2)
+
+
 @query(
     f"""WITH {NATION_RAIN_SQL},
     merged AS (
@@ -261,6 +340,23 @@ def registry_dimension(spark, sf_dir):
     return station_registry(spark, sf_dir)
 
 
+@query(
+    f"""WITH {STATION_REGISTRY_SQL}
+    SELECT id, district, province, CAST(id AS DOUBLE) / 4 AS lat, -CAST(id AS DOUBLE) / 8 AS lon
+    FROM registry"""
+)
+def registry_files(spark, sf_dir):
+    """The registry written as a JSON array and read back."""
+    path = shared_path(spark, "registry")
+    number = F.col("id").cast("double")
+    places = station_registry(spark, sf_dir).withColumns({"lat": number / 4, "lon": -number / 8})
+    # One array per file, several files: no task gathers the registry.
+    part = F.pmod(F.xxhash64("id"), F.lit(8)).alias("part")
+    arrays = places.groupBy(part).agg(F.collect_list(F.struct(*places.columns)).alias("all"))
+    arrays.select("part", F.to_json("all").alias("value")).write.partitionBy("part").text(path)
+    return read_registry(spark, path).select("id", "district", "province", "lat", "lon")
+
+
 @query(
     f"""WITH {STATION_REGISTRY_SQL}
     SELECT 'district' AS level, id FROM registry WHERE lower(district) = 'nation_3' UNION ALL
@@ -274,10 +370,19 @@ def registry_lookup(spark, sf_dir):
     )
 
 
-@query()
+@query("SELECT true AS has_files, true AS has_bytes, true AS text_fits")
 def dataset_size(spark, sf_dir):
-    """File sizes are not visible to SQL over the views."""
-    return tables.dataset_size(spark, f"{sf_dir}/lineitem.parquet")
+    """File sizes are not visible to SQL over the views: what must hold of them is."""
+    size = tables.dataset_size(spark, f"{sf_dir}/lineitem.parquet")
+    number = F.split("size", " ")[0].cast("double")
+    unit = F.when(F.endswith(F.col("size"), F.lit(" MB")), 1024.0**2).when(
+        F.endswith(F.col("size"), F.lit(" GB")), 1024.0**3
+    )
+    return size.select(
+        (F.col("files") > 0).alias("has_files"),
+        (F.col("bytes") > 0).alias("has_bytes"),
+        (F.abs(number - F.col("bytes") / unit) <= 0.00501).alias("text_fits"),
+    )
 
 
 _PROFILE_SQL = "UNION ALL".join(
@@ -321,17 +426,14 @@ def panel_coverage(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(s_suppkey AS VARCHAR) AS id FROM supplier
-    WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem
-                            WHERE l_returnflag = 'R' AND l_shipdate < TIMESTAMP '1995-03-01')"""
+    """SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
 )
 def missing_divisions(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    early = (F.col("l_returnflag") == "R") & (
-        F.col("l_shipdate") < F.lit("1995-03-01").cast("timestamp_ntz")
-    )
-    seen = lines.filter(early).select(F.col("l_suppkey").cast("string").alias(DIVISION))
-    return quality.missing_divisions(station_registry(spark, sf_dir), seen)
+    """Customers as the registry: those without any order are missing."""
+    registry = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias(DIVISION))
+    return quality.missing_divisions(registry, seen)
 
 
 # Characters trimmed around a name: every white-space character.
@@ -388,10 +490,20 @@ def registry_rollup(spark, sf_dir):
 
 @query(
     f"""WITH {STATION_REGISTRY_SQL}
-    SELECT district, id, COUNT(*) OVER (PARTITION BY district) AS members FROM registry"""
+    SELECT 'district' AS level, district AS place, id,
+           COUNT(*) OVER (PARTITION BY district) AS members FROM registry UNION ALL
+    SELECT 'province', province, id, COUNT(*) OVER (PARTITION BY province) FROM registry"""
 )
 def registry_members(spark, sf_dir):
-    return quality.registry_members(station_registry(spark, sf_dir), "district")
+    """Members of every district and of every province."""
+    registry = station_registry(spark, sf_dir)
+    levels = [
+        quality.registry_members(registry, level).select(
+            F.lit(level).alias("level"), F.col(level).alias("place"), "id", "members"
+        )
+        for level in ("district", "province")
+    ]
+    return levels[0].unionByName(levels[1])
 
 
 @query(

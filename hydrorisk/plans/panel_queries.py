@@ -75,6 +75,70 @@ def antecedent_rain_split(spark, sf_dir):
     return rows.select(*KEY, *[scaled(c) for c in _ANTECEDENT])
 
 
+# Line items by supplier and day, not aggregated: days repeat; every seventh has no division.
+_REPEATED_SQL = """
+panel AS (
+  SELECT CAST(l_shipdate AS DATE) AS date,
+         CASE WHEN l_suppkey % 7 <> 0 THEN CAST(l_suppkey AS VARCHAR) END AS division,
+         CAST(l_quantity AS DOUBLE) AS rain_sum
+  FROM lineitem)"""
+
+
+def _repeated_days(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    key = F.col("l_suppkey")
+    return lines.select(
+        F.to_date("l_shipdate").alias(DATE),
+        F.when(key % 7 != 0, key.cast("string")).alias(DIVISION),
+        F.col("l_quantity").cast("double").alias(RAIN),
+    )
+
+
+@query(
+    f"""WITH {_REPEATED_SQL}
+    SELECT part, division, COUNT(*) AS rows, CAST(SUM(CAST(rain_sum AS BIGINT)) AS BIGINT) AS rain,
+           COUNT(*) - 1 AS lags, 0 AS apart
+    FROM panel, (VALUES ('whole'), ('sliced')) AS p(part) GROUP BY 1, 2"""
+)
+def windows_over_repeated_days(spark, sf_dir):
+    """Both window forms over repeated days and a NULL division: rows, lags, and rows that differ."""
+    rows = settle(_repeated_days(spark, sf_dir))
+    forms = {
+        "whole": over_rows(rows, antecedent_rain, back=6),
+        "sliced": over_rows(rows, antecedent_rain, back=6, rows_per_task=50),
+    }
+    forms = {name: settle(df.withColumn("part", F.lit(name))) for name, df in forms.items()}
+    columns = [*KEY, RAIN, *_ANTECEDENT]
+    apart = (
+        forms["whole"].select(*columns).exceptAll(forms["sliced"].select(*columns))
+        .groupBy(DIVISION).agg(F.count(F.lit(1)).alias("apart"))
+        .withColumnRenamed(DIVISION, "_division")
+    )
+    both = forms["whole"].unionByName(forms["sliced"]).groupBy("part", DIVISION).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col(RAIN).cast("bigint")).alias("rain"),
+        F.count("rain_lag_1").alias("lags"),
+    )
+    return both.join(apart, F.col(DIVISION).eqNullSafe(F.col("_division")), "left").select(
+        "part", DIVISION, "rows", "rain", "lags", F.coalesce("apart", F.lit(0)).cast("int").alias("apart")
+    )
+
+
+@query(
+    f"""WITH {_REPEATED_SQL},
+    sizes AS (SELECT division, COUNT(*) AS n FROM panel GROUP BY division)
+    SELECT division, CAST(fold AS INTEGER) AS fold,
+           n // 3 + CASE WHEN fold < n % 3 THEN 1 ELSE 0 END AS rows
+    FROM sizes, range(3) AS f(fold)
+    WHERE n // 3 + CASE WHEN fold < n % 3 THEN 1 ELSE 0 END > 0"""
+)
+def fold_sizes(spark, sf_dir):
+    """Fold sizes per class, rows without a class included."""
+    rows = settle(_repeated_days(spark, sf_dir))
+    dealt = splits.stratified_folds(rows, DIVISION, keys=[DATE, RAIN])
+    return dealt.groupBy(DIVISION, "fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
 _LONG = [f"rain_rolling_{n}d" for n in (30, 90, 180)]
 _LONG_SQL = ", ".join(
     f"CASE WHEN COUNT(rain_sum) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {n}"
@@ -202,11 +266,18 @@ def division_encoder(spark, sf_dir):
     return ops.fit_division_encoder(station_panel(spark, sf_dir))
 
 
+def _early_wet(panel):
+    """Training rows of two stations in three: the encoder does not know the others."""
+    return panel.filter(
+        (F.col(RAIN) > 0) & (F.col(DATE) < "1995-06-01") & (F.col(DIVISION).cast("int") % 3 != 0)
+    )
+
+
 _WET_ENCODER_SQL = """
 encoder AS (
   SELECT division, CAST(row_number() OVER (ORDER BY division) - 1 AS INTEGER) AS division_encoded
   FROM (SELECT DISTINCT division FROM panel
-        WHERE rain_sum > 0 AND date < DATE '1995-06-01'))"""
+        WHERE rain_sum > 0 AND date < DATE '1995-06-01' AND CAST(division AS INTEGER) % 3 <> 0))"""
 
 
 @query(
@@ -215,8 +286,7 @@ encoder AS (
 )
 def encoded_divisions(spark, sf_dir):
     panel = station_panel(spark, sf_dir)
-    early = panel.filter((F.col(RAIN) > 0) & (F.col(DATE) < "1995-06-01"))
-    encoder = ops.fit_division_encoder(early)
+    encoder = ops.fit_division_encoder(_early_wet(panel))
     return ops.encode_division(panel, encoder).select(*KEY, "division_encoded")
 
 
@@ -226,8 +296,8 @@ def encoded_divisions(spark, sf_dir):
 )
 def known_divisions(spark, sf_dir):
     panel = station_panel(spark, sf_dir)
-    early = panel.filter((F.col(RAIN) > 0) & (F.col(DATE) < "1995-06-01"))
-    return ops.known_divisions(panel, ops.fit_division_encoder(early)).select(*KEY)
+    encoder = ops.fit_division_encoder(_early_wet(panel))
+    return ops.known_divisions(panel, encoder).select(*KEY)
 
 
 _PLACE = "row_number() OVER (ORDER BY division, date)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrorisk.functions import severity
@@ -15,10 +15,16 @@ from hydrorisk.functions.scalars import (
     severity_ordinal,
 )
 from hydrorisk.operators import forecast, metrics, quality, spi
-from hydrorisk.operators.panel import balanced_weights, panel_features, with_class_weight
-from hydrorisk.operators.splits import split_tail, split_temporal
+from hydrorisk.operators.panel import (
+    balanced_weights,
+    fit_division_encoder,
+    with_class_weight,
+)
+from hydrorisk.operators.splits import split_temporal
+from hydrorisk.operators.windows import antecedent_rain, over_rows, rolling_sums
 from hydrorisk.plans import spi_sql as sql
 from hydrorisk.plans.features import feature_matrix
+from hydrorisk.plans.hazards import labelled_sets
 from hydrorisk.plans.panel_queries import _ANTECEDENT_SQL, _LONG_SQL
 from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
 from hydrorisk.plans.stand_ins import (
@@ -220,7 +226,13 @@ def hazard_class_distribution(spark, sf_dir):
     FROM indexed"""
 )
 def planned_rule_labels(spark, sf_dir):
-    rows = spi.spi_window(panel_features(_stations(spark, sf_dir)), [30, 90])
+    """All windows in one pass, then the two indices and the three rules."""
+    sums = {n: f"_sum_{n}" for n in (30, 90)}
+    stages, helpers = rolling_sums(RAIN, sums)
+    rows = over_rows(_stations(spark, sf_dir), antecedent_rain, *stages, back=89).drop(*helpers)
+    rows = settle(rows, "windowed")
+    fit = spi.store_fit(rows, list(sums.values()))
+    rows = spi.transform_spi(rows, fit, {c: f"spi_{n}d" for n, c in sums.items()})
     rows = rows.withColumns({c: round_half_even(F.col(c), 3) for c in ("spi_30d", "spi_90d")})
     for rule in (severity.flood_rule_v0, severity.drought_rule_v0, severity.landslide_rule_v0):
         rows = rule(rows)
@@ -409,44 +421,175 @@ def forecast_metrics(spark, sf_dir):
     return table_.select("hazard", "horizon", *[scaled(s) for s in scores])
 
 
-_SMALL_TREES = forecast.TreeParams(trees=10, depth=5)
+# Rows that a model query fits on at most, drawn by a hash of the keys: the bound of the
+# sample, whatever the input's size. Every prepared row is predicted.
+FIT_ROWS = 5_000
+
+_HAZARDS = ["flood", "landslide", "drought"]
 
 
 def _trained(spark, sf_dir):
+    """A weighted forest of drawn settings, fitted on the days before 2000."""
     train, _, test = split_temporal(_prepared(spark, sf_dir), "2000-01-01", "2000-01-01")
-    model = forecast.fit_hazard(train, balanced_weights(train, TARGETS[0]), _SMALL_TREES)
+    train = settle(forecast.bounded_sample(train, FIT_ROWS), "fit-rows")
+    params = forecast.draw_params(42, 0, "forest")
+    model = forecast.fit_hazard(train, settle(balanced_weights(train, TARGETS[0])), params)
     return model, test
 
 
-@query()
+def _on_scale(*columns):
+    """Whether every column is one of the four ordinals."""
+    inside = [F.coalesce(F.col(c).between(0, len(SEVERITIES) - 1), F.lit(False)) for c in columns]
+    return reduce(Column.__and__, inside)
+
+
+@query(
+    f"""WITH RECURSIVE {_PREPARED_SQL}
+    SELECT date, division, true AS on_scale, true AS named FROM prepared
+    WHERE date >= DATE '2000-01-01'"""
+)
 def predicted_severities(spark, sf_dir):
-    """Forecasts of a weighted forest for the days after its training period."""
+    """Forecasts for every row after the training period: three ordinals and their names."""
     model, test = _trained(spark, sf_dir)
-    predicted = forecast.predicted_names(forecast.predict(test, model))
-    return predicted.select(*KEY, *PREDICTIONS)
+    ordinals = forecast.predict(test, model).withColumn("on_scale", _on_scale(*PREDICTIONS))
+    names = [F.col(p).isin(SEVERITIES) for p in PREDICTIONS]
+    return forecast.predicted_names(ordinals).select(
+        *KEY, "on_scale", reduce(Column.__and__, names).alias("named")
+    )
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {STATION_SQL},
+    hazards AS (SELECT * FROM (VALUES ('flood'), ('landslide'), ('drought')) AS h(hazard)),
+    horizons AS (SELECT CAST(h AS INTEGER) AS horizon FROM range(1, 4) AS r(h))
+    SELECT hazard, horizon, 0 AS moved, true AS in_range FROM hazards, horizons"""
+)
 def evaluated_model(spark, sf_dir):
-    """Metric table of a model that was stored and loaded again."""
-    model, test = _trained(spark, sf_dir)
-    path = shared_path(spark, "model")
-    encoder = test.select(DIVISION, "division_encoded").distinct()
-    forecast.save_model(model, encoder, path)
-    loaded, _ = forecast.load_model(spark, path)
-    return forecast.evaluate_hazard(test, loaded, "flood")
+    """Models of all hazards, stored with their encoders and loaded: metrics and rows they predict otherwise."""
+    labelled = settle(severity.label_all(_short_index(spark, sf_dir)), "labelled")
+    first, later = (labelled.filter(c) for c in (F.col(DATE) < "2000-01-01", F.col(DATE) >= "2000-01-01"))
+    results = []
+    for hazard in _HAZARDS:
+        label = f"{hazard}_severity"
+        train, encoder = forecast.prepare_horizon(first, label)
+        train = settle(forecast.bounded_sample(train, FIT_ROWS), "fit-rows")
+        weights = settle(balanced_weights(train, TARGETS[0]))
+        model = forecast.fit_hazard(train, weights, forecast.draw_params(42, 1, "forest"))
+        path = shared_path(spark, "model")
+        forecast.save_model(model, encoder, path)
+        loaded, known = forecast.load_model(spark, path)
+        test = settle(forecast.prepare_horizon(later, label, known)[0], "test")
+        one, two = (forecast.predict(test, m).select(*KEY, *PREDICTIONS) for m in (model, loaded))
+        moved = one.exceptAll(two).agg(F.count(F.lit(1)).cast("int").alias("moved"))
+        scores = forecast.evaluate_hazard(test, loaded, hazard)
+        limits = [F.col(m).between(0, 1) for m in ("accuracy", "f1_macro", "f1_weighted", "exact_match")]
+        inside = reduce(Column.__and__, limits) & F.col("kappa").between(-1, 1)
+        results.append(
+            scores.join(moved, F.lit(True)).select(
+                "hazard", "horizon", "moved", F.coalesce(inside, F.lit(True)).alias("in_range")
+            )
+        )
+    return reduce(DataFrame.unionByName, results)
 
 
-@query()
+@query(
+    """SELECT CAST(t AS INTEGER) AS trial, true AS in_ranges, true AS scored, 1 AS best
+    FROM range(5) AS r(t)"""
+)
 def tuned_model(spark, sf_dir):
-    """Two settings tried on the held-out tail of the training rows."""
-    train, _ = split_tail(_prepared(spark, sf_dir), 1000)
-    candidates = [_SMALL_TREES, forecast.TreeParams(trees=5, depth=3)]
-    best, scores = forecast.tune_hazard(train, candidates=candidates)
-    rows = [(p.trees, p.depth, score, p == best) for p, score in scores]
-    return spark.createDataFrame(rows, "trees int, depth int, exact_match double, best boolean")
+    """Five drawn settings tried on the held-out tail of the training rows; one is the best."""
+    rows = settle(forecast.bounded_sample(_prepared(spark, sf_dir), FIT_ROWS), "fit-rows")
+    best, scores = forecast.tune_hazard(rows, trials=5)
+    top = max(score for _, score in scores)
+    tried = [
+        (
+            trial,
+            50 <= p.trees <= 150 and 3 <= p.depth <= 8 and p == forecast.draw_params(42, trial, p.kind),
+            0 <= score <= 1,
+            sum(p == best and score == top for p, score in scores),
+        )
+        for trial, (p, score) in enumerate(scores)
+    ]
+    return spark.createDataFrame(tried, "trial int, in_ranges boolean, scored boolean, best int")
 
 
-@query()
+@query("SELECT true AS accuracy, true AS f1_macro, true AS f1_weighted")
 def cross_validated_model(spark, sf_dir):
-    return forecast.cross_validate_day1(_prepared(spark, sf_dir), _SMALL_TREES)
+    """Mean scores of day-1 classifiers over three folds, each within 0 and 1."""
+    rows = settle(forecast.bounded_sample(_prepared(spark, sf_dir), FIT_ROWS), "fit-rows")
+    scores = forecast.cross_validate_day1(rows, forecast.draw_params(42, 2, "forest"))
+    return scores.select(
+        *[F.col(m).between(0, 1).alias(m) for m in ("accuracy", "f1_macro", "f1_weighted")]
+    )
+
+
+_NEWEST_SQL = f"""{STATION_SQL},
+early AS (SELECT division, rain_sum FROM panel WHERE date < DATE '1999-01-01'),
+{sql.fit_sql("early", "rain_sum", "fit")},
+{sql.score_sql("panel", "rain_sum", "fit", "scored", "spi")},
+{_ANTECEDENT_SQL.replace("FROM panel", "FROM scored")},
+encoder AS (SELECT division, CAST(row_number() OVER (ORDER BY division) - 1 AS INTEGER)
+            AS division_encoded FROM (SELECT DISTINCT division FROM early)),
+newest AS (
+  SELECT *, sin(2 * pi() * month(date) / 12) AS month_sin,
+         cos(2 * pi() * month(date) / 12) AS month_cos,
+         row_number() OVER (PARTITION BY division ORDER BY date DESC) AS back
+  FROM antecedent JOIN encoder USING (division) WHERE rain_lag_1 IS NOT NULL)"""
+
+
+def _newest(spark, sf_dir):
+    """Inputs of the last three days per division, against a stored baseline and encoder."""
+    panel = _stations(spark, sf_dir)
+    early = panel.filter(F.col(DATE) < "1999-01-01")
+    scored = spi.spi_against_baseline(panel, spi.store_fit(early, [RAIN]))
+    return forecast.newest_features(scored, fit_division_encoder(early), rows=3)
+
+
+@query(
+    f"""WITH RECURSIVE {_NEWEST_SQL}
+    SELECT date, division, {scaled_list(FEATURES[:-1], 3)}, division_encoded FROM newest
+    WHERE back <= 3"""
+)
+def newest_inputs(spark, sf_dir):
+    rows = _newest(spark, sf_dir)
+    return rows.select(*KEY, *[scaled(c, 3) for c in FEATURES[:-1]], "division_encoded")
+
+
+@query(
+    f"""WITH RECURSIVE {_NEWEST_SQL}
+    SELECT date, division, true AS on_scale FROM newest WHERE back <= 3"""
+)
+def newest_forecasts(spark, sf_dir):
+    """The next three days' classes, asked from the newest rows, for which no target is known."""
+    model, _ = _trained(spark, sf_dir)
+    predicted = forecast.predict(_newest(spark, sf_dir), model)
+    return predicted.select(*KEY, _on_scale(*PREDICTIONS).alias("on_scale"))
+
+
+_SPLIT_SQL = f"""{STATION_SQL},
+placed AS (SELECT *, row_number() OVER (ORDER BY division, date) AS place,
+           COUNT(*) OVER () AS total FROM panel),
+train AS (SELECT * EXCLUDE (place, total) FROM placed WHERE place <= total - 8630),
+test AS (SELECT * EXCLUDE (place, total) FROM placed WHERE place > total - 8630),
+{sql.daily_sql("train", "train_index")},
+{sql.daily_sql("test", "test_index")}"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SPLIT_SQL},
+    both_parts AS (SELECT 'train' AS part, * FROM train_index
+                   UNION ALL SELECT 'test', * FROM test_index)
+    SELECT part, date, division, {scaled_sql("spi", digits=3)}, {_LABELS} FROM both_parts"""
+)
+def separate_spi_fits(spark, sf_dir):
+    """Split, an index fitted on each part by itself, and the three labels."""
+    training, test = labelled_sets(_stations(spark, sf_dir), 8630)
+    names = [f"{h}_severity" for h in _HAZARDS]
+    train = training["flood"]
+    for hazard in _HAZARDS[1:]:
+        train = train.join(training[hazard].select(*KEY, f"{hazard}_severity"), KEY)
+    parts = [
+        df.select(F.lit(part).alias("part"), *KEY, scaled("spi", 3), *names)
+        for part, df in (("train", train), ("test", test))
+    ]
+    return parts[0].unionByName(parts[1])
