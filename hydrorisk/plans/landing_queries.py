@@ -17,7 +17,6 @@ from hydrorisk.operators.panel import with_backfill, with_registry
 from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
 from hydrorisk.plans.stand_ins import (
     NATION_RAIN_SQL,
-    NATION_REGISTRY_SQL,
     NATION_SQL,
     STATION_REGISTRY_SQL,
     STATION_SQL,

@@ -465,7 +465,7 @@ def predicted_severities(spark, sf_dir):
     SELECT hazard, horizon, 0 AS moved, true AS in_range FROM hazards, horizons"""
 )
 def evaluated_model(spark, sf_dir):
-    """Models of all hazards, stored with their encoders and loaded: metrics and rows they predict otherwise."""
+    """Models of all hazards, stored with their encoders and loaded: do they score, and predict, alike?"""
     labelled = settle(severity.label_all(_short_index(spark, sf_dir)), "labelled")
     first, later = (labelled.filter(c) for c in (F.col(DATE) < "2000-01-01", F.col(DATE) >= "2000-01-01"))
     results = []
