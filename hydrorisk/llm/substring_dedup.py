@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import whole_text
@@ -17,6 +17,8 @@ SHINGLE = 5
 GRID = 64
 NO_ID = -(1 << 63)
 MEMORY = 500_000
+# Windows of a task that meet each other before they are sent on.
+WINDOWS = 1_000_000
 TIES = np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -154,29 +156,62 @@ def _number(id_col: str, kind: str) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(NO_ID)).otherwise(number)
 
 
+def _met_in_task(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (number, key, centre, left, right) of many documents, met within the task.
+
+    Gives the windows of one document per key, and what the others may repeat of it, as
+    rows (number, key, shift, low, high, first). So a key that a third of all documents
+    hold leaves a task once.
+    """
+    number, key = rows[:, 0], rows[:, 1]
+    rows = rows[np.lexsort((rows[:, 2], np.where(key & 1, -number, number), key))]
+    number, key = rows[:, 0], rows[:, 1]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    head = np.repeat(starts, np.diff(np.concatenate([starts, [len(rows)]])))
+    stands = number == number[head]
+    own, other = rows[~stands], rows[head[~stands]]
+    left, right = (np.minimum(own[:, c], other[:, c]) for c in (3, 4))
+    met = np.column_stack(
+        [own[:, 0], own[:, 0], own[:, 2] - other[:, 2], own[:, 2] - left, own[:, 2] + right + 1, other[:, 0]]
+    )
+    return rows[stands], met[left + right + 1 >= least]
+
+
 def _windows(texts: DataFrame, least: int, functions: int) -> DataFrame:
+    """(number, key, centre, left, right, first): windows to be met, without ``first``, and
+    stretches that met in their task, with shift, low and high in the place of the window."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+        held, size = [], 0
         for batch in batches:
             numbers = batch.column("number").to_pylist()
-            held, size = [], 0
             for number, text in zip(numbers, batch.column("text").to_pylist(), strict=True):
                 rows = window_keys(passage_hashes(text, known), least, functions)
+                if not len(rows):
+                    continue
                 held.append(np.column_stack([np.full(len(rows), number, np.int64), rows]))
                 size += len(rows)
-                if size >= 100_000:
-                    yield _batch(held)
+                if size >= WINDOWS:
+                    yield from emit(held)
                     held, size = [], 0
-            if held:
-                yield _batch(held)
-
-    def _batch(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        columns = [pa.array(rows[:, i], kinds[i]) for i in range(5)]
-        return pa.RecordBatch.from_arrays(columns, ["number", "key", "centre", "left", "right"])
+        if held:
+            yield from emit(held)
+
+    def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        alone, met = _met_in_task(np.concatenate(held), least)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        for rows in (alone, met):
+            columns = [pa.array(rows[:, i], kinds[i]) for i in range(rows.shape[1])]
+            if len(columns) < 6:
+                columns.append(pa.nulls(len(rows), pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                columns, ["number", "key", "centre", "left", "right", "first"]
+            )
 
-    return texts.mapInArrow(cut, "number bigint, key bigint, centre int, left int, right int")
+    return texts.mapInArrow(
+        cut, "number bigint, key bigint, centre int, left int, right int, first bigint"
+    )
 
 
 def _candidates(windows: DataFrame, least: int) -> DataFrame:
@@ -184,32 +219,27 @@ def _candidates(windows: DataFrame, least: int) -> DataFrame:
 
     Each window meets the window of one document under its key, the smallest for even keys
     and the largest for odd ones: rows grow with the windows, never with pairs of them, and
-    documents that meet an unlike one under one key have other keys to meet. Windows that overlap in fewer than ``least``
-    shingles when laid over each other cannot hold a common passage. What is left is folded per
-    pair and shift.
+    documents that meet an unlike one under one key have other keys to meet. A key has
+    one document per task at most here, so no task holds all copies of a passage. Windows
+    that overlap in fewer than ``least`` shingles when laid over each other cannot hold a
+    common passage. What is left is folded per pair and shift.
     """
-    shared = (
-        windows.groupBy("key")
-        .agg(F.min("number").alias("least"), F.max("number").alias("most"))
-        .filter("least < most")
-        .select("key", F.when(F.col("key") % 2 == 0, F.col("least")).otherwise(F.col("most")).alias("first"))
-    )
-    met = settle(windows.join(shared, "key"), "shared-windows")
-    heads = (
-        met.filter("number = first")
-        .groupBy("key")
-        .agg(F.min(F.struct("centre", "left", "right")).alias("head"))
-    )
+    under = Window.partitionBy("key")
+    window = F.when(F.col("first").isNull(), F.struct("number", "centre", "left", "right"))
+    met = windows.withColumns({"least": F.min(window).over(under), "most": F.max(window).over(under)})
+    met = met.withColumn("head", F.when(F.col("key") % 2 == 0, F.col("least")).otherwise(F.col("most")))
     left, right = (F.least(side, f"head.{side}") for side in ("left", "right"))
+    in_task = F.col("first").isNotNull()
     return (
-        met.filter("number <> first")
-        .join(heads, "key")
+        met.filter(in_task | (F.col("number") != F.col("head.number")))
         .select(
             "number",
-            "first",
-            (F.col("centre") - F.col("head.centre")).alias("shift"),
-            (F.col("centre") - left).alias("low"),
-            (F.col("centre") + right + 1).alias("high"),
+            F.coalesce("first", "head.number").alias("first"),
+            F.when(in_task, F.col("centre"))
+            .otherwise(F.col("centre") - F.col("head.centre"))
+            .alias("shift"),
+            F.when(in_task, F.col("left")).otherwise(F.col("centre") - left).alias("low"),
+            F.when(in_task, F.col("right")).otherwise(F.col("centre") + right + 1).alias("high"),
         )
         .filter(F.col("high") - F.col("low") >= least)
         .groupBy("number", "first", "shift")
@@ -274,8 +304,8 @@ def repeated_passages(
 
     Rows that share an id are one document, as are those with NULL ids; repeats inside a
     document are not reported. NULL, empty and shorter texts hold no passage. An empty
-    table gives no rows; other columns are not read. Starts jobs, with the shared windows
-    and the shingles of candidate stretches stored in the shared folder; texts cross one
+    table gives no rows; other columns are not read. Starts jobs, with candidate stretches
+    and their shingles stored in the shared folder; texts cross one
     shuffle, to meet what is asked of them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
