@@ -33,7 +33,8 @@ WORD_LEVEL = re.compile(
 
 # Distinct words that a worker remembers from task to task; beyond it the memory is emptied.
 MEMORY = 600_000
-BLOCKS = 128
+# Parts in which the pieces of one length are ranked.
+BLOCKS = 1024
 
 
 class WordIds:

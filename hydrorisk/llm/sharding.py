@@ -9,6 +9,8 @@ from hydrorisk.llm.common import whole_text
 from hydrorisk.session import settle
 
 SPREAD = 1 << 53
+# Bounds the boundaries, and the one row per range that is broadcast.
+MOST_RANGES = 65_536
 
 
 def _drawn(rows: DataFrame, per_byte: float) -> DataFrame:
@@ -21,7 +23,8 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     """How many boundaries lie at or below ``key``: a binary search in a constant array."""
     if not bounds:
         return F.lit(0)
-    array = F.array(*[F.lit(b) for b in bounds])
+    # Text that the planner folds to one constant array.
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     steps = [1 << p for p in reversed(range(len(bounds).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
@@ -38,6 +41,7 @@ def shard_by_bytes(
     id_col: str = "doc_id",
     text_col: str = "text",
     ranges: int = 512,
+    rows_per_range: int = 1_000_000,
     draws_per_range: int = 64,
     hot_share: float = 0.01,
 ) -> DataFrame:
@@ -48,9 +52,9 @@ def shard_by_bytes(
     Rows are ordered by a hash of their text, so equal texts (a group) share a shard
     unless the group alone holds more than ``hot_share`` of a shard.
 
-    Boundaries of ``ranges`` ranges are quantiles of a size-weighted sample of keys
-    (``ranges * draws_per_range`` draws are expected, whatever the input's size; raise
-    ``ranges`` so that one range fits a task). A group above ``hot_share`` would overfill
+    Ranges are ``ranges``, or more so that one has about ``rows_per_range`` rows, which a
+    task ranks, but ``MOST_RANGES`` at most. Their boundaries are quantiles of a
+    size-weighted sample of keys, of ``draws_per_range`` expected draws a range. A group above ``hot_share`` would overfill
     its range: it is subdivided by id. No more than ``shards / hot_share`` groups can be
     that large, so their list is small at any input size. Exact bytes of every range then
     give each range, and each group in it, its place; the shard is the place of its middle.
@@ -69,7 +73,8 @@ def shard_by_bytes(
         ),
         "keys",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = min(MOST_RANGES, max(ranges, count // rows_per_range))
     target = max(1.0, total / shards)
     # At most shards / hot_share rows: the bound holds for any input.
     hot = (
