@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import table
 from hydrorisk.llm.decontamination import build_index, drop_contaminated
 from hydrorisk.llm.exact_dedup import drop_exact_copies
 from hydrorisk.llm.near_duplicates import drop_near_duplicates
 from hydrorisk.llm.packing import pack
-from hydrorisk.llm.toxicity import fit_toxicity, score_toxicity
+from hydrorisk.llm.toxicity import drop_toxic, fit_toxicity
 from hydrorisk.session import shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,10 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels")
     model = fit_toxicity(table(spark, sf_dir, "documents"), labels)
-    scored = score_toxicity(docs, model, name="_toxicity")
-    if not model.odds:
-        return docs
-    return scored.filter(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+    return drop_toxic(docs, model, TOXIC_FROM)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrorisk.llm.common import as_rows, whole_text
+from hydrorisk.llm.common import as_rows, original, whole_text
 from hydrorisk.llm.token_counts import portions
 
 WORD = re.compile(r"\w+")
@@ -256,6 +256,19 @@ def fit_toxicity(
     return train_model(examples)
 
 
+def _scorer(docs: DataFrame, model: ToxicityModel):
+    """The model as a column function; it is bounded by the dictionaries' size and sent once."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = sent.value
+        for texts in batches:
+            yield pa.array(own.scores(texts.to_pylist()), pa.float64())
+
+    return scored
+
+
 def score_toxicity(
     docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score"
 ) -> DataFrame:
@@ -266,14 +279,19 @@ def score_toxicity(
     gives no rows, a column called ``name`` is replaced. No shuffle: every task compresses each
     distinct window once, within a bounded memory.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = sent.value
-        for texts in batches:
-            yield pa.array(own.scores(texts.to_pylist()), pa.float64())
-
-    rows = as_rows(docs, value=scored(whole_text(text_col)))
+    rows = as_rows(docs, value=_scorer(docs, model)(whole_text(text_col)))
     plain = [c for c in docs.columns if c != name]
     return rows.select(*[F.col("row").getField(c).alias(c) for c in plain], F.col("value").alias(name))
+
+
+def drop_toxic(
+    docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``.
+
+    A model of one class, or of no examples, tells no texts apart and drops nothing.
+    """
+    if not model.odds:
+        return docs
+    rows = as_rows(docs, value=_scorer(docs, model)(whole_text(text_col)))
+    return original(rows.filter(F.col("value") < threshold))

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hydrorisk.llm.toxicity import fit_toxicity, score_toxicity, train_model, windows
+from hydrorisk.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity, train_model, windows
 
 BAD = ["vileword", "nastyterm", "grumblefoe", "slurry", "foulish"]
 
@@ -61,4 +61,8 @@ def test_spark_scores(spark, make_docs, odd_rows):
     want = model.scores([t or "" for _, t in rows])
     assert all(abs(got[row] - w) < 1e-12 for row, w in zip(rows, want, strict=True))
     assert score_toxicity(make_docs([]), model).count() == 0
+    clean = drop_toxic(docs, model, 0.7)
+    assert clean.columns == docs.columns
+    assert clean.count() == sum(w < 0.7 for w in want)
+    assert drop_toxic(docs, train_model([])).count() == len(rows)
     assert fit_toxicity(docs, labels, usable=F.col("doc_id") < 0).odds == {}
