@@ -89,7 +89,8 @@ def reconcile_counts(requested: DataFrame, registry: DataFrame) -> DataFrame:
 def coverage(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Divisions found against registered, as percentage and 20-cell bar.
 
-    All found ids count, registered or not, so the share may exceed 100 %.
+    All found ids count, registered or not, so the share may exceed 100 %. The bar's cells
+    and its width are fixed values.
     """
     found = df.select(DIVISION).distinct().select(F.lit("found").alias("side"))
     expected = registry.select(F.lit("expected").alias("side"))

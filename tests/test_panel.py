@@ -194,7 +194,8 @@ def test_class_distribution_order(spark):
 
 
 def test_a_repeated_key_is_an_error(spark):
-    one = spark.createDataFrame([("a", "2000-01-01", 1.0), ("a", "2000-01-01", 2.0)], "division string, d string, x double")
+    rows = [("a", "2000-01-01", 1.0), ("a", "2000-01-01", 2.0)]
+    one = spark.createDataFrame(rows, "division string, d string, x double")
     one = one.select("division", F.to_date("d").alias("date"), "x")
     two = one.limit(1).withColumnRenamed("x", "y")
     with pytest.raises(Exception, match="repeated key"):

@@ -86,7 +86,10 @@ def test_folds_are_balanced_within_classes(panel_df):
 
 
 def test_folds_of_rows_without_a_class_are_even(spark):
-    rows = [("d", datetime.date(2000, 1, 1) + datetime.timedelta(days=i), None if i % 3 else 1) for i in range(150)]
+    first = datetime.date(2000, 1, 1)
+    rows = [
+        ("d", first + datetime.timedelta(days=i), None if i % 3 else 1) for i in range(150)
+    ]
     df = spark.createDataFrame(rows, "division string, date date, c int")
     sizes = splits.stratified_folds(df, "c", 3).groupBy("c", "fold").count().collect()
     for kind in (None, 1):

@@ -126,7 +126,11 @@ def test_repeated_days_and_no_division_agree_both_ways(spark, rows_per_task):
     """Whole divisions and slices place equal days, NULL days and NULL divisions alike."""
     rng = np.random.default_rng(rows_per_task)
     rows = [
-        (None if d == 1 else f"d{d}", None if i % 50 == 0 else f"2000-{1 + i // 28:02d}-{1 + i % 28:02d}", float(v))
+        (
+            None if d == 1 else f"d{d}",
+            None if i % 50 == 0 else f"2000-{1 + i // 28:02d}-{1 + i % 28:02d}",
+            float(v),
+        )
         for d in range(3)
         for i in range(300)
         for v in rng.integers(0, 40, 2)
