@@ -89,8 +89,9 @@ def window_keys(hashes: np.ndarray, least: int, functions: int) -> np.ndarray:
     spread = _mixed(hashes, 97)
     with np.errstate(over="ignore"):
         place = np.arange(len(hashes) + 1, dtype=np.uint64)
-        plain = np.concatenate([[0], np.cumsum(spread)]).astype(np.uint64)
-        placed = np.concatenate([[0], np.cumsum(spread * place[:-1])]).astype(np.uint64)
+        plain, placed = np.zeros((2, len(hashes) + 1), np.uint64)
+        np.cumsum(spread, out=plain[1:])
+        np.cumsum(spread * place[:-1], out=placed[1:])
 
         def context(start: np.ndarray, side: int) -> np.ndarray:
             end = start + half + 1

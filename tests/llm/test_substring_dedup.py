@@ -4,7 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hydrorisk.llm.substring_dedup import alike_stretches, compact_windows, repeated_passages
+from hydrorisk.llm.substring_dedup import (
+    alike_stretches,
+    compact_windows,
+    repeated_passages,
+    window_keys,
+)
 
 
 @pytest.mark.parametrize("kinds", [3, 50, 10**6])
@@ -20,6 +25,19 @@ def test_each_stretch_lies_in_one_window_with_its_minimum(kinds):
     assert len(compact_windows(values[: least - 1], least)) == 0
 
 
+def test_repeats_share_the_keys_of_half_a_passage():
+    """Whatever stands before them, centres well inside two copies have all keys in common."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    passage = draw(200)
+    one = window_keys(np.concatenate([draw(37), passage, draw(11)]), 46, 2)
+    two = window_keys(np.concatenate([draw(700), passage, draw(300)]), 46, 2)
+    inside = one[(one[:, 1] >= 37 + 60) & (one[:, 1] < 37 + 140)]
+    shared = set(one[:, 0].tolist()) & set(two[:, 0].tolist())
+    assert len(inside) > 3 and len(shared) >= len(inside)
+    assert sum(k in shared for k in inside[:, 0].tolist()) >= 0.8 * len(inside)
+
+
 def test_alike_stretches():
     other = np.arange(1000)
     own = np.concatenate([np.arange(5000, 5030), np.arange(200, 300), np.arange(6000, 6040)])
