@@ -79,7 +79,7 @@ def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """(doc, key, a, b): members of each key with its first and its last one, as pairs a < b.
+    """(doc, band, key, a, b): members of each key with its first and its last one, as pairs a < b.
 
     Two rows a member at most, whatever the size of a key.
     """
@@ -91,9 +91,9 @@ def _met(members: DataFrame) -> DataFrame:
     end = F.explode(F.array("first", "last"))
     return (
         members.join(ends, "key")
-        .select("doc", "key", end.alias("end"))
+        .select("doc", "band", "key", end.alias("end"))
         .filter("doc <> end")
-        .select("doc", "key", F.least("doc", "end").alias("a"), F.greatest("doc", "end").alias("b"))
+        .select("doc", "band", "key", F.least("doc", "end").alias("a"), F.greatest("doc", "end").alias("b"))
     )
 
 
@@ -114,8 +114,8 @@ def drop_near_duplicates(
     hashing, and, since few pairs at 0.8 are that close in a 64-bit fingerprint, texts
     that share one of ``bands`` keys of five min-hashes: of a pair at 0.8, 9,996 in 10,000
     do. Every candidate is verified on the whole shingle sets. Under a key each text
-    meets the two ends of the key's texts, and those unlike them meet again under pairs of
-    keys, so a key costs its size and not its square, and none is gathered in a task. A
+    meets the two ends of the key's texts, and those unlike an end meet again under pairs of
+    such keys from nearby bands, so a key costs its size and not its square, and none is gathered in a task. A
     link is missed only between texts that are unlike the ends of every key, and of every
     pair of keys, that they share.
 
@@ -141,22 +141,29 @@ def drop_near_duplicates(
         .filter("doc <> owner")
         .select(F.col("owner").alias("a"), F.col("doc").alias("b"))
     )
-    met = settle(_met(sketches.select("doc", F.explode("keys").alias("key"))), "met")
+    keyed = sketches.select("doc", F.posexplode("keys").alias("band", "key"))
+    met = settle(_met(keyed), "met")
     pairs = settle(met.select("a", "b").union(close).union(same).distinct(), "candidates")
     asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     sets = settle(_shingle_sets(texts, asked, words), "shingle-sets")
     judged = settle(_judged(pairs, sets, similarity), "judged")
-    # Texts unlike both ends of a key meet again where they share two such keys.
+    # Texts unlike an end of a key meet again where they share two such keys of nearby bands.
     unlike = met.join(judged.filter("NOT alike"), ["a", "b"], "left_semi")
-    held = unlike.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    held = unlike.groupBy("doc").agg(F.collect_set(F.struct("band", "key")).alias("keys"))
+    apart = (1, 2)
     rest = held.select(
         "doc",
+        F.lit(0).alias("band"),
         F.explode(
             F.flatten(
                 F.transform(
                     "keys",
-                    lambda one, i: F.transform(
-                        F.slice("keys", i + 2, F.size("keys")), lambda two: F.xxhash64(one, two)
+                    lambda one: F.transform(
+                        F.filter(
+                            "keys",
+                            lambda two: F.pmod(two["band"] - one["band"], F.lit(bands)).isin(*apart),
+                        ),
+                        lambda two: F.xxhash64(one["band"], one["key"], two["band"], two["key"]),
                     ),
                 )
             )

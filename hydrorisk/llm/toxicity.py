@@ -7,7 +7,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from heapq import nlargest
 
@@ -26,7 +26,8 @@ PART = 40
 # Both dictionaries hold this lead-in. zstandard stores a very short block raw; with a lead-in that
 # always matches, each window is compressed and its length tells how much of it matched.
 LEAD = bytes(range(1, 17))
-MEMORY = 500_000
+# Distinct windows that a task remembers; beyond it the memory is emptied.
+MEMORY = 200_000
 TOP = 3
 
 
@@ -262,7 +263,7 @@ def _scorer(docs: DataFrame, model: ToxicityModel):
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = sent.value
+        own = replace(sent.value, known={})  # its memory of windows ends with the task
         for texts in batches:
             yield pa.array(own.scores(texts.to_pylist()), pa.float64())
 
