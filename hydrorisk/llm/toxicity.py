@@ -196,7 +196,15 @@ def train_model(examples: list[tuple[str, int]], size: int = 32768) -> ToxicityM
     only (or no text) every score is the smoothed share of toxic examples.
     """
     unique = list(dict(examples).items())
-    prepared = [(zlib.crc32(t.encode("utf-8", "replace")) & 1, windows(t), y) for t, y in unique]
+    pool: dict = {}  # one object for equal windows and cells: they are most of the memory
+    prepared = [
+        (
+            zlib.crc32(t.encode("utf-8", "replace")) & 1,
+            {pool.setdefault(w, w) for w in windows(t)},
+            y,
+        )
+        for t, y in unique
+    ]
 
     def docs(half: int | None, label: int) -> list[set[bytes]]:
         return [w for h, w, y in prepared if y == label and half in (None, h)]
@@ -212,7 +220,8 @@ def train_model(examples: list[tuple[str, int]], size: int = 32768) -> ToxicityM
         part = train_dictionaries(docs(half, 1), docs(half, 0), size)
         other = [docs(1 - half, label) for label in (0, 1)]
         every = list(set().union(*other[0], *other[1]))
-        cell = dict(zip(every, part.cells(every), strict=True))
+        cells = (pool.setdefault(c, c) for c in part.cells(every))
+        cell = dict(zip(every, cells, strict=True))
         table = _cell_odds(*[[{cell[w] for w in d} for d in other[label]] for label in (1, 0)])
         odds.append(table)
         for label in (0, 1):
