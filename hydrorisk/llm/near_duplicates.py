@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from hydrorisk.llm.common import as_rows, id_key, original, whole_text
 from hydrorisk.llm.components import components
 from hydrorisk.llm.simhash import fingerprint, hamming_links, shingle_hashes
+from hydrorisk.llm.tiles import tiles
 from hydrorisk.session import settle
 
 ROWS = 5
+# Shingles that a tile's texts are compared on at once.
+COLUMNS = 4096
 
 
 def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
@@ -97,6 +100,105 @@ def _met(members: DataFrame) -> DataFrame:
     )
 
 
+def _unmet(met: DataFrame, judged: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, doc, group, settled): members of keys with texts that no link connects so far.
+
+    Both ends of a key have met all its members, who have two rows in ``met``; the ends have
+    one and are left out. Of the largest group of connected members all are ``settled``.
+    """
+    unlike = met.join(judged.filter("NOT alike"), ["a", "b"], "left_semi").select("key").distinct()
+    inner = (
+        met.join(unlike, "key", "left_semi")
+        .groupBy("key", "doc")
+        .agg(F.count(F.lit(1)).alias("ends"))
+        .filter("ends = 2")
+    )
+    held = inner.join(known, F.col("doc") == F.col("node"), "left").select(
+        "key", "doc", F.coalesce("least", "doc").alias("group")
+    )
+    held = settle(held, "unmet")
+    most = (
+        held.groupBy("key", "group")
+        .agg(F.count(F.lit(1)).alias("members"))
+        .groupBy("key")
+        .agg(
+            F.max(F.struct("members", "group"))["group"].alias("most"),
+            F.count(F.lit(1)).alias("groups"),
+        )
+        .filter("groups > 1")
+    )
+    return held.join(most, "key").select(
+        "key", "doc", "group", (F.col("group") == F.col("most")).alias("settled")
+    )
+
+
+def _common(sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of sets of distinct values, and how many values each two have in common."""
+    offsets = sets.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, value, often = np.unique(
+        sets.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True, return_counts=True
+    )
+    # Values of one set only are in common to none.
+    shared = np.flatnonzero(often > 1)
+    place = np.full(len(often), -1)
+    place[shared] = np.arange(len(shared))
+    value = place[value]
+    owner, value = owner[value >= 0], value[value >= 0]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    common = np.zeros((len(sizes), len(sizes)))
+    for start in range(0, len(shared), COLUMNS):
+        low, high = np.searchsorted(value, [start, start + COLUMNS])
+        held = np.zeros((len(sizes), COLUMNS), np.float32)
+        held[owner[low:high], value[low:high] - start] = 1
+        common += held @ held.T
+    return sizes, common
+
+
+def _linked(unmet: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all alike texts of different groups under each key.
+
+    All pairs are judged on the whole shingle sets, in tiles of two blocks; a tile gives no
+    more links than connect its groups.
+    """
+
+    def judge(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("doc")
+        docs, groups = (tile[c].to_pylist() for c in ("doc", "group"))
+        sizes, common = _common(tile["set"].combine_chunks())
+        every = sizes[:, None] + sizes[None, :] - common
+        i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
+        block = tile["block"].to_numpy()
+        _, group = np.unique(np.array(groups, object), return_inverse=True)
+        pairs = (block[:, None] == i) & (block[None, :] == j) & (group[:, None] != group[None, :])
+        alike = np.argwhere(pairs & ((every == 0) | (common >= similarity * every)))
+        root = {g: g for g in groups}
+
+        def top(g: bytes) -> bytes:
+            while root[g] != g:
+                g = root[g]
+            return g
+
+        links = []
+        for one, two in alike.tolist():
+            a, b = top(groups[one]), top(groups[two])
+            if a != b:
+                root[a] = b
+                links.append((docs[one], docs[two]))
+        ends = list(zip(*links, strict=True)) or [(), ()]
+        return pa.table({c: pa.array(e, pa.binary()) for c, e in zip("ab", ends, strict=True)})
+
+    dealt = tiles(unmet, F.xxhash64("doc"))
+    return (
+        dealt.join(sets, "doc")
+        .groupBy("key", "i", "j")
+        .applyInArrow(judge, "a binary, b binary")
+        .distinct()
+    )
+
+
 def drop_near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -113,11 +215,12 @@ def drop_near_duplicates(
     are texts whose fingerprints differ in at most ``distance`` bits, found by multi-index
     hashing, and, since few pairs at 0.8 are that close in a 64-bit fingerprint, texts
     that share one of ``bands`` keys of five min-hashes: of a pair at 0.8, 9,996 in 10,000
-    do. Every candidate is verified on the whole shingle sets. Under a key each text
-    meets the two ends of the key's texts, and those unlike an end meet again under pairs of
-    such keys from nearby bands, so a key costs its size and not its square, and none is gathered in a task. A
-    link is missed only between texts that are unlike the ends of every key, and of every
-    pair of keys, that they share.
+    do. Every candidate is verified on the whole shingle sets. Under a key each text first
+    meets the two ends of the key's texts, so a key of near copies costs its size and not its
+    square; then all texts of the key that no link connects yet meet each other, in tiles
+    of two blocks, so that none is gathered in a task. A link is missed only between texts
+    that share no key. The cost grows with the square of the texts that share a key and
+    are not connected: they have to be compared.
 
     Texts without words are alike. NULL texts count as empty. Repeated rows (same id and
     text) leave one; of a NULL id and others the NULL goes. An empty table gives an empty
@@ -147,33 +250,13 @@ def drop_near_duplicates(
     asked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     sets = settle(_shingle_sets(texts, asked, words), "shingle-sets")
     judged = settle(_judged(pairs, sets, similarity), "judged")
-    # Texts unlike an end of a key meet again where they share two such keys of nearby bands.
-    unlike = met.join(judged.filter("NOT alike"), ["a", "b"], "left_semi")
-    held = unlike.groupBy("doc").agg(F.collect_set(F.struct("band", "key")).alias("keys"))
-    apart = (1, 2)
-    rest = held.select(
-        "doc",
-        F.lit(0).alias("band"),
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "keys",
-                    lambda one: F.transform(
-                        F.filter(
-                            "keys",
-                            lambda two: F.pmod(two["band"] - one["band"], F.lit(bands)).isin(*apart),
-                        ),
-                        lambda two: F.xxhash64(one["band"], one["key"], two["band"], two["key"]),
-                    ),
-                )
-            )
-        ).alias("key"),
-    )
-    again = _met(rest).select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
-    second = _judged(again, sets, similarity)
-    found = settle(judged.union(second).filter("alike").select("a", "b"), "similar")
-    rows = as_rows(docs, id=F.col(id_col), doc=identity)
+    first = judged.filter("alike").select("a", "b")
+    known = settle(components(first), "known")
+    second = settle(_linked(_unmet(met, judged, known), sets, similarity), "similar")
+    # Stars of what is known stand for the links of the first round.
+    found = known.select(F.col("node").alias("a"), F.col("least").alias("b")).union(second)
     groups = settle(components(found), "groups")
+    rows = as_rows(docs, id=F.col(id_col), doc=identity)
     ids = docs.select(F.col(id_col).alias("id"), identity.alias("doc"))
     # The member with the smallest id stays; equal ids are told apart by their text's digest.
     stay = (

@@ -1,0 +1,34 @@
+"""Tiles: all pairs of a group's members, a block of members against a block in each task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Members of a block; a tile holds two blocks, whatever the size of the group.
+BLOCK = 64
+
+
+def tiles(members: DataFrame, place: Column, block: int = BLOCK) -> DataFrame:
+    """``members`` (key, settled, ...) with ``block`` and the tiles (``i``, ``j``) it is in.
+
+    Every pair of members of a key is in one tile at least, unless both are ``settled``:
+    block i against block j, or within the block where i = j. ``place``, a whole number,
+    deals a member to its block. A member is in as many tiles as its key has blocks.
+    """
+    settled = F.sum(F.col("settled").cast("int"))
+    sizes = members.groupBy("key").agg(
+        F.ceil(settled / block).alias("few"),
+        F.ceil((F.count(F.lit(1)) - settled) / block).alias("many"),
+    )
+    first = F.when(F.col("settled"), F.col("few")).otherwise(F.lit(0))
+    dealt = F.when(F.col("settled"), F.pmod(place, F.col("few"))).otherwise(
+        F.col("few") + F.pmod(place, F.col("many"))
+    )
+    return (
+        members.join(sizes.filter("many > 0"), "key")
+        .withColumn("block", dealt)
+        .withColumn("other", F.explode(F.sequence(first, F.col("few") + F.col("many") - 1)))
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .drop("few", "many", "other")
+    )

@@ -1,0 +1,57 @@
+import random
+
+import pytest
+
+from hydrorisk.llm.near_duplicates import drop_near_duplicates
+from hydrorisk.llm.simhash import shingle_hashes
+
+
+def brute_force(rows, similarity=0.8):
+    """The ids that stay: the smallest of each group of linked texts, all pairs compared."""
+    sets = [(i, set(shingle_hashes(t, 5).tolist())) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, (a, one) in enumerate(sets):
+        for b, two in sets[:n]:
+            if len(one & two) >= similarity * len(one | two):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {i for i in root if root[i] == i}
+
+
+@pytest.mark.parametrize("own", [26, 34])
+def test_pairs_inside_a_family_of_common_boilerplate(make_docs, own):
+    """Texts alike in 0.7 to 0.79 share most keys; true pairs among them are found all the same."""
+    rnd = random.Random(own)
+    boilerplate = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        words = boilerplate + [f"o{rnd.randrange(10**7)}" for _ in range(own)]
+        rows.append((i, " ".join(words)))
+        if i % 6 == 0:
+            changed = list(words)
+            # A pair near 0.8, whose boilerplate is touched too.
+            for at in (60, 140):
+                changed[at] = f"x{rnd.randrange(10**7)}"
+            rows.append((1000 + i, " ".join(changed)))
+    want = brute_force(rows)
+    assert 300 <= len(want) <= 310
+    assert {r.doc_id for r in drop_near_duplicates(make_docs(rows)).collect()} == want
+
+
+def test_chain_inside_a_family(make_docs):
+    """Links of texts that are alike an end to texts that are not are found as well."""
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rnd.sample(range(10, 190), rnd.randrange(1, 7)):
+            words[at] = f"o{rnd.randrange(10**7)}"
+        rows.append((i, " ".join(words)))
+    assert {r.doc_id for r in drop_near_duplicates(make_docs(rows)).collect()} == brute_force(rows)
