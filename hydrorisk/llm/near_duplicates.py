@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from hydrorisk.llm.common import as_rows, id_key, original, whole_text
 from hydrorisk.llm.components import components
 from hydrorisk.llm.simhash import fingerprint, hamming_links, shingle_hashes
-from hydrorisk.llm.tiles import tiles
+from hydrorisk.llm.tiles import held_in, tiles
 from hydrorisk.session import settle
 
 ROWS = 5
-# Shingles that a tile's texts are compared on at once.
-COLUMNS = 4096
 
 
 def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
@@ -132,31 +130,6 @@ def _unmet(met: DataFrame, judged: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _common(sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """The sizes of sets of distinct values, and how many values each two have in common."""
-    offsets = sets.offsets.to_numpy()
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    _, value, often = np.unique(
-        sets.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True, return_counts=True
-    )
-    # Values of one set only are in common to none.
-    shared = np.flatnonzero(often > 1)
-    place = np.full(len(often), -1)
-    place[shared] = np.arange(len(shared))
-    value = place[value]
-    owner, value = owner[value >= 0], value[value >= 0]
-    order = np.argsort(value, kind="stable")
-    owner, value = owner[order], value[order]
-    common = np.zeros((len(sizes), len(sizes)))
-    for start in range(0, len(shared), COLUMNS):
-        low, high = np.searchsorted(value, [start, start + COLUMNS])
-        held = np.zeros((len(sizes), COLUMNS), np.float32)
-        held[owner[low:high], value[low:high] - start] = 1
-        common += held @ held.T
-    return sizes, common
-
-
 def _linked(unmet: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that connect all alike texts of different groups under each key.
 
@@ -167,7 +140,8 @@ def _linked(unmet: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def judge(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by("doc")
         docs, groups = (tile[c].to_pylist() for c in ("doc", "group"))
-        sizes, common = _common(tile["set"].combine_chunks())
+        sets = [one.values.to_numpy() for one in tile["set"]]
+        sizes, common = np.array([len(one) for one in sets]), held_in(sets)
         every = sizes[:, None] + sizes[None, :] - common
         i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
         block = tile["block"].to_numpy()

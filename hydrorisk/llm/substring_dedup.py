@@ -11,14 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import whole_text
-from hydrorisk.session import settle
+from hydrorisk.llm.tiles import held_in, tiles
+from hydrorisk.session import settle, shared_path, staging
 
 SHINGLE = 5
 GRID = 64
 NO_ID = -(1 << 63)
 MEMORY = 500_000
-# Windows of a task that meet each other before they are sent on.
-WINDOWS = 1_000_000
+# Windows of a block that meet those of another block in a tile.
+TILE = 512
+# Shingles beyond a stretch in which the other document's may lie, where words were put in.
+MARGIN = 16
+PASSAGE = (
+    "number bigint, start bigint, length bigint, first bigint, first_start bigint,"
+    " similarity double, shift bigint"
+)
 TIES = np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -157,90 +164,61 @@ def _number(id_col: str, kind: str) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(NO_ID)).otherwise(number)
 
 
-def _met_in_task(rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (number, key, centre, left, right) of many documents, met within the task.
-
-    Gives the windows of one document per key, and what the others may repeat of it, as
-    rows (number, key, shift, low, high, first). So a key that a third of all documents
-    hold leaves a task once.
-    """
-    number, key = rows[:, 0], rows[:, 1]
-    rows = rows[np.lexsort((rows[:, 2], np.where(key & 1, -number, number), key))]
-    number, key = rows[:, 0], rows[:, 1]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    head = np.repeat(starts, np.diff(np.concatenate([starts, [len(rows)]])))
-    stands = number == number[head]
-    own, other = rows[~stands], rows[head[~stands]]
-    left, right = (np.minimum(own[:, c], other[:, c]) for c in (3, 4))
-    met = np.column_stack(
-        [own[:, 0], own[:, 0], own[:, 2] - other[:, 2], own[:, 2] - left, own[:, 2] + right + 1, other[:, 0]]
-    )
-    return rows[stands], met[left + right + 1 >= least]
-
-
 def _windows(texts: DataFrame, least: int, functions: int) -> DataFrame:
-    """(number, key, centre, left, right, first): windows to be met, without ``first``, and
-    stretches that met in their task, with shift, low and high in the place of the window."""
+    """(number, key, centre, left, right): all windows of all texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        held, size = [], 0
         for batch in batches:
             numbers = batch.column("number").to_pylist()
+            held = [np.zeros((0, 5), np.int64)]
             for number, text in zip(numbers, batch.column("text").to_pylist(), strict=True):
                 rows = window_keys(passage_hashes(text, known), least, functions)
-                if not len(rows):
-                    continue
                 held.append(np.column_stack([np.full(len(rows), number, np.int64), rows]))
-                size += len(rows)
-                if size >= WINDOWS:
-                    yield from emit(held)
-                    held, size = [], 0
-        if held:
-            yield from emit(held)
-
-    def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        alone, met = _met_in_task(np.concatenate(held), least)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        for rows in (alone, met):
-            columns = [pa.array(rows[:, i], kinds[i]) for i in range(rows.shape[1])]
-            if len(columns) < 6:
-                columns.append(pa.nulls(len(rows), pa.int64()))
+            rows = np.concatenate(held)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
-                columns, ["number", "key", "centre", "left", "right", "first"]
+                [pa.array(rows[:, i], kind) for i, kind in enumerate(kinds)],
+                ["number", "key", "centre", "left", "right"],
             )
 
-    return texts.mapInArrow(
-        cut, "number bigint, key bigint, centre int, left int, right int, first bigint"
+    return texts.mapInArrow(cut, "number bigint, key bigint, centre int, left int, right int")
+
+
+def _met(windows: DataFrame) -> DataFrame:
+    """Windows that are not alone under their key, with the key's ``head`` and ``size``.
+
+    The head is the window of the smallest document for even keys, of the largest for odd ones.
+    """
+    under = Window.partitionBy("key")
+    window = F.struct("number", "centre", "left", "right")
+    met = windows.withColumns(
+        {
+            "least": F.min(window).over(under),
+            "most": F.max(window).over(under),
+            "size": F.count(F.lit(1)).over(under),
+        }
     )
+    head = F.when(F.col("key") % 2 == 0, F.col("least")).otherwise(F.col("most"))
+    return met.filter("size > 1").withColumn("head", head).drop("least", "most")
 
 
-def _candidates(windows: DataFrame, least: int) -> DataFrame:
+def _candidates(met: DataFrame, least: int) -> DataFrame:
     """(number, first, shift, low, high): a stretch of a document that may repeat one of ``first``.
 
-    Each window meets the window of one document under its key, the smallest for even keys
-    and the largest for odd ones: rows grow with the windows, never with pairs of them, and
-    documents that meet an unlike one under one key have other keys to meet. A key has
-    one document per task at most here, so no task holds all copies of a passage. Windows
-    that overlap in fewer than ``least`` shingles when laid over each other cannot hold a
-    common passage. What is left is folded per pair and shift.
+    Each window meets its key's head. Windows that overlap in fewer than ``least`` shingles
+    when laid over each other cannot hold a common passage. What is left is folded per
+    pair and shift.
     """
-    under = Window.partitionBy("key")
-    window = F.when(F.col("first").isNull(), F.struct("number", "centre", "left", "right"))
-    met = windows.withColumns({"least": F.min(window).over(under), "most": F.max(window).over(under)})
-    met = met.withColumn("head", F.when(F.col("key") % 2 == 0, F.col("least")).otherwise(F.col("most")))
     left, right = (F.least(side, f"head.{side}") for side in ("left", "right"))
-    in_task = F.col("first").isNotNull()
     return (
-        met.filter(in_task | (F.col("number") != F.col("head.number")))
+        met.filter(F.col("number") != F.col("head.number"))
         .select(
             "number",
-            F.coalesce("first", "head.number").alias("first"),
-            F.when(in_task, F.col("centre"))
-            .otherwise(F.col("centre") - F.col("head.centre"))
-            .alias("shift"),
-            F.when(in_task, F.col("left")).otherwise(F.col("centre") - left).alias("low"),
-            F.when(in_task, F.col("right")).otherwise(F.col("centre") + right + 1).alias("high"),
+            F.col("head.number").alias("first"),
+            (F.col("centre") - F.col("head.centre")).alias("shift"),
+            (F.col("centre") - left).alias("low"),
+            (F.col("centre") + right + 1).alias("high"),
         )
         .filter(F.col("high") - F.col("low") >= least)
         .groupBy("number", "first", "shift")
@@ -248,6 +226,113 @@ def _candidates(windows: DataFrame, least: int) -> DataFrame:
     )
 
 
+def _unmet(met: DataFrame, passages: DataFrame) -> DataFrame:
+    """The windows, but for the heads, of keys with windows whose passage is not their head's.
+
+    ``settled`` are those with a verified passage around their centre in common with the head.
+    """
+    others = met.filter(
+        (F.col("size") > 2)
+        & ((F.col("number") != F.col("head.number")) | (F.col("centre") != F.col("head.centre")))
+    ).withColumns({"first": F.col("head.number"), "shift": F.col("centre") - F.col("head.centre")})
+    found = passages.select(
+        "number",
+        "first",
+        "shift",
+        F.col("start").alias("low"),
+        (F.col("start") + F.col("length") - (SHINGLE - 1)).alias("high"),
+    )
+    settled = (
+        others.join(found, ["number", "first", "shift"])
+        .filter("low <= centre AND centre < high")
+        .select("key", "number", "centre", F.lit(True).alias("settled"))
+        .distinct()
+    )
+    flagged = settle(
+        others.join(settled, ["key", "number", "centre"], "left").select(
+            "key",
+            "number",
+            "centre",
+            "left",
+            "right",
+            F.coalesce("settled", F.lit(False)).alias("settled"),
+            F.greatest(F.col("centre") - F.col("left") - MARGIN, F.lit(0)).alias("low"),
+            (F.col("centre") + F.col("right") + 1 + MARGIN).alias("high"),
+        ),
+        "flagged",
+    )
+    keys = flagged.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.bool_and("settled").alias("done")
+    )
+    return flagged.join(keys.filter("members > 1 AND NOT done").select("key"), "key", "left_semi")
+
+
+def _met_in_tiles(
+    unmet: DataFrame, pieces: DataFrame, least: int, similarity: float
+) -> DataFrame:
+    """Passages (number, start, length, first, first_start, similarity, shift) among ``unmet``.
+
+    Each window that is not settled meets all others of its key, in tiles of two blocks. A
+    tile gives no more passages than connect its windows, of which all settled ones count as
+    connected through their head.
+    """
+    share = 2 * similarity / (1 + similarity)
+
+    def judge(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by([("number", "ascending"), ("centre", "ascending")])
+        number, centre, left, right, low, block = (
+            tile[c].to_numpy() for c in ("number", "centre", "left", "right", "low", "block")
+        )
+        settled = tile["settled"].to_numpy()
+        hashes = [np.frombuffer(h, np.uint32) for h in tile["hashes"].to_pylist()]
+        i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
+        faced = (block[:, None] == i) & (block[None, :] == j)
+        faced = np.tril(faced | faced.T, -1) & (number[:, None] != number[None, :])
+        overlap = np.minimum(left[:, None], left) + np.minimum(right[:, None], right) + 1
+        # A stretch that is alike has this many of its shingles in the other window at least.
+        faced &= (overlap >= least) & (held_in(hashes) >= share * least)
+        root = np.where(settled, settled.argmax(), np.arange(len(number))).tolist()
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        rows = []
+        for own, other in np.argwhere(faced).tolist():
+            if top(own) == top(other):
+                continue
+            before, after = min(left[own], left[other]), min(right[own], right[other])
+            begin = centre[own] - before
+            mine = hashes[own][begin - low[own] : centre[own] + after + 1 - low[own]]
+            at = centre[other] - low[other]
+            theirs = hashes[other][max(0, at - before - MARGIN) : at + after + 1 + MARGIN]
+            shift = int(centre[own] - centre[other])
+            for start, end, jaccard in alike_stretches(mine, theirs, least, similarity):
+                if start <= before < end:
+                    start, length = int(begin + start), end - start + SHINGLE - 1
+                    ends = int(number[own]), start, length, int(number[other])
+                    rows.append((*ends, max(0, start - shift), jaccard, shift))
+                    root[top(own)] = top(other)
+        return _passage_table(rows)
+
+    dealt = tiles(unmet, F.xxhash64("number", "centre"), TILE)
+    return (
+        dealt.join(pieces, ["number", "low", "high"])
+        .groupBy("key", "i", "j")
+        .applyInArrow(judge, PASSAGE)
+    )
+
+
+def _passage_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
+    names = ["number", "start", "length", "first", "first_start", "similarity", "shift"]
+    return pa.table(
+        {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)}
+    )
+
+
 def _pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """(number, low, high, hashes): shingle hashes of the asked stretches, each text read once."""
     wanted = (
@@ -295,13 +380,15 @@ def repeated_passages(
 
     A passage is a stretch of ``words`` words or more (split at white space, A-Z
     lower-cased) whose five-word shingles have a Jaccard similarity of ``similarity`` or
-    more with a stretch of the document ``first_id``; starts and lengths are in words. The
-    smallest or the largest id that shares a window's key stands for all documents that do,
-    so copies of a passage give a row or two each and not one per pair; both ends of a row
-    hold the passage. Exact repeats always share keys of half a passage; those at the
-    similarity share at least one min-hash of ``functions`` with probability
-    1 - (1 - s)^functions. A passage is missed where, under all of its keys, the document
-    that stands for the others shares the key but not the passage (figures in the README).
+    more with a stretch of the document ``first_id``; starts and lengths are in words. Windows
+    of documents meet under keys. The smallest or the largest id that shares a window's key
+    stands for all documents whose passage around the window's centre it holds, so copies of
+    a passage give a row or two each and not one per pair; windows without that passage
+    meet all others under the key, in tiles of two blocks, until they are connected with one
+    that holds theirs or there is none. Both ends of a row hold the passage. Exact repeats
+    always share a key; those at the similarity share at least one min-hash of ``functions``
+    with probability 1 - (1 - s)^functions. The cost grows with the square of the windows
+    that share a key but hold no passage of its head: they have to be compared.
 
     Rows that share an id are one document, as are those with NULL ids; repeats inside a
     document are not reported. NULL, empty and shorter texts hold no passage. An empty
@@ -312,7 +399,8 @@ def repeated_passages(
     kind = docs.schema[id_col].dataType.simpleString()
     least = words - SHINGLE + 1
     texts = docs.select(_number(id_col, kind).alias("number"), whole_text(text_col).alias("text"))
-    found = settle(_candidates(_windows(texts, least, functions), least), "stretches")
+    met = settle(_met(_windows(texts, least, functions)), "met")
+    found = settle(_candidates(met, least), "stretches")
     # Stretches are cut on a grid, so that one of a document is asked for once by many others.
     def grid(low: Column, high: Column) -> list[Column]:
         first = F.greatest(low, F.lit(0))
@@ -322,7 +410,7 @@ def repeated_passages(
         ]
 
     own = grid(F.col("low"), F.col("high"))
-    other = grid(F.col("low") - F.col("shift") - 16, F.col("high") - F.col("shift") + 16)
+    other = grid(F.col("low") - F.col("shift") - MARGIN, F.col("high") - F.col("shift") + MARGIN)
     found = found.select(
         "number",
         "first",
@@ -337,13 +425,6 @@ def repeated_passages(
     asked = found.select("number", "own_low", "own_high").union(
         found.select("first", "first_low", "first_high")
     )
-    pieces = settle(_pieces(texts, asked.toDF("number", "low", "high")), "pieces")
-    ours = pieces.toDF("number", "own_low", "own_high", "own")
-    theirs = pieces.toDF("first", "first_low", "first_high", "other")
-    both = found.join(ours, ["number", "own_low", "own_high"]).join(
-        theirs, ["first", "first_low", "first_high"]
-    )
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -356,21 +437,26 @@ def repeated_passages(
                     at = low + start
                     length = end - start + SHINGLE - 1
                     rows.append(
-                        (row["number"], at, length, row["first"], max(0, at - shift), jaccard)
+                        (row["number"], at, length, row["first"], max(0, at - shift), jaccard, shift)
                     )
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["number", "start", "length", "first", "first_start", "similarity"],
-            )
+            yield from _passage_table(rows).to_batches()
 
     columns = ["number", "first", "shift", "low", "high", "own_low", "own", "other"]
-    passages = both.select(*columns).mapInArrow(
-        verify,
-        "number bigint, start bigint, length bigint, first bigint, first_start bigint,"
-        " similarity double",
-    )
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "passages")
+    # The pieces go once their passages are stored.
+    with staging(spark):
+        pieces = settle(_pieces(texts, asked.toDF("number", "low", "high")), "pieces")
+        ours = pieces.toDF("number", "own_low", "own_high", "own")
+        theirs = pieces.toDF("first", "first_low", "first_high", "other")
+        both = found.join(ours, ["number", "own_low", "own_high"]).join(
+            theirs, ["first", "first_low", "first_high"]
+        )
+        both.select(*columns).mapInArrow(verify, PASSAGE).write.parquet(path)
+    passages = spark.read.schema(PASSAGE).parquet(path)
+    unmet = settle(_unmet(met, passages), "unmet")
+    asked = unmet.select("number", "low", "high")
+    among = _met_in_tiles(unmet, settle(_pieces(texts, asked), "pieces"), least, similarity)
+    passages = passages.union(settle(among, "among"))
     if kind in ("tinyint", "smallint", "int", "bigint"):
         def back(c: str) -> Column:
             return F.when(F.col(c) != NO_ID, F.col(c)).cast(kind)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Members of a block; a tile holds two blocks, whatever the size of the group.
 BLOCK = 64
+# Cells of a tile's table of members and values that are filled at once.
+CELLS = 1 << 21
 
 
 def tiles(members: DataFrame, place: Column, block: int = BLOCK) -> DataFrame:
@@ -32,3 +35,29 @@ def tiles(members: DataFrame, place: Column, block: int = BLOCK) -> DataFrame:
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         .drop("few", "many", "other")
     )
+
+
+def held_in(lists: list[np.ndarray]) -> np.ndarray:
+    """[i, j]: how many values of list i, repeats included, list j holds."""
+    n = len(lists)
+    owner = np.repeat(np.arange(n), [len(one) for one in lists])
+    cells = np.unique(np.concatenate(lists), return_inverse=True)[1]
+    first = np.full(int(cells.max(initial=-1)) + 1, -1)
+    first[cells[::-1]] = owner[::-1]
+    # Values of one list only are held by no other.
+    often = np.zeros(len(first), bool)
+    often[cells[first[cells] != owner]] = True
+    own = np.bincount(owner[~often[cells]], minlength=n)
+    place = np.cumsum(often) - 1
+    owner, value = owner[often[cells]], place[cells[often[cells]]]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    held = np.diag(own).astype(np.float64)
+    shared = int(often.sum())
+    columns = max(1, min(shared, CELLS // max(1, n)))
+    for start in range(0, shared, columns):
+        low, high = np.searchsorted(value, [start, start + columns])
+        at = owner[low:high] * columns + value[low:high] - start
+        counts = np.bincount(at, minlength=n * columns).reshape(n, columns).astype(np.float32)
+        held += counts @ (counts > 0).astype(np.float32).T
+    return held
