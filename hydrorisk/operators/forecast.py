@@ -222,13 +222,17 @@ def tune_hazard(
     seed: int = 42,
     kind: str = "forest",
     candidates: list[TreeParams] | None = None,
+    fit_rows: int | None = None,
 ) -> tuple[TreeParams, list[tuple[TreeParams, float]]]:
     """Settings with the best exact match on a held-out tail of the training rows.
 
-    The class weights come from all training rows, before the hold-out.
+    The class weights come from all training rows, before the hold-out. ``fit_rows`` bounds
+    the rows that are fitted on; the whole hold-out is scored.
     """
     weights = settle(balanced_weights(train, TARGETS[0]), "weights")
     fitting, holdout = split_fraction(train, 0.8)
+    if fit_rows is not None:
+        fitting = settle(bounded_sample(fitting, fit_rows), "fit-rows")
     tried = candidates or [draw_params(seed, t, kind) for t in range(trials)]
     scores = []
     for params in tried:
@@ -273,18 +277,29 @@ def evaluate_hazard(test: DataFrame, model: PipelineModel, hazard: str) -> DataF
 
 
 def cross_validate_day1(
-    df: DataFrame, params: TreeParams = TreeParams(), folds: int = 3, seed: int = 42
+    df: DataFrame,
+    params: TreeParams = TreeParams(),
+    folds: int = 3,
+    seed: int = 42,
+    fit_rows: int | None = None,
 ) -> DataFrame:
-    """Mean accuracy and F1 of unweighted day-1 classifiers over stratified folds."""
+    """Mean accuracy and F1 of unweighted day-1 classifiers over stratified folds.
+
+    ``fit_rows`` bounds the rows that each classifier is fitted on; every row is scored.
+    """
     stages = _vector_stages()
     dealt = stratified_folds(df, TARGETS[0], folds, seed)
     vectors = reduce(lambda d, stage: stage.transform(d), stages, dealt)
-    vectors = vectors.select("fold", "_features", TARGETS[0]).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = vectors.select(*KEY, "fold", "_features", TARGETS[0])
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    training = [vectors.filter(F.col("fold") != k) for k in range(folds)]
+    if fit_rows is not None:
+        training = [settle(bounded_sample(rows, fit_rows), "fit-rows") for rows in training]
     estimator = _classifier(replace(params, seed=seed), TARGETS[0], PREDICTIONS[0], False)
 
     @inheritable_thread_target(df.sparkSession)
     def fit(fold: int):
-        return estimator.copy().fit(vectors.filter(F.col("fold") != fold))
+        return estimator.copy().fit(training[fold])
 
     try:
         with ThreadPool(folds) as pool:

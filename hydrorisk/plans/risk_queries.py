@@ -422,7 +422,7 @@ def forecast_metrics(spark, sf_dir):
 
 
 # Rows that a model query fits on at most, drawn by a hash of the keys: the bound of the
-# sample, whatever the input's size. Every prepared row is predicted.
+# sample, whatever the input's size. Every row that is held out is predicted.
 FIT_ROWS = 5_000
 
 _HAZARDS = ["flood", "landslide", "drought"]
@@ -498,8 +498,8 @@ def evaluated_model(spark, sf_dir):
 )
 def tuned_model(spark, sf_dir):
     """Five drawn settings tried on the held-out tail of the training rows; one is the best."""
-    rows = settle(forecast.bounded_sample(_prepared(spark, sf_dir), FIT_ROWS), "fit-rows")
-    best, scores = forecast.tune_hazard(rows, trials=5)
+    rows = settle(_prepared(spark, sf_dir), "prepared")
+    best, scores = forecast.tune_hazard(rows, trials=5, fit_rows=FIT_ROWS)
     top = max(score for _, score in scores)
     tried = [
         (
@@ -516,8 +516,9 @@ def tuned_model(spark, sf_dir):
 @query("SELECT true AS accuracy, true AS f1_macro, true AS f1_weighted")
 def cross_validated_model(spark, sf_dir):
     """Mean scores of day-1 classifiers over three folds, each within 0 and 1."""
-    rows = settle(forecast.bounded_sample(_prepared(spark, sf_dir), FIT_ROWS), "fit-rows")
-    scores = forecast.cross_validate_day1(rows, forecast.draw_params(42, 2, "forest"))
+    rows = settle(_prepared(spark, sf_dir), "prepared")
+    params = forecast.draw_params(42, 2, "forest")
+    scores = forecast.cross_validate_day1(rows, params, fit_rows=FIT_ROWS)
     return scores.select(
         *[F.col(m).between(0, 1).alias(m) for m in ("accuracy", "f1_macro", "f1_weighted")]
     )
