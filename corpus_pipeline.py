@@ -63,7 +63,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-# Models, fingerprints and tokenizers are beyond SQL; tests compare with brute force.
+# Models, fingerprints and tokenizers are beyond SQL; tests check planted cases, and both
+# operators of repeated text (near_dedup, op10) on families with common boilerplate.
 ORACLE_SQL: str | None = None
 
 
