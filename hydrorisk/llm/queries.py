@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import table
+from hydrorisk.llm.conversation_repair import (
+    audit_conversations,
+    damage_conversations,
+    repaired_digests,
+)
 from hydrorisk.llm.decontamination import build_index, find_leaks
 from hydrorisk.llm.exact_dedup import exact_dedup
 from hydrorisk.llm.line_dedup import drop_frequent_lines
@@ -129,3 +134,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that are found again in another document."""
     return repeated_passages(table(spark, sf_dir, "documents"), words=50, similarity=0.8)
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with the cheapest edits that make it legal again."""
+    damaged = damage_conversations(table(spark, sf_dir, "conversations"))
+    present = ~F.col("dropped")
+    audits = audit_conversations(damaged, present=present)
+    return repaired_digests(damaged, audits, present=present)
