@@ -13,6 +13,7 @@ from hydrorisk.llm.conversation_repair import (
 )
 from hydrorisk.llm.decontamination import build_index, find_leaks
 from hydrorisk.llm.exact_dedup import exact_dedup
+from hydrorisk.llm.importance_resampling import resample
 from hydrorisk.llm.line_dedup import drop_frequent_lines
 from hydrorisk.llm.packing import pack
 from hydrorisk.llm.register import LLM_ORACLES, LLM_QUERIES, query
@@ -136,6 +137,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), words=50, similarity=0.8)
 
 
+@query()
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score, and the rank of the tenth drawn to resemble the benchmark."""
+    docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resample(docs, target, percent=10, least_words=20, seed=2024, buckets=10_000, longest=1)
+
+
 @query()
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by rule, with the cheapest edits that make it legal again."""
