@@ -15,6 +15,7 @@ from hydrorisk.llm.decontamination import build_index, find_leaks
 from hydrorisk.llm.exact_dedup import exact_dedup
 from hydrorisk.llm.importance_resampling import resample
 from hydrorisk.llm.line_dedup import drop_frequent_lines
+from hydrorisk.llm.main_text import extract_main_text
 from hydrorisk.llm.packing import pack
 from hydrorisk.llm.register import LLM_ORACLES, LLM_QUERIES, query
 from hydrorisk.llm.sharding import shard_by_bytes
@@ -137,6 +138,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), words=50, similarity=0.8)
 
 
+@query()
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = extract_main_text(pages).select("page_id", "url", "text")
+    return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 @query()
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and score, and the rank of the tenth drawn to resemble the benchmark."""
