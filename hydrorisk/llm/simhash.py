@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrorisk.llm.common import whole_text
+from hydrorisk.llm.common import as_rows, id_key, original, whole_text
 from hydrorisk.llm.components import components
 from hydrorisk.session import settle
 
@@ -110,6 +110,17 @@ def hamming_links(prints: DataFrame, distance: int, segments: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _labelled(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``distinct`` fingerprints with the ``label`` of their component."""
+    # A fixed number of tasks, as each value of the small table is looked up under a ball of keys.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = distinct.select("fingerprint").repartition(tasks, "fingerprint")
+    found = components(hamming_links(prints, distance, segments))
+    return distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select(
+        *distinct.columns, F.coalesce("least", "fingerprint").alias("label")
+    )
+
+
 def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -131,10 +142,7 @@ def simhash_components(
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     rows = settle(with_fingerprints(rows, words), "fingerprints")
     distinct = rows.groupBy("fingerprint").agg(F.min("id").alias("id"))
-    found = components(hamming_links(distinct.select("fingerprint"), distance, segments))
-    labelled = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "id", F.coalesce("least", "fingerprint").alias("label")
-    )
+    labelled = _labelled(distinct, distance, segments)
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     owners = settle(
         labelled.join(smallest, "label").select("fingerprint", "component_id"), "components"
@@ -144,3 +152,33 @@ def simhash_components(
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def drop_simhash_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 3,
+    distance: int = 3,
+    segments: int = 2,
+) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component of ``simhash_components`` one stays.
+
+    It is the row with the smallest id; a NULL id stays only where a component has no other.
+    Of rows with the same id the one with the least MD5 of its text stays, and one of
+    rows that repeat both. NULL, empty and blank texts are copies of each other. Texts cross
+    one shuffle. Starts jobs.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.md5(whole_text(text_col).cast("binary")).alias("digest"),
+        whole_text(text_col).alias("text"),
+    )
+    rows = settle(with_fingerprints(rows, words), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "digest")).alias("first_row")
+    labelled = _labelled(rows.groupBy("fingerprint").agg(first), distance, segments)
+    kept = labelled.groupBy("label").agg(F.min("first_row").alias("first_row"))
+    kept = settle(kept.select(id_key("first_row.id").alias("id_key"), "first_row.digest"), "kept")
+    digest = F.md5(whole_text(text_col).cast("binary"))
+    stored = as_rows(docs, id_key=id_key(id_col), digest=digest)
+    return original(stored.join(kept, ["id_key", "digest"]).dropDuplicates(["id_key", "digest"]))

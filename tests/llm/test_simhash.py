@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -6,8 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.components import components
-from hydrorisk.llm.near_duplicates import drop_near_duplicates
-from hydrorisk.llm.simhash import hamming_links, simhash_components
+from hydrorisk.llm.simhash import drop_simhash_copies, hamming_links, simhash_components
 
 
 def brute_print(text, words):
@@ -95,25 +95,24 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_near_duplicates_leave_one(make_docs, odd_rows):
-    rnd = random.Random(8)
-    rows = list(odd_rows)
-    for group in range(20):
-        words = [f"g{group}w{rnd.randrange(10**6)}" for _ in range(120)]
-        rows.append((1000 + 10 * group, " ".join(words)))
-        for copy in range(1, 4):
-            changed = list(words)
-            changed[20 * copy] = "changed"
-            rows.append((1000 + 10 * group + copy, " ".join(changed)))
-        half = words[:60] + [f"h{rnd.randrange(10**6)}" for _ in range(60)]
-        rows.append((1009 + 10 * group, " ".join(half)))
-    docs = make_docs(rows).withColumns({"doc": F.lit("x"), "id": F.lit(1), "row": F.lit(2)})
-    kept = drop_near_duplicates(docs)
+def test_one_of_each_component_stays(make_docs, odd_rows):
+    rows = odd_rows + [(100 + i, t) for i, t in near_texts(8)] + [(100, "other text of the id"), (None, "odd")]
+    docs = make_docs(rows).withColumns({"label": F.lit("x"), "id": F.lit(1), "row": F.lit(2), "digest": F.lit(3)})
+    prints = [brute_print(t, 3) for _, t in rows]
+    near = [
+        (a, b)
+        for a in range(len(rows))
+        for b in range(a)
+        if (prints[a] ^ prints[b]).bit_count() <= 3
+    ]
+    root = brute_components(near, range(len(rows)))
+    want = {}
+    for n, (i, t) in enumerate(rows):
+        digest = hashlib.md5((t or "").encode()).hexdigest()
+        row = (i is None, i or 0, digest, i, t)
+        want[root[n]] = min(want.get(root[n], row), row, key=lambda r: r[:3])
+    kept = drop_simhash_copies(docs, words=3, distance=3)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i and i >= 1000) == sorted(
-        1000 + 10 * g + k for g in range(20) for k in (0, 9)
-    )
-    # No words: 1, 2, 3 and the row without id; letters' case does not matter.
-    assert sorted(i for i in ids if i and i < 1000) == [1, 4, 6, 8, 9] and ids.count(None) == 1
-    assert drop_near_duplicates(make_docs([])).count() == 0
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted(((r[3], r[4] or "") for r in want.values()), key=repr)
+    assert drop_simhash_copies(make_docs([])).count() == 0
