@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from hydrorisk.llm.common import table
 from hydrorisk.llm.decontamination import build_index, drop_contaminated
 from hydrorisk.llm.exact_dedup import drop_exact_copies
-from hydrorisk.llm.near_duplicates import drop_near_duplicates
 from hydrorisk.llm.packing import pack
+from hydrorisk.llm.simhash import drop_simhash_copies
 from hydrorisk.llm.toxicity import drop_toxic, fit_toxicity
-from hydrorisk.session import shared_path
+from hydrorisk.session import shared_path, staging
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -41,8 +41,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    """One document, the smallest id, of those linked by fingerprints of 3-word shingles, 3 bits apart."""
+    return drop_simhash_copies(docs, words=3, distance=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,16 +63,20 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-# Models, fingerprints and tokenizers are beyond SQL; tests check planted cases, and both
-# operators of repeated text (near_dedup, op10) on families with common boilerplate.
+# Models, fingerprints and tokenizers are beyond SQL; tests check planted cases, and near_dedup
+# against brute force on its own input.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and reread."""
+    """All stages over ``documents``, each written as Parquet to the shared folder and reread.
+
+    What a stage stages for itself goes once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
