@@ -36,11 +36,13 @@ def run_to_end(stream, name, path=None):
 @query(
     f"""WITH daily AS (
       SELECT CAST(user_id AS VARCHAR) AS division, CAST(ts AS DATE) AS date, AVG(value) AS value
-      FROM events WHERE value IS NOT NULL GROUP BY 1, 2)
-    SELECT division, date, {scaled_sql('value', factor=TIE_FREE)} FROM daily"""
+      FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+    newest AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events WHERE value IS NOT NULL)
+    SELECT division, date, CASE WHEN date + INTERVAL 1 DAY <= mark THEN 'closed' ELSE 'open' END AS part,
+           {scaled_sql('value', factor=TIE_FREE)} FROM daily, newest"""
 )
 def streamed_daily_means(spark, sf_dir):
-    """Days that the watermark has passed from the stream, those still open from the batch operator."""
+    """Days that the watermark has passed, from the stream; those still open, from the batch operator."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     division = F.col("user_id").cast("string").alias(DIVISION)
     readings = (
@@ -51,8 +53,9 @@ def streamed_daily_means(spark, sf_dir):
     closed = run_to_end(stream_daily_means(readings, ["value"], digits=None), "daily-stream")
     rows = events.select(division, local_day(F.col("ts").cast("string")).alias(DATE), "value")
     whole = hourly_to_daily(rows, ["value"], digits=None).select(closed.columns)
-    daily = closed.unionByName(whole.join(closed, [DIVISION, DATE], "left_anti"))
-    return daily.select(DIVISION, DATE, scaled("value", factor=TIE_FREE))
+    opened = whole.join(closed, [DIVISION, DATE], "left_anti").withColumn("part", F.lit("open"))
+    daily = closed.withColumn("part", F.lit("closed")).unionByName(opened)
+    return daily.select(DIVISION, DATE, "part", scaled("value", factor=TIE_FREE))
 
 
 @query(
