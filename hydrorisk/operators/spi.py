@@ -40,7 +40,11 @@ def fit_spi(df: DataFrame, columns: list[str], by: str = DIVISION) -> DataFrame:
 
     alpha and beta are missing where no value is positive or all are equal.
     """
-    stats = gamma_stats(df, columns, by)
+    return fit_from_stats(gamma_stats(df, columns, by), columns, by)
+
+
+def fit_from_stats(stats: DataFrame, columns: list[str], by: str = DIVISION) -> DataFrame:
+    """The same from the statistics that :func:`gamma_stats` gives."""
     shaped = stats.withColumns(
         {f"{c}_alpha": gamma_shape(F.ln(f"{c}_mean") - F.col(f"{c}_mean_log")) for c in columns}
     )
