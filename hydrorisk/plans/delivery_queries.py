@@ -5,13 +5,25 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_sql
-from hydrorisk.plans.stand_ins import NATION_RAIN_SQL, nation_rain
+from hydrorisk.operators import baseline
+from hydrorisk.plans import spi_sql as sql
+from hydrorisk.plans.panel_queries import _ANTECEDENT, _ANTECEDENT_SQL
+from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
+from hydrorisk.plans.stand_ins import NATION_RAIN_SQL, STATION_SQL, nation_rain, station_panel
+from hydrorisk.plans.stream_queries import run_to_end
 from hydrorisk.schemas import DATE, DIVISION, KEY, RAIN, measurement_schema
 from hydrorisk.session import settle, shared_path
 from hydrorisk.sources import committed
+from hydrorisk.streaming.corrections import (
+    REDO,
+    REMEMBERED,
+    merged_rain,
+    rocksdb_state,
+    stream_corrected_rain,
+)
 from hydrorisk.streaming.readings import DailyReadings
 
 
@@ -160,3 +172,82 @@ def accounted_readings(spark, sf_dir):
         F.lit(None).cast("bigint").alias("value"),
     )
     return sums[0].unionByName(sums[1]).unionByName(rest)
+
+
+# Every fifth of the last twenty days of a period comes with the next period's delivery; the
+# last delivery also brings the oldest days once more.
+_PERIOD_SQL = f"""
+placed AS (SELECT *, CASE WHEN date < DATE '1996-01-01' THEN 1 WHEN date < DATE '1999-01-01' THEN 2 ELSE 3 END
+                  AS period FROM antecedent),
+counted AS (SELECT *, row_number() OVER (PARTITION BY division, period ORDER BY date DESC) AS back FROM placed),
+late AS (SELECT *, back <= 20 AND back % 5 = 1 AS late FROM counted),
+followed AS (
+  SELECT *, coalesce(bool_or(late) OVER (PARTITION BY division, period ORDER BY date
+                                         ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), false) AND NOT late AS revised,
+         row_number() OVER (PARTITION BY division, late AND period = 3 ORDER BY date DESC) AS from_end
+  FROM late)"""
+
+
+@query(
+    f"""WITH {STATION_SQL}, {_ANTECEDENT_SQL}, {_PERIOD_SQL}
+    SELECT date, division, {scaled_list(_ANTECEDENT)}, CAST(CASE WHEN revised THEN 2 ELSE 1 END AS BIGINT) AS versions,
+           CAST(CASE WHEN date < DATE '1995-06-01' AND NOT (late AND period = 3) AND from_end > {REMEMBERED}
+                     THEN 1 ELSE 0 END AS BIGINT) AS redone
+    FROM followed"""
+)
+def corrected_antecedent_rain(spark, sf_dir):
+    """Four deliveries with late days: newest versions equal the batch result, and no other row is given out again."""
+    path, out = shared_path(spark, "actuals"), shared_path(spark, "corrected-rain")
+    day = F.col(DATE)
+    period = F.when(day < "1996-01-01", 1).when(day < "1999-01-01", 2).otherwise(3)
+    back = F.row_number().over(Window.partitionBy(DIVISION, "period").orderBy(day.desc()))
+    late = (F.col("back") <= 20) & (F.col("back") % 5 == 1)
+    rain = station_panel(spark, sf_dir).select(*KEY, RAIN).withColumn("period", period)
+    rain = rain.withColumn("back", back).withColumn("turn", F.col("period") + late.cast("int"))
+    rain = settle(rain.select(*KEY, RAIN, "turn"), "turns")
+    schema = rain.drop("turn").schema
+    with rocksdb_state(spark):
+        for turn in range(1, 5):
+            part = rain.filter(F.col("turn") == turn).drop("turn")
+            if turn == 4:
+                oldest = (day < "1995-06-01") & (F.col("turn") < 4)
+                part = part.unionByName(rain.filter(oldest).drop("turn"))
+            part.write.mode("append").parquet(path)
+            stream = spark.readStream.schema(schema).parquet(path)
+            output = run_to_end(stream_corrected_rain(stream), "corrected-rain", out)
+    merged = merged_rain(output, rain.drop("turn"))
+    redo = F.col("kind") == REDO
+    counts = output.groupBy(*KEY).agg(F.count_if(~redo).alias("versions"), F.count_if(redo).alias("redone"))
+    return merged.join(counts, KEY).select(*KEY, *[scaled(c) for c in _ANTECEDENT], "versions", "redone")
+
+
+@query(
+    f"""WITH RECURSIVE {STATION_SQL}, {sql.fit_sql("panel", "rain_sum", "fit")},
+    early AS (SELECT division, rain_sum FROM panel WHERE date < DATE '1999-01-01'),
+    {sql.fit_sql("early", "rain_sum", "early_fit")}
+    SELECT 'all batches' AS part, division, n, {scaled_sql('q')}, {scaled_sql('alpha')}, {scaled_sql('beta')} FROM fit
+    UNION ALL
+    SELECT 'last removed', division, n, {scaled_sql('q')}, {scaled_sql('alpha')}, {scaled_sql('beta')} FROM early_fit"""
+)
+def grown_baseline(spark, sf_dir):
+    """A baseline grown by three batches, one of them first wrong, compacted, and then without the last."""
+    path = shared_path(spark, "baseline")
+    panel = settle(station_panel(spark, sf_dir).select(*KEY, RAIN), "stations")
+    day = F.col(DATE)
+    parts = [panel.filter(day < "1996-01-01"), panel.filter((day >= "1996-01-01") & (day < "1999-01-01"))]
+    parts.append(panel.filter(day >= "1999-01-01"))
+    baseline.add_to_baseline(parts[0].withColumn(RAIN, F.col(RAIN) * 3 + 1), path, "0")
+    for batch, rows in enumerate(parts):
+        baseline.add_to_baseline(rows, path, f"{batch}")
+    whole = settle(baseline.baseline_params(spark, path), "params")
+    baseline.compact_baseline(spark, path)
+    baseline.remove_from_baseline(spark, path, "2")
+    left = baseline.baseline_params(spark, path)
+    return whole.withColumn("part", F.lit("all batches")).unionByName(
+        left.withColumn("part", F.lit("last removed"))
+    ).select(
+        "part",
+        DIVISION,
+        F.col(f"{RAIN}_n").alias("n"),
+        *[scaled(f"{RAIN}_{c}", 6, c) for c in ("q", "alpha", "beta")],
+    )
