@@ -10,14 +10,10 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    OneVsRest,
-    OneVsRestModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrorisk.functions.scalars import drop_missing, severity_name, severity_ordinal
@@ -37,9 +33,14 @@ from hydrorisk.operators.panel import (
 )
 from hydrorisk.operators.splits import split_fraction, stratified_folds
 from hydrorisk.operators.windows import lead_rows, over_rows
-from hydrorisk.schemas import FEATURES, HORIZONS, KEY, PREDICTIONS, TARGETS
+from hydrorisk.schemas import FEATURES, HORIZONS, KEY, PREDICTIONS, SEVERITIES, TARGETS
 from hydrorisk.session import settle
 
+# Share of the rows, one in so many, that tells boosting when to stop, and the least gain of a
+# round on them, relative to their error.
+VALIDATION_ROWS = 5
+VALIDATION_GAIN = 0.01
+
 # Trees get missing inputs as a value below every measurement, so that a split
 # can send them either way.
 MISSING_INPUT = -9999.0
@@ -133,32 +134,46 @@ def _vector_stages() -> list:
     ]
 
 
+def _suffix(target: str) -> str:
+    return target.removeprefix("target_")
+
+
 def _classifier(params: TreeParams, target: str, output: str, weighted: bool) -> Estimator:
-    suffix = target.removeprefix("target_")
-    if params.kind == "forest":
-        model = RandomForestClassifier(
-            numTrees=params.trees,
-            maxDepth=params.depth,
-            subsamplingRate=params.row_share,
-            featureSubsetStrategy=str(params.column_share),
-            seed=params.seed,
-            probabilityCol=f"_probability_{suffix}",
-        )
-    elif params.kind == "boosted":
-        # Spark's boosted trees are binary: one booster per class.
-        booster = GBTClassifier(
-            maxIter=params.trees,
-            maxDepth=params.depth,
-            stepSize=params.learning_rate,
-            subsamplingRate=params.row_share,
-            featureSubsetStrategy=str(params.column_share),
-            seed=params.seed,
-        ).setRawPredictionCol(f"_raw_{suffix}")
-        model = OneVsRest(classifier=booster, parallelism=len(HORIZONS))
-    else:
+    """A forest for one horizon."""
+    if params.kind != "forest":
         raise ValueError(f"unknown kind of trees: {params.kind}")
+    model = RandomForestClassifier(
+        numTrees=params.trees,
+        maxDepth=params.depth,
+        subsamplingRate=params.row_share,
+        featureSubsetStrategy=str(params.column_share),
+        seed=params.seed,
+        probabilityCol=f"_probability_{_suffix(target)}",
+    )
     model.setFeaturesCol("_features").setLabelCol(target).setPredictionCol(output)
-    model.setRawPredictionCol(f"_raw_{suffix}")
+    model.setRawPredictionCol(f"_raw_{_suffix(target)}")
+    return model.setWeightCol("class_weight") if weighted else model
+
+
+def _booster(params: TreeParams, target: str, level: int, weighted: bool) -> Estimator:
+    """One class against the rest, for one horizon.
+
+    Spark's boosted trees are binary. Rounds end early, and the best round counts, once a
+    round no longer lowers the error of the rows marked ``_validation``.
+    """
+    name = f"{_suffix(target)}_{level}"
+    model = GBTClassifier(
+        maxIter=params.trees,
+        maxDepth=params.depth,
+        stepSize=params.learning_rate,
+        subsamplingRate=params.row_share,
+        featureSubsetStrategy=str(params.column_share),
+        seed=params.seed,
+        validationTol=VALIDATION_GAIN,
+        validationIndicatorCol="_validation",
+    )
+    model.setFeaturesCol("_features").setLabelCol(f"_is_{name}").setPredictionCol(f"_hit_{name}")
+    model.setRawPredictionCol(f"_raw_{name}").setProbabilityCol(f"_share_{name}")
     return model.setWeightCol("class_weight") if weighted else model
 
 
@@ -167,36 +182,76 @@ def fit_hazard(
 ) -> PipelineModel:
     """One model with three outputs: a classifier per horizon over the same inputs.
 
-    The class weights belong to the day-1 class of each row and serve all three.
-    The horizons are independent Spark jobs, submitted side by side.
+    The class weights belong to the day-1 class of each row and serve all three. ``boosted``
+    fits a booster per horizon and class; every fifth row, by a hash of the keys, decides when
+    its rounds end. Horizons and classes are independent Spark jobs, submitted side by side.
     """
-    if weights is not None:
+    weighted = weights is not None
+    if weighted:
         df = with_class_weight(df, weights, TARGETS[0])
     stages = _vector_stages()
     vectors = reduce(lambda d, stage: stage.transform(d), stages, df)
-    kept = ["_features", *TARGETS] + (["class_weight"] if weights is not None else [])
-    vectors = vectors.select(kept).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = ["_features", *TARGETS] + (["class_weight"] if weighted else [])
+    levels = range(len(SEVERITIES))
+    if params.kind == "boosted":
+        held_out = F.pmod(F.xxhash64(*KEY), F.lit(VALIDATION_ROWS)) == 0
+        flags = [
+            (F.col(t) == level).cast("double").alias(f"_is_{_suffix(t)}_{level}")
+            for t in TARGETS
+            for level in levels
+        ]
+        vectors = vectors.select(*kept, held_out.alias("_validation"), *flags)
+        estimators = [_booster(params, t, level, weighted) for t in TARGETS for level in levels]
+    else:
+        vectors = vectors.select(kept)
+        pairs = zip(TARGETS, PREDICTIONS, strict=True)
+        estimators = [_classifier(params, t, p, weighted) for t, p in pairs]
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
     @inheritable_thread_target(df.sparkSession)
-    def fit(pair: tuple[str, str]):
-        return _classifier(params, *pair, weights is not None).fit(vectors)
+    def fit(estimator: Estimator):
+        return estimator.fit(vectors)
 
     try:
         with ThreadPool(len(TARGETS)) as pool:
-            models = pool.map(fit, list(zip(TARGETS, PREDICTIONS, strict=True)))
+            models = pool.map(fit, estimators, chunksize=1)
     finally:
         vectors.unpersist()
     return PipelineModel([*stages, *models])
 
 
+def _likeliest(scored: DataFrame, target: str) -> Column:
+    """The class whose booster gives the greatest share; the mildest of equals."""
+    shares = F.array(
+        *[
+            F.element_at(vector_to_array(f"_share_{_suffix(target)}_{level}"), 2)
+            for level in range(len(SEVERITIES))
+        ]
+    )
+    return F.array_position(shares, F.array_max(shares)) - 1
+
+
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
     """The input rows with three predicted ordinals."""
     scored = model.transform(df)
+    if PREDICTIONS[0] not in scored.columns:
+        likeliest = zip(PREDICTIONS, TARGETS, strict=True)
+        scored = scored.withColumns({p: _likeliest(scored, t) for p, t in likeliest})
     return scored.select(
         *df.columns, *[F.col(p).cast("int").alias(p) for p in PREDICTIONS]
     )
 
 
+def boosting_rounds(model: PipelineModel) -> dict[tuple[str, int], int]:
+    """Rounds kept of each booster, by target and class."""
+    rounds = {}
+    for stage in model.stages:
+        if hasattr(stage, "getMaxIter"):
+            suffix, level = stage.getLabelCol().removeprefix("_is_").rsplit("_", 1)
+            rounds[f"target_{suffix}", int(level)] = stage.getNumTrees
+    return rounds
+
+
 def predicted_names(df: DataFrame) -> DataFrame:
     """Predicted ordinals as severity names."""
     return df.withColumns({p: severity_name(F.col(p)) for p in PREDICTIONS})
@@ -263,12 +318,7 @@ def save_model(model: PipelineModel, encoder: DataFrame, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    model = PipelineModel.load(f"{path}/model")
-    for stage in model.stages:
-        if isinstance(stage, OneVsRestModel):
-            # Spark's writer leaves this column name out for one-versus-rest models.
-            stage.setRawPredictionCol(stage.models[0].getRawPredictionCol())
-    return model, spark.read.parquet(f"{path}/encoder")
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/encoder")
 
 
 def evaluate_hazard(test: DataFrame, model: PipelineModel, hazard: str) -> DataFrame:
@@ -276,14 +326,14 @@ def evaluate_hazard(test: DataFrame, model: PipelineModel, hazard: str) -> DataF
     return evaluate_predictions(predict(test, model), hazard)
 
 
-def cross_validate_day1(
+def cross_validation_counts(
     df: DataFrame,
     params: TreeParams = TreeParams(),
     folds: int = 3,
     seed: int = 42,
     fit_rows: int | None = None,
 ) -> DataFrame:
-    """Mean accuracy and F1 of unweighted day-1 classifiers over stratified folds.
+    """Confusion counts per fold of unweighted day-1 classifiers over stratified folds.
 
     ``fit_rows`` bounds the rows that each classifier is fitted on; every row is scored.
     """
@@ -311,9 +361,20 @@ def cross_validate_day1(
             for k, m in enumerate(models)
         ]
         predicted = reduce(DataFrame.unionByName, scored)
-        counts = settle(confusion(predicted, TARGETS[0], PREDICTIONS[0], by=["fold"]), "confusion")
+        return settle(confusion(predicted, TARGETS[0], PREDICTIONS[0], by=["fold"]), "confusion")
     finally:
         vectors.unpersist()
+
+
+def cross_validate_day1(
+    df: DataFrame,
+    params: TreeParams = TreeParams(),
+    folds: int = 3,
+    seed: int = 42,
+    fit_rows: int | None = None,
+) -> DataFrame:
+    """Mean accuracy and F1 of unweighted day-1 classifiers over stratified folds."""
+    counts = cross_validation_counts(df, params, folds, seed, fit_rows)
     return (
         accuracy(counts, ["fold"])
         .join(f1_scores(counts, ["fold"]), "fold")

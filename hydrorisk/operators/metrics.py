@@ -116,6 +116,19 @@ def f1_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def against_majority(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Macro F1 of the predictions, and of always saying the group's most frequent true class."""
+    counts, keys = _keyed(counts, by)
+    truth = counts.groupBy(*keys, "y_true").agg(F.sum("rows").alias("rows"))
+    size = F.struct(F.col("rows"), -F.col("y_true"))
+    most = truth.groupBy(*keys).agg(F.max_by("y_true", size).alias("y_pred"))
+    constant = f1_scores(truth.join(most, keys), keys).select(
+        *keys, F.col("f1_macro").alias("majority_f1_macro")
+    )
+    own = f1_scores(counts, keys).select(*keys, "f1_macro")
+    return own.join(constant, keys).drop("_all")
+
+
 def quadratic_kappa(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Agreement beyond chance with squared class distance.
 

@@ -20,7 +20,7 @@ from hydrorisk.operators.panel import (
     fit_division_encoder,
     with_class_weight,
 )
-from hydrorisk.operators.splits import split_temporal
+from hydrorisk.operators.splits import split_fraction, split_temporal
 from hydrorisk.operators.windows import antecedent_rain, over_rows, rolling_sums
 from hydrorisk.plans import spi_sql as sql
 from hydrorisk.plans.features import feature_matrix
@@ -443,19 +443,58 @@ def _on_scale(*columns):
     return reduce(Column.__and__, inside)
 
 
+def _learned(predicted):
+    """One row: do all three horizons beat the majority class on macro F1?"""
+    counts = settle(metrics.confusion(metrics.horizon_pairs(predicted), by=["horizon"]), "confusion")
+    beaten = metrics.against_majority(counts, ["horizon"])
+    return beaten.agg(F.coalesce(F.bool_and(F.col("f1_macro") > F.col("majority_f1_macro")), F.lit(False)).alias("learned"))
+
+
 @query(
     f"""WITH RECURSIVE {_PREPARED_SQL}
-    SELECT date, division, true AS on_scale, true AS named FROM prepared
-    WHERE date >= DATE '2000-01-01'"""
+    SELECT date, division, target_day1, target_day2, target_day3, true AS on_scale, true AS named, true AS learned
+    FROM prepared WHERE date >= DATE '2000-01-01'"""
 )
 def predicted_severities(spark, sf_dir):
-    """Forecasts for every row after the training period: three ordinals and their names."""
+    """Forecasts for every row after the training period, which must beat the majority class there."""
     model, test = _trained(spark, sf_dir)
-    ordinals = forecast.predict(test, model).withColumn("on_scale", _on_scale(*PREDICTIONS))
+    ordinals = settle(forecast.predict(test, model), "predicted").withColumn("on_scale", _on_scale(*PREDICTIONS))
     names = [F.col(p).isin(SEVERITIES) for p in PREDICTIONS]
-    return forecast.predicted_names(ordinals).select(
-        *KEY, "on_scale", reduce(Column.__and__, names).alias("named")
+    named = forecast.predicted_names(ordinals).select(
+        *KEY, *TARGETS, "on_scale", reduce(Column.__and__, names).alias("named")
+    )
+    return named.join(_learned(ordinals), F.lit(True))
+
+
+_BOOSTED_SQL = _PREPARED_SQL.replace(
+    f"{sql.flood_case('spi')} AS flood_severity", f"{sql.landslide_case('rain_sum', 'spi')} AS landslide_severity"
+).replace("flood_severity", "landslide_severity")
+
+
+@query(
+    f"""WITH RECURSIVE {_BOOSTED_SQL},
+    held AS (SELECT * FROM prepared WHERE date >= DATE '2000-01-01')
+    SELECT 1 AS horizon, target_day1 AS y_true, COUNT(*) AS rows, true AS beats_majority, true AS stopped_early
+    FROM held GROUP BY 2 UNION ALL
+    SELECT 2, target_day2, COUNT(*), true, true FROM held GROUP BY 2 UNION ALL
+    SELECT 3, target_day3, COUNT(*), true, true FROM held GROUP BY 2"""
+)
+def boosted_hazard(spark, sf_dir):
+    """Weighted boosting of the landslide classes, a booster per class and horizon, ended by held-back rows."""
+    labelled = severity.label_all(_short_index(spark, sf_dir))
+    rows = settle(forecast.prepare_horizon(settle(labelled), "landslide_severity")[0], "prepared")
+    train, _, test = split_temporal(rows, "2000-01-01", "2000-01-01")
+    train = settle(forecast.bounded_sample(train, FIT_ROWS).coalesce(1), "fit-rows")
+    params = forecast.TreeParams(kind="boosted", trees=50, depth=4, learning_rate=0.2, row_share=0.9, column_share=0.9)
+    model = forecast.fit_hazard(train, settle(balanced_weights(train, TARGETS[0])), params)
+    stopped = any(rounds < params.trees for rounds in forecast.boosting_rounds(model).values())
+    pairs = metrics.horizon_pairs(forecast.predict(test, model))
+    counts = settle(metrics.confusion(pairs, by=["horizon"]), "confusion")
+    beats = metrics.against_majority(counts, ["horizon"]).select(
+        "horizon", (F.col("f1_macro") > F.col("majority_f1_macro")).alias("beats_majority")
     )
+    classes = counts.groupBy("horizon", "y_true").agg(F.sum("rows").alias("rows"))
+    return classes.join(beats, "horizon").withColumn("stopped_early", F.lit(stopped))
 
 
 @query(
@@ -492,36 +531,71 @@ def evaluated_model(spark, sf_dir):
     return reduce(DataFrame.unionByName, results)
 
 
+_HOLDOUT_SQL = f"""{_PREPARED_SQL},
+ranked AS (SELECT *, row_number() OVER (ORDER BY division, date) AS place, COUNT(*) OVER () AS total FROM prepared),
+holdout AS (SELECT * FROM ranked WHERE place > floor(0.8 * total)),
+triples AS (SELECT target_day1, target_day2, target_day3, COUNT(*) AS n FROM holdout GROUP BY 1, 2, 3),
+majority AS (SELECT max(n) / sum(n) AS share, CAST(sum(n) AS BIGINT) AS rows FROM triples)"""
+
+
 @query(
-    """SELECT CAST(t AS INTEGER) AS trial, true AS in_ranges, true AS scored, 1 AS best
-    FROM range(5) AS r(t)"""
+    f"""WITH RECURSIVE {_HOLDOUT_SQL}
+    SELECT CAST(t AS INTEGER) AS trial, true AS in_ranges, true AS scored, 1 AS best, rows AS holdout_rows,
+           {scaled_sql("share", "majority_share")}, true AS best_beats_chance
+    FROM range(5) AS r(t), majority"""
 )
 def tuned_model(spark, sf_dir):
-    """Five drawn settings tried on the held-out tail of the training rows; one is the best."""
-    rows = settle(_prepared(spark, sf_dir), "prepared")
+    """Five drawn settings tried on the held-out tail of the training rows; one is the best.
+
+    The best must match more triples of classes than guesses drawn from the three horizons'
+    own class shares would on average.
+    """
+    rows = _prepared(spark, sf_dir)
     best, scores = forecast.tune_hazard(rows, trials=5, fit_rows=FIT_ROWS)
     top = max(score for _, score in scores)
+    holdout = split_fraction(rows, 0.8)[1].groupBy(*TARGETS).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in holdout)
+    chance = 1.0
+    for target in TARGETS:
+        shares = {}
+        for r in holdout:
+            shares[r[target]] = shares.get(r[target], 0) + r["n"] / total
+        chance *= sum(s * s for s in shares.values())
+    majority = int(round(max(r["n"] for r in holdout) / total * 1e6))
     tried = [
         (
             trial,
             50 <= p.trees <= 150 and 3 <= p.depth <= 8 and p == forecast.draw_params(42, trial, p.kind),
             0 <= score <= 1,
             sum(p == best and score == top for p, score in scores),
+            total,
+            majority,
+            top > chance,
         )
         for trial, (p, score) in enumerate(scores)
     ]
-    return spark.createDataFrame(tried, "trial int, in_ranges boolean, scored boolean, best int")
+    return spark.createDataFrame(
+        tried,
+        "trial int, in_ranges boolean, scored boolean, best int, holdout_rows bigint, majority_share bigint,"
+        " best_beats_chance boolean",
+    )
 
 
-@query("SELECT true AS accuracy, true AS f1_macro, true AS f1_weighted")
+@query(
+    f"""WITH RECURSIVE {_PREPARED_SQL},
+    sizes AS (SELECT target_day1 AS y_true, COUNT(*) AS n FROM prepared GROUP BY 1)
+    SELECT CAST(fold AS INTEGER) AS fold, y_true, n // 3 + CASE WHEN fold < n % 3 THEN 1 ELSE 0 END AS rows,
+           true AS beats_majority
+    FROM sizes, range(3) AS f(fold) WHERE n // 3 + CASE WHEN fold < n % 3 THEN 1 ELSE 0 END > 0"""
+)
 def cross_validated_model(spark, sf_dir):
-    """Mean scores of day-1 classifiers over three folds, each within 0 and 1."""
-    rows = settle(_prepared(spark, sf_dir), "prepared")
+    """Day-1 classifiers over three folds: rows scored per fold and class, better than the majority class."""
     params = forecast.draw_params(42, 2, "forest")
-    scores = forecast.cross_validate_day1(rows, params, fit_rows=FIT_ROWS)
-    return scores.select(
-        *[F.col(m).between(0, 1).alias(m) for m in ("accuracy", "f1_macro", "f1_weighted")]
+    counts = forecast.cross_validation_counts(_prepared(spark, sf_dir), params, fit_rows=FIT_ROWS)
+    beats = metrics.against_majority(counts, ["fold"]).select(
+        "fold", (F.col("f1_macro") > F.col("majority_f1_macro")).alias("beats_majority")
     )
+    return counts.groupBy("fold", "y_true").agg(F.sum("rows").alias("rows")).join(beats, "fold")
 
 
 _NEWEST_SQL = f"""{STATION_SQL},
@@ -558,13 +632,14 @@ def newest_inputs(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE {_NEWEST_SQL}
-    SELECT date, division, true AS on_scale FROM newest WHERE back <= 3"""
+    SELECT date, division, true AS on_scale, true AS learned FROM newest WHERE back <= 3"""
 )
 def newest_forecasts(spark, sf_dir):
     """The next three days' classes, asked from the newest rows, for which no target is known."""
-    model, _ = _trained(spark, sf_dir)
+    model, test = _trained(spark, sf_dir)
     predicted = forecast.predict(_newest(spark, sf_dir), model)
-    return predicted.select(*KEY, _on_scale(*PREDICTIONS).alias("on_scale"))
+    rows = predicted.select(*KEY, _on_scale(*PREDICTIONS).alias("on_scale"))
+    return rows.join(_learned(forecast.predict(test, model)), F.lit(True))
 
 
 _SPLIT_SQL = f"""{STATION_SQL},

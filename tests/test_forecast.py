@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrorisk.operators import forecast, metrics
 from hydrorisk.operators.panel import balanced_weights, fit_division_encoder
+from hydrorisk.plans import risk_queries
 from hydrorisk.plans.hazards import evaluate_all, labelled_sets, train_all
 from hydrorisk.schemas import FEATURES, PREDICTIONS, SEVERITIES, SOIL, TARGETS
 from hydrorisk.session import settle, shared_path
@@ -120,6 +121,24 @@ def test_fit_predict_save_load(spark, prepared, kind):
     assert {r[0] for r in names} <= set(SEVERITIES)
 
 
+def test_boosting_ends_by_held_back_rows(prepared):
+    """Rounds end before the limit, and class weights are taken."""
+    params = forecast.TreeParams(kind="boosted", trees=40, depth=2, learning_rate=0.2)
+    model = forecast.fit_hazard(prepared.coalesce(1), balanced_weights(prepared, TARGETS[0]), params)
+    rounds = forecast.boosting_rounds(model)
+    assert set(rounds) == {(t, level) for t in TARGETS for level in range(len(SEVERITIES))}
+    assert max(rounds.values()) <= 40 and min(rounds.values()) < 40
+
+
+def test_a_constant_or_random_answer_does_not_count_as_learned(prepared):
+    """What the model queries call learned is false for an answer that looks at nothing."""
+    constant = prepared.withColumns({p: F.lit(0) for p in PREDICTIONS})
+    perfect = prepared.withColumns({p: F.col(t) for p, t in zip(PREDICTIONS, TARGETS)})
+    assert not risk_queries._learned(constant).first()["learned"]
+    assert risk_queries._learned(perfect).first()["learned"]
+    assert not risk_queries._learned(perfect.limit(0)).first()["learned"]
+
+
 def test_drawn_settings_stay_in_range():
     drawn = [forecast.draw_params(7, t, "boosted") for t in range(200)]
     assert drawn == [forecast.draw_params(7, t, "boosted") for t in range(200)]

@@ -80,3 +80,15 @@ def test_evaluation_of_three_horizons(spark):
         row = got[h]
         assert row["hazard"] == "flood" and row["exact_match"] == pytest.approx(exact)
         assert (row["accuracy"], row["f1_macro"], row["f1_weighted"], row["kappa"]) == pytest.approx(expected)
+
+
+def test_against_the_majority_class(spark):
+    counts = spark.createDataFrame(
+        [(1, 0, 0, 6), (1, 1, 1, 2), (1, 1, 0, 2), (2, 0, 1, 3), (2, 1, 1, 3)],
+        "horizon int, y_true int, y_pred int, rows bigint",
+    )
+    found = {r["horizon"]: r for r in metrics.against_majority(counts, ["horizon"]).collect()}
+    # Always 0: F1 12/16 and 0; a tie goes to the smaller class: F1 6/9 and 0.
+    assert found[1]["majority_f1_macro"] == pytest.approx(0.375)
+    assert found[1]["f1_macro"] == pytest.approx((12 / 14 + 4 / 6) / 2)
+    assert found[2]["majority_f1_macro"] == pytest.approx(1 / 3)
