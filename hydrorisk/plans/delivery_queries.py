@@ -9,8 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydrorisk.operators import baseline
+from hydrorisk.operators.upkeep import FeatureStore
 from hydrorisk.plans import spi_sql as sql
-from hydrorisk.plans.panel_queries import _ANTECEDENT, _ANTECEDENT_SQL
+from hydrorisk.plans.panel_queries import _ANTECEDENT, _ANTECEDENT_SQL, _LONG, _LONG_SQL
 from hydrorisk.plans.register import TIE_FREE, query, scaled, scaled_list, scaled_sql
 from hydrorisk.plans.stand_ins import NATION_RAIN_SQL, STATION_SQL, nation_rain, station_panel
 from hydrorisk.plans.stream_queries import run_to_end
@@ -251,3 +252,21 @@ def grown_baseline(spark, sf_dir):
         F.col(f"{RAIN}_n").alias("n"),
         *[scaled(f"{RAIN}_{c}", 6, c) for c in ("q", "alpha", "beta")],
     )
+
+
+@query(
+    f"""WITH {STATION_SQL}, {_ANTECEDENT_SQL},
+    summed AS (SELECT *, {_LONG_SQL} FROM antecedent WINDOW w AS (PARTITION BY division ORDER BY date))
+    SELECT date, division, {scaled_list([RAIN, *_ANTECEDENT, *_LONG])} FROM summed"""
+)
+def maintained_features(spark, sf_dir):
+    """Windows of a stored table after three batches: early days, newer ones, then late and corrected days."""
+    panel = settle(station_panel(spark, sf_dir).select(DATE, DIVISION, RAIN), "stations")
+    day = F.col(DATE)
+    late, wrong = (day.between(f"{first}-01", f"{first}-10") for first in ("1997-03", "1998-06"))
+    store = FeatureStore(spark, shared_path(spark, "features"), [RAIN])
+    early = panel.filter((day < "1999-01-01") & ~late)
+    store.update(early.withColumn(RAIN, F.when(wrong, F.col(RAIN) * 2 + 1).otherwise(F.col(RAIN))))
+    store.update(panel.filter(day >= "1999-01-01"))
+    store.update(panel.filter(late | wrong))
+    return store.features().select(*KEY, *[scaled(c) for c in [RAIN, *_ANTECEDENT, *_LONG]])
