@@ -10,7 +10,7 @@ from hydrorisk.functions.scalars import no_nan
 from hydrorisk.schemas import DATE, measurement_schema
 
 
-def _without_nan(df: DataFrame) -> DataFrame:
+def without_nan(df: DataFrame) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: no_nan(F.col(c)) for c in doubles}) if doubles else df
 
@@ -18,7 +18,7 @@ def _without_nan(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header, explicit schema; blank or unreadable cells are missing."""
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    return _without_nan(reader.option("dateFormat", "yyyy-MM-dd").csv(path))
+    return without_nan(reader.option("dateFormat", "yyyy-MM-dd").csv(path))
 
 
 def read_measurement(spark: SparkSession, path: str, measures: list[str]) -> DataFrame:
