@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrorisk.llm.common import whole_text
-from hydrorisk.llm.tiles import held_in, tiles
 from hydrorisk.session import settle, shared_path, staging
 
 SHINGLE = 5
 GRID = 64
 NO_ID = -(1 << 63)
 MEMORY = 500_000
-# Windows of a block that meet those of another block in a tile.
-TILE = 512
+# Bands of two further min-hashes each under which windows meet again, and how far from its
+# centre a window is looked at for them.
+BANDS = 4
+AROUND = 22
 # Shingles beyond a stretch in which the other document's may lie, where words were put in.
 MARGIN = 16
 PASSAGE = (
@@ -256,8 +257,6 @@ def _unmet(met: DataFrame, passages: DataFrame) -> DataFrame:
             "left",
             "right",
             F.coalesce("settled", F.lit(False)).alias("settled"),
-            F.greatest(F.col("centre") - F.col("left") - MARGIN, F.lit(0)).alias("low"),
-            (F.col("centre") + F.col("right") + 1 + MARGIN).alias("high"),
         ),
         "flagged",
     )
@@ -267,60 +266,127 @@ def _unmet(met: DataFrame, passages: DataFrame) -> DataFrame:
     return flagged.join(keys.filter("members > 1 AND NOT done").select("key"), "key", "left_semi")
 
 
-def _met_in_tiles(
-    unmet: DataFrame, pieces: DataFrame, least: int, similarity: float
-) -> DataFrame:
-    """Passages (number, start, length, first, first_start, similarity, shift) among ``unmet``.
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of values, and of values times place, from which any stretch is hashed."""
+    with np.errstate(over="ignore"):
+        plain, placed = np.zeros((2, len(values) + 1), np.uint64)
+        np.cumsum(values, out=plain[1:])
+        np.cumsum(values * np.arange(len(values), dtype=np.uint64), out=placed[1:])
+    return plain, placed
+
+
+def stretch_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of the ``length`` shingles from each start."""
+    found = []
+    with np.errstate(over="ignore"):
+        for function in (61, 83):
+            plain, placed = _sums(_mixed(hashes, function))
+            total = plain[starts + length] - plain[starts]
+            ordered = placed[starts + length] - placed[starts] - starts.astype(np.uint64) * total
+            found.append(_mixed(total ^ (ordered * FACTORS[2]), function + 1).view(np.int64))
+    return found
+
+
+def _stretch_starts(windows: list[dict], shingles: int, least: int) -> np.ndarray:
+    """Starts of all stretches of ``least`` shingles that hold a window's centre and lie inside it."""
+    inside = np.zeros(shingles + 1, bool)
+    for w in windows:
+        first = max(w["centre"] - w["left"], w["centre"] - least + 1)
+        last = min(w["centre"], w["centre"] + w["right"] - least + 1)
+        inside[first : last + 1] = True
+    return np.flatnonzero(inside[: max(0, shingles - least + 1)])
+
+
+def finer_keys(hashes: np.ndarray, key: int, centre: int) -> list[int]:
+    """The window's key joined with two further min-hashes around its centre, once per band."""
+    around = hashes[max(0, centre - AROUND) : centre + AROUND + 1]
+    keys = []
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            one, two = (_mixed(around, 20 + 2 * band + i).min() for i in (0, 1))
+            joined = np.array([key], np.int64).view(np.uint64) ^ (one * FACTORS[0]) ^ (two * FACTORS[1])
+            keys.append(int(_mixed(joined, 40 + band).view(np.int64)[0]))
+    return keys
 
-    Each window that is not settled meets all others of its key, in tiles of two blocks. A
-    tile gives no more passages than connect its windows, of which all settled ones count as
-    connected through their head.
+
+AGAIN = "exact boolean, key bigint, proof bigint, number bigint, centre int, left int, right int"
+
+
+def _again(texts: DataFrame, unmet: DataFrame, least: int) -> DataFrame:
+    """What windows without their head's passage meet under again; texts are read once.
+
+    ``exact`` rows are stretches of ``least`` shingles from ``centre`` on, keyed by two hashes of
+    the whole stretch: all that share them hold the same passage. The others are the windows
+    under their finer keys.
     """
-    share = 2 * similarity / (1 + similarity)
+    window = F.struct("key", "centre", "left", "right")
+    wanted = unmet.groupBy("number").agg(F.collect_list(window).alias("windows"))
+    names = [f.split()[0] for f in AGAIN.split(", ")]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for number, text, windows in zip(
+                *(batch.column(c).to_pylist() for c in ("number", "text", "windows")), strict=True
+            ):
+                hashes = passage_hashes(text, known)
+                starts = _stretch_starts(windows, len(hashes), least)
+                keys, proofs = stretch_hashes(hashes, starts, least)
+                finer = [
+                    (key, 0, w["centre"], w["left"], w["right"])
+                    for w in windows
+                    for key in finer_keys(hashes, w["key"], w["centre"])
+                ]
+                n, zeros = len(starts), np.zeros(len(starts), np.int64)
+                rows = np.concatenate(
+                    [
+                        np.stack([keys, proofs, starts, zeros, zeros], 1),
+                        np.array(finer, np.int64).reshape(-1, 5),
+                    ]
+                )
+                columns = [np.arange(len(rows)) < n, rows[:, 0], rows[:, 1], np.full(len(rows), number)]
+                columns += [rows[:, i] for i in (2, 3, 4)]
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
-    def judge(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by([("number", "ascending"), ("centre", "ascending")])
-        number, centre, left, right, low, block = (
-            tile[c].to_numpy() for c in ("number", "centre", "left", "right", "low", "block")
-        )
-        settled = tile["settled"].to_numpy()
-        hashes = [np.frombuffer(h, np.uint32) for h in tile["hashes"].to_pylist()]
-        i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
-        faced = (block[:, None] == i) & (block[None, :] == j)
-        faced = np.tril(faced | faced.T, -1) & (number[:, None] != number[None, :])
-        overlap = np.minimum(left[:, None], left) + np.minimum(right[:, None], right) + 1
-        # A stretch that is alike has this many of its shingles in the other window at least.
-        faced &= (overlap >= least) & (held_in(hashes) >= share * least)
-        root = np.where(settled, settled.argmax(), np.arange(len(number))).tolist()
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                k = root[k]
-            return k
-
-        rows = []
-        for own, other in np.argwhere(faced).tolist():
-            if top(own) == top(other):
-                continue
-            before, after = min(left[own], left[other]), min(right[own], right[other])
-            begin = centre[own] - before
-            mine = hashes[own][begin - low[own] : centre[own] + after + 1 - low[own]]
-            at = centre[other] - low[other]
-            theirs = hashes[other][max(0, at - before - MARGIN) : at + after + 1 + MARGIN]
-            shift = int(centre[own] - centre[other])
-            for start, end, jaccard in alike_stretches(mine, theirs, least, similarity):
-                if start <= before < end:
-                    start, length = int(begin + start), end - start + SHINGLE - 1
-                    ends = int(number[own]), start, length, int(number[other])
-                    rows.append((*ends, max(0, start - shift), jaccard, shift))
-                    root[top(own)] = top(other)
-        return _passage_table(rows)
-
-    dealt = tiles(unmet, F.xxhash64("number", "centre"), TILE)
     return (
-        dealt.join(pieces, ["number", "low", "high"])
-        .groupBy("key", "i", "j")
-        .applyInArrow(judge, PASSAGE)
+        texts.join(wanted, "number")
+        .select("number", "text", "windows")
+        .mapInArrow(cut, AGAIN)
+    )
+
+
+def _exact_passages(stretches: DataFrame, least: int) -> DataFrame:
+    """Passages of stretches that share both hashes; each is told from the smallest document's.
+
+    Counts per key are combined before the shuffle, and a key that many documents share
+    is split by the skew join.
+    """
+    rows = stretches.select("key", "proof", "number", F.col("centre").alias("start"))
+    heads = (
+        rows.groupBy("key", "proof")
+        .agg(F.min(F.struct("number", "start")).alias("head"), F.max("number").alias("most"))
+        .filter("head.number <> most")
+        .select("key", "proof", "head")
+    )
+    met = rows.join(heads, ["key", "proof"]).filter(F.col("number") != F.col("head.number"))
+    told = met.select(
+        "number", "start", F.col("head.number").alias("first"), (F.col("start") - F.col("head.start")).alias("shift")
+    )
+    order = Window.partitionBy("number", "first", "shift").orderBy("start")
+    # Rows that share an id may repeat a start.
+    runs = told.withColumn("run", F.col("start") - F.dense_rank().over(order))
+    return runs.groupBy("number", "first", "shift", "run").agg(
+        F.min("start").cast("bigint").alias("start"), F.max("start").cast("bigint").alias("last")
+    ).select(
+        "number",
+        "start",
+        (F.col("last") - F.col("start") + least + SHINGLE - 1).alias("length"),
+        "first",
+        (F.col("start") - F.col("shift")).cast("bigint").alias("first_start"),
+        F.lit(1.0).alias("similarity"),
+        F.col("shift").cast("bigint").alias("shift"),
     )
 
 
@@ -368,38 +434,8 @@ def _pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def repeated_passages(
-    docs: DataFrame,
-    words: int = 50,
-    similarity: float = 0.8,
-    functions: int = 2,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Per passage found again: ``id_col``, start, length, first_id, first_start, similarity.
-
-    A passage is a stretch of ``words`` words or more (split at white space, A-Z
-    lower-cased) whose five-word shingles have a Jaccard similarity of ``similarity`` or
-    more with a stretch of the document ``first_id``; starts and lengths are in words. Windows
-    of documents meet under keys. The smallest or the largest id that shares a window's key
-    stands for all documents whose passage around the window's centre it holds, so copies of
-    a passage give a row or two each and not one per pair; windows without that passage
-    meet all others under the key, in tiles of two blocks, until they are connected with one
-    that holds theirs or there is none. Both ends of a row hold the passage. Exact repeats
-    always share a key; those at the similarity share at least one min-hash of ``functions``
-    with probability 1 - (1 - s)^functions. The cost grows with the square of the windows
-    that share a key but hold no passage of its head: they have to be compared.
-
-    Rows that share an id are one document, as are those with NULL ids; repeats inside a
-    document are not reported. NULL, empty and shorter texts hold no passage. An empty
-    table gives no rows; other columns are not read. Starts jobs, with candidate stretches
-    and their shingles stored in the shared folder; texts cross one
-    shuffle, to meet what is asked of them.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    least = words - SHINGLE + 1
-    texts = docs.select(_number(id_col, kind).alias("number"), whole_text(text_col).alias("text"))
-    met = settle(_met(_windows(texts, least, functions)), "met")
+def _verified(texts: DataFrame, met: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Passages that windows really have in common with their key's head, stored."""
     found = settle(_candidates(met, least), "stretches")
     # Stretches are cut on a grid, so that one of a document is asked for once by many others.
     def grid(low: Column, high: Column) -> list[Column]:
@@ -442,7 +478,7 @@ def repeated_passages(
             yield from _passage_table(rows).to_batches()
 
     columns = ["number", "first", "shift", "low", "high", "own_low", "own", "other"]
-    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "passages")
+    spark, path = texts.sparkSession, shared_path(texts.sparkSession, "passages")
     # The pieces go once their passages are stored.
     with staging(spark):
         pieces = settle(_pieces(texts, asked.toDF("number", "low", "high")), "pieces")
@@ -452,11 +488,51 @@ def repeated_passages(
             theirs, ["first", "first_low", "first_high"]
         )
         both.select(*columns).mapInArrow(verify, PASSAGE).write.parquet(path)
-    passages = spark.read.schema(PASSAGE).parquet(path)
-    unmet = settle(_unmet(met, passages), "unmet")
-    asked = unmet.select("number", "low", "high")
-    among = _met_in_tiles(unmet, settle(_pieces(texts, asked), "pieces"), least, similarity)
-    passages = passages.union(settle(among, "among"))
+    return spark.read.schema(PASSAGE).parquet(path)
+
+
+def repeated_passages(
+    docs: DataFrame,
+    words: int = 50,
+    similarity: float = 0.8,
+    functions: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Per passage found again: ``id_col``, start, length, first_id, first_start, similarity.
+
+    A passage is a stretch of ``words`` words or more (split at white space, A-Z
+    lower-cased) whose five-word shingles have a Jaccard similarity of ``similarity`` or
+    more with a stretch of the document ``first_id``; starts and lengths are in words. Windows
+    of documents meet under keys. The smallest or the largest id that shares a window's key
+    stands for all documents whose passage around the window's centre it holds, so copies of
+    a passage give a row or two each and not one per pair. Both ends of a row hold the passage.
+
+    Windows under a key whose passage is not their head's, as under a fragment that many texts
+    share, meet again. Every stretch of the least length around their centres is keyed by
+    hashes of the whole stretch, under which all rows hold one passage and the smallest
+    document stands for all: no exact repeat is lost, whatever the keys' sizes, and nothing
+    is compared in pairs. Repeats that are only similar meet under the key joined with pairs of
+    further min-hashes, whose head is verified like the first. Those at the similarity
+    share a min-hash of ``functions`` with probability 1 - (1 - s)^functions; inside a key that
+    unlike texts share, one of ``BANDS`` pairs with probability 1 - (1 - s^2)^BANDS.
+
+    Rows that share an id are one document, as are those with NULL ids; repeats inside a
+    document are not reported. NULL, empty and shorter texts hold no passage. An empty
+    table gives no rows; other columns are not read. Starts jobs, with candidate stretches
+    and their shingles stored in the shared folder; texts cross one
+    shuffle, to meet what is asked of them.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    least = words - SHINGLE + 1
+    texts = docs.select(_number(id_col, kind).alias("number"), whole_text(text_col).alias("text"))
+    met = settle(_met(_windows(texts, least, functions)), "met")
+    passages = _verified(texts, met, least, similarity)
+    again = settle(_again(texts, settle(_unmet(met, passages), "unmet"), least), "again")
+    exact = settle(_exact_passages(again.filter("exact"), least), "exact")
+    finer = again.filter("NOT exact").select("number", "key", "centre", "left", "right")
+    near = _verified(texts, settle(_met(finer), "met-again"), least, similarity)
+    passages = passages.unionByName(exact).unionByName(near)
     if kind in ("tinyint", "smallint", "int", "bigint"):
         def back(c: str) -> Column:
             return F.when(F.col(c) != NO_ID, F.col(c)).cast(kind)

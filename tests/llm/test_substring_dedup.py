@@ -83,3 +83,51 @@ def test_other_ids(spark):
     found = repeated_passages(spark.createDataFrame(rows, "name string, body string"), id_col="name", text_col="body")
     ids = {frozenset((r.name, r.first_id)) for r in found.collect()}
     assert set().union(*ids) == {"a", "b", None}
+
+
+def brute_pairs(texts, words):
+    """Pairs of documents with an equal stretch of ``words`` words."""
+    holders = {}
+    for i, text in texts.items():
+        for at in range(len(text) - words + 1):
+            holders.setdefault(tuple(text[at : at + words]), set()).add(i)
+    return [group for group in holders.values() if len(group) > 1]
+
+
+def test_repeats_around_a_fragment_that_all_documents_share(make_docs):
+    """A key of 700 windows that share 45 words: every exact repeat is told, similar ones for the most part."""
+    rnd = random.Random(12)
+    noise = lambda k: [f"n{rnd.randrange(10**7)}" for _ in range(k)]
+    fragment = noise(45)
+    rows, similar = [], []
+    for i in range(700):
+        rows.append([i, noise(rnd.randrange(20, 80)) + fragment + noise(rnd.randrange(20, 80))])
+    for p in range(60):
+        # Exactly fifty words, or some more, around the fragment.
+        before = noise(rnd.randrange(0, 6))
+        passage = before + fragment + noise(5 - len(before) + rnd.randrange(0, 10))
+        for copy in range(2):
+            rows.append([1000 + 2 * p + copy, noise(30) + passage + noise(30)])
+    for p in range(40):
+        passage = noise(20) + fragment + noise(25)
+        for copy in range(2):
+            own = list(passage)
+            if copy:
+                own[rnd.choice([5, 85])] = "changed"
+            rows.append([2000 + 2 * p + copy, noise(30) + own + noise(30)])
+        similar.append({2000 + 2 * p, 2000 + 2 * p + 1})
+    found = repeated_passages(make_docs([(i, " ".join(t)) for i, t in rows])).collect()
+    texts = dict(map(tuple, rows))
+    told = [{r.doc_id, r.first_id} for r in found]
+    for r in found:
+        assert r.length >= 50 and r.similarity >= 0.8 and r.doc_id != r.first_id
+    groups = brute_pairs(texts, 50)
+    assert len(groups) >= 60
+    # Each holder of an equal passage is tied to another holder of it.
+    for group in groups:
+        tied = set().union(*[pair for pair in told if pair <= group])
+        assert tied == group
+    caught = sum(pair in told for pair in similar)
+    assert caught >= 0.9 * len(similar)
+    # Documents that share the fragment only are left alone.
+    assert not {i for pair in told for i in pair if i < 1000}
