@@ -8,14 +8,19 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hydrorisk.llm.common import as_rows, original, whole_text
+from hydrorisk.session import settle
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -37,6 +42,11 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
+def item_words(question: str, answer: str) -> list[str]:
+    """The words of an item, repeats included."""
+    return words_of(question if question == answer else f"{question} {answer}")
+
+
 def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
     """Word n-grams; a shorter text is one gram."""
     n = min(n, len(words))
@@ -67,13 +77,19 @@ class ItemIndex:
     So a passage that holds all of an item's words scores 1 for it, whatever the item's length.
     """
 
-    def __init__(self, items: list[tuple[int, str, str]], block: int = 8):
-        self.block = block
+    def __init__(
+        self,
+        items: list[tuple],
+        block: int = 8,
+        kind: str = "bigint",
+        corpus: tuple[int, float, dict[str, int]] | None = None,
+    ):
+        """``corpus`` (items, mean length, items per term) is that of the whole set, for a part of it."""
+        self.block, self.kind = block, kind
         self.ids, self.question, self.answer = [], [], []
         bags = []
         for item, question, answer in items:
-            same = question == answer
-            bag = Counter(words_of(question if same else f"{question} {answer}"))
+            bag = Counter(item_words(question, answer))
             if bag:
                 bags.append(bag)
                 self.ids.append(item)
@@ -81,13 +97,15 @@ class ItemIndex:
                 self.answer.append(shingles(words_of(answer), 3))
         lengths = [bag.total() for bag in bags]
         self.longest = max(lengths, default=1)
-        mean = sum(lengths) / max(1, len(lengths))
-        found = Counter(term for bag in bags for term in bag)
+        count, mean = len(bags), sum(lengths) / max(1, len(lengths))
+        found: dict[str, int] = Counter(term for bag in bags for term in bag)
+        if corpus is not None:
+            count, mean, found = corpus
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for number, (bag, length) in enumerate(zip(bags, lengths, strict=True)):
             norm = K1 * (1 - B + B * length / mean)
             weight = {
-                t: math.log(1 + (len(bags) - found[t] + 0.5) / (found[t] + 0.5)) * n * (K1 + 1) / (n + norm)
+                t: math.log(1 + (count - found[t] + 0.5) / (found[t] + 0.5)) * n * (K1 + 1) / (n + norm)
                 for t, n in bag.items()
             }
             whole = sum(weight.values())
@@ -203,6 +221,18 @@ def _seek(cursor: list, item: int) -> None:
     cursor[0] = items[cursor[1]] if cursor[1] < len(items) else END
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _item_words(questions: pd.Series, answers: pd.Series) -> pd.Series:
+    """All words of items with a question and an answer of their own."""
+    return pd.Series([item_words(*pair) for pair in zip(questions, answers, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _text_words(texts: pd.Series) -> pd.Series:
+    """All words of items that are one text."""
+    return pd.Series([item_words(*question_and_answer(text)) for text in texts])
+
+
 def build_index(
     benchmark: DataFrame,
     item_col: str = "item_id",
@@ -210,28 +240,48 @@ def build_index(
     question_col: str | None = None,
     answer_col: str | None = None,
     most_bytes: int = 64 << 20,
-) -> ItemIndex:
-    """The index of a test set, which every task gets; its size is checked first.
+) -> list[ItemIndex]:
+    """The index of a test set, in as many parts as keep each below about ``most_bytes`` of text.
 
-    A larger test set than ``most_bytes`` of text raises an error: pass it in parts and
-    union what they find. Items without a word, NULL texts among them, match nothing;
-    an item without an id is left out.
+    A part is what every task gets at a time; weights are those of the whole set, so the
+    number of parts changes no result. The driver holds one part's texts at a time, and all
+    parts' postings. Items without a word, NULL texts among them, match nothing; an item
+    without an id is left out. Ids may be of any type.
     """
-    text = F.concat_ws("\n", question_col, answer_col) if question_col else whole_text(text_col)
     items = benchmark.filter(F.col(item_col).isNotNull())
-    size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"test items take {size} bytes, more than {most_bytes}: pass them in parts")
-    if question_col:
-        rows = items.select(item_col, whole_text(question_col), whole_text(answer_col)).collect()
-        return ItemIndex(sorted({tuple(row) for row in rows}))
-    rows = items.select(item_col, text).collect()
-    return ItemIndex(sorted({(item, *question_and_answer(t)) for item, t in rows}))
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    columns = [whole_text(c) for c in ([question_col, answer_col] if question_col else [text_col])]
+    size = items.agg(F.sum(F.octet_length(F.concat(*columns)))).first()[0] or 0
+    parts = max(1, math.ceil(size / most_bytes))
+
+    def listed(rows: DataFrame) -> list[tuple]:
+        found = rows.select(item_col, *columns).collect()
+        if question_col:
+            return sorted({tuple(row) for row in found})
+        return sorted({(item, *question_and_answer(text)) for item, text in found})
+
+    if parts == 1:
+        return [ItemIndex(listed(items), kind=kind)]
+    part = F.pmod(F.xxhash64(F.col(item_col).cast("string")), F.lit(parts))
+    distinct = items.select(F.col(item_col), *[c.alias(f"_{i}") for i, c in enumerate(columns)]).distinct()
+    words = (_item_words if question_col else _text_words)(*[f"_{i}" for i in range(len(columns))])
+    words = distinct.select(part.alias("part"), words.alias("words")).filter(F.size("words") > 0)
+    words = settle(words, "item-words")
+    count, mean = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    own = words.select("part", F.explode(F.array_distinct("words")).alias("term"))
+    found = settle(own.groupBy("term").agg(F.count(F.lit(1)).alias("items")), "item-terms")
+    indexes = []
+    for number in range(parts):
+        terms = own.filter(F.col("part") == number).select("term").distinct()
+        known = dict(found.join(terms, "term").collect())
+        rows = listed(items.filter(part == number))
+        indexes.append(ItemIndex(rows, kind=kind, corpus=(count, mean or 0.0, known)))
+    return indexes
 
 
 def find_leaks(
     docs: DataFrame,
-    index: ItemIndex,
+    index: list[ItemIndex],
     id_col: str = "doc_id",
     text_col: str = "text",
     score: float = 0.5,
@@ -245,9 +295,18 @@ def find_leaks(
     reaches ``score`` and the passage holds at least ``question`` of the question's
     five-word and ``answer`` of the answer's three-word grams. NULL and empty texts hold no
     item. Repeated rows report the same again; NULL ids are kept; an empty table gives no
-    rows, as does an index without items. Other columns are not read. No shuffle.
+    rows, as does an index without items. Other columns are not read. No shuffle; texts are
+    read once per part of the index.
     """
+    found = [_find_in(docs, part, id_col, text_col, score, question, answer) for part in index]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _find_in(
+    docs: DataFrame, index: ItemIndex, id_col: str, text_col: str, score: float, question: float, answer: float
+) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
+    item_kind = to_arrow_type(T.StructType.fromDDL(f"id {index.kind}")[0].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -258,7 +317,7 @@ def find_leaks(
                 owner += [row] * len(leaks)
                 found += leaks
             columns = list(zip(*found, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+            kinds = [item_kind, pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(pa.array(owner, pa.int64())),
@@ -271,15 +330,21 @@ def find_leaks(
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
         search,
-        f"id {kind}, item_id bigint, score double, question_overlap double,"
+        f"id {kind}, item_id {index.kind}, score double, question_overlap double,"
         " answer_overlap double, passage_start bigint",
     ).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(
-    docs: DataFrame, index: ItemIndex, id_col: str = "doc_id", text_col: str = "text", **limits: float
+    docs: DataFrame, index: list[ItemIndex], id_col: str = "doc_id", text_col: str = "text", **limits: float
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no test item."""
+    for part in index:
+        docs = _without(docs, part, text_col, limits)
+    return docs
+
+
+def _without(docs: DataFrame, index: ItemIndex, text_col: str, limits: dict[str, float]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
     limits = {"score": 0.5, "question": 0.5, "answer": 0.5, **limits}
 

@@ -67,10 +67,34 @@ def test_planted_items_are_found(spark, make_docs, odd_rows):
     assert find_leaks(docs, nothing).count() == 0 and drop_contaminated(docs, nothing).count() == len(rows)
 
 
-def test_size_of_the_index_is_checked(spark):
-    items = spark.createDataFrame([(1, "x" * 100)], "item_id bigint, text string")
-    with pytest.raises(ValueError):
-        build_index(items, most_bytes=50)
+def test_items_with_text_ids(spark, make_docs):
+    items = spark.createDataFrame([("q-1", "one two three four five six seven. eight nine ten.")], "name string, body string")
+    index = build_index(items, item_col="name", text_col="body")
+    docs = make_docs([(1, "so one two three four five six seven. eight nine ten. then"), (2, "other words")])
+    found = find_leaks(docs, index)
+    assert dict(found.dtypes)["item_id"] == "string"
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, "q-1")]
+    assert [r.doc_id for r in drop_contaminated(docs, index).collect()] == [2]
+
+
+@pytest.mark.parametrize("columns", [{}, {"question_col": "q", "answer_col": "a"}])
+def test_parts_of_an_index_find_what_the_whole_one_finds(spark, make_docs, columns):
+    items = make_items(80, 5)
+    benchmark = spark.createDataFrame(
+        [(i, f"{q}. {a}.", q, a) for i, q, a in items] + [(90, None, None, None), (80 - 1, *["x y. z."] * 3)],
+        "item_id bigint, text string, q string, a string",
+    )
+    rnd = random.Random(6)
+    noise = lambda k: " ".join(f"w{rnd.randrange(300)}" for _ in range(k))
+    docs = make_docs([(i, f"{noise(40)} {q}. {a}. {noise(60)}") for i, q, a in items] + [(500, noise(400))])
+    whole = build_index(benchmark, **columns)
+    parts = build_index(benchmark, most_bytes=2000, **columns)
+    assert len(whole) == 1 and len(parts) > 3
+    found = [sorted(map(tuple, find_leaks(docs, index).drop("passage_start").collect())) for index in (whole, parts)]
+    assert len(found[0]) >= 70 and [r[:2] for r in found[0]] == [r[:2] for r in found[1]]
+    np.testing.assert_allclose([r[2:] for r in found[0]], [r[2:] for r in found[1]])
+    kept = [sorted(r.doc_id for r in drop_contaminated(docs, index).collect()) for index in (whole, parts)]
+    assert kept[0] == kept[1]
 
 
 def test_question_and_answer():
