@@ -28,8 +28,7 @@ def feature_matrix(
     columns share one pass over the panel, written once because fit and score
     both read it.
     """
-    panel = settle(assemble_unique_panel(rain, temperature, soil), "panel")
-
+    panel = assemble_unique_panel(rain, temperature, soil)
     sums = {n: f"_sum_{n}" for n in windows}
     stages, helpers = rolling_sums(RAIN, sums)
     windowed = over_rows(panel, antecedent_rain, *stages, back=max(windows) - 1)

@@ -426,12 +426,13 @@ def panel_coverage(spark, sf_dir):
 
 @query(
     """SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer
-    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01')"""
 )
 def missing_divisions(spark, sf_dir):
-    """Customers as the registry: those without any order are missing."""
+    """Customers as the registry: those without an order from 1998 on, some at every scale, are missing."""
     registry = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
-    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias(DIVISION))
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit("1998-01-01").cast("date"))
+    seen = orders.select(F.col("o_custkey").cast("string").alias(DIVISION))
     return quality.missing_divisions(registry, seen)
 
 

@@ -300,7 +300,7 @@ def _prepared(spark, sf_dir):
     labelled = _short_index(spark, sf_dir).withColumn(
         "flood_severity", severity.flood_severity(F.col("spi"))
     )
-    return settle(forecast.prepare_horizon(settle(labelled), "flood_severity")[0], "prepared")
+    return settle(forecast.prepare_horizon(labelled, "flood_severity")[0], "prepared")
 
 
 @query(
@@ -376,7 +376,7 @@ def _persistence(spark, sf_dir):
         severity_ordinal(F.col("landslide_severity")).alias("truth"),
         severity_ordinal(F.col("flood_severity")).alias("guess"),
     )
-    ahead = forecast.horizon_targets(settle(labelled), "truth").na.drop(subset=TARGETS)
+    ahead = forecast.horizon_targets(labelled, "truth").na.drop(subset=TARGETS)
     return ahead.withColumns({p: F.col("guess") for p in PREDICTIONS})
 
 
@@ -482,7 +482,7 @@ _BOOSTED_SQL = _PREPARED_SQL.replace(
 def boosted_hazard(spark, sf_dir):
     """Weighted boosting of the landslide classes, a booster per class and horizon, ended by held-back rows."""
     labelled = severity.label_all(_short_index(spark, sf_dir))
-    rows = settle(forecast.prepare_horizon(settle(labelled), "landslide_severity")[0], "prepared")
+    rows = settle(forecast.prepare_horizon(labelled, "landslide_severity")[0], "prepared")
     train, _, test = split_temporal(rows, "2000-01-01", "2000-01-01")
     train = settle(forecast.bounded_sample(train, FIT_ROWS).coalesce(1), "fit-rows")
     params = forecast.TreeParams(kind="boosted", trees=50, depth=4, learning_rate=0.2, row_share=0.9, column_share=0.9)
