@@ -287,26 +287,29 @@ def stretch_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> list[
     return found
 
 
-def _stretch_starts(windows: list[dict], shingles: int, least: int) -> np.ndarray:
+def _stretch_starts(centre: np.ndarray, left: np.ndarray, right: np.ndarray, shingles: int, least: int) -> np.ndarray:
     """Starts of all stretches of ``least`` shingles that hold a window's centre and lie inside it."""
-    inside = np.zeros(shingles + 1, bool)
-    for w in windows:
-        first = max(w["centre"] - w["left"], w["centre"] - least + 1)
-        last = min(w["centre"], w["centre"] + w["right"] - least + 1)
-        inside[first : last + 1] = True
-    return np.flatnonzero(inside[: max(0, shingles - least + 1)])
-
-
-def finer_keys(hashes: np.ndarray, key: int, centre: int) -> list[int]:
-    """The window's key joined with two further min-hashes around its centre, once per band."""
-    around = hashes[max(0, centre - AROUND) : centre + AROUND + 1]
-    keys = []
+    first = np.maximum(centre - left, centre - least + 1)
+    last = np.minimum(centre, centre + right - least + 1)
+    edges = np.zeros(shingles + 2, np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, last + 1, -1)
+    return np.flatnonzero(np.cumsum(edges)[: max(0, shingles - least + 1)])
+
+
+def finer_keys(hashes: np.ndarray, keys: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per band, the windows' keys joined with two further min-hashes around their centres."""
+    padded = np.pad(hashes, AROUND, mode="edge")
+    found = []
     with np.errstate(over="ignore"):
         for band in range(BANDS):
-            one, two = (_mixed(around, 20 + 2 * band + i).min() for i in (0, 1))
-            joined = np.array([key], np.int64).view(np.uint64) ^ (one * FACTORS[0]) ^ (two * FACTORS[1])
-            keys.append(int(_mixed(joined, 40 + band).view(np.int64)[0]))
-    return keys
+            joined = keys.view(np.uint64)
+            for i in (0, 1):
+                mixed = _mixed(padded, 20 + 2 * band + i)
+                around = np.lib.stride_tricks.sliding_window_view(mixed, 2 * AROUND + 1)
+                joined = joined ^ (around[centres].min(axis=1) * FACTORS[i])
+            found.append(_mixed(joined, 40 + band).view(np.int64))
+    return np.stack(found)
 
 
 AGAIN = "exact boolean, key bigint, proof bigint, number bigint, centre int, left int, right int"
@@ -319,34 +322,35 @@ def _again(texts: DataFrame, unmet: DataFrame, least: int) -> DataFrame:
     the whole stretch: all that share them hold the same passage. The others are the windows
     under their finer keys.
     """
-    window = F.struct("key", "centre", "left", "right")
-    wanted = unmet.groupBy("number").agg(F.collect_list(window).alias("windows"))
+    sides = ("key", "centre", "left", "right")
+    wanted = unmet.groupBy("number").agg(F.collect_list(F.struct(*sides)).alias("windows"))
     names = [f.split()[0] for f in AGAIN.split(", ")]
     kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for number, text, windows in zip(
-                *(batch.column(c).to_pylist() for c in ("number", "text", "windows")), strict=True
-            ):
+            windows = batch.column("windows")
+            ends = windows.offsets.to_numpy()
+            flat = windows.values
+            fields = [flat.field(side).to_numpy().astype(np.int64) for side in sides]
+            numbers, texts = (batch.column(c).to_pylist() for c in ("number", "text"))
+            for row, (number, text) in enumerate(zip(numbers, texts, strict=True)):
+                key, centre, left, right = (f[ends[row] : ends[row + 1]] for f in fields)
                 hashes = passage_hashes(text, known)
-                starts = _stretch_starts(windows, len(hashes), least)
-                keys, proofs = stretch_hashes(hashes, starts, least)
-                finer = [
-                    (key, 0, w["centre"], w["left"], w["right"])
-                    for w in windows
-                    for key in finer_keys(hashes, w["key"], w["centre"])
+                starts = _stretch_starts(centre, left, right, len(hashes), least)
+                stretches, proofs = stretch_hashes(hashes, starts, least)
+                finer = finer_keys(hashes, key, centre).ravel()
+                n, m = len(starts), len(finer)
+                columns = [
+                    np.arange(n + m) < n,
+                    np.concatenate([stretches, finer]),
+                    np.concatenate([proofs, np.zeros(m, np.int64)]),
+                    np.full(n + m, number),
+                    np.concatenate([starts, np.tile(centre, BANDS)]),
+                    np.concatenate([np.zeros(n, np.int64), np.tile(left, BANDS)]),
+                    np.concatenate([np.zeros(n, np.int64), np.tile(right, BANDS)]),
                 ]
-                n, zeros = len(starts), np.zeros(len(starts), np.int64)
-                rows = np.concatenate(
-                    [
-                        np.stack([keys, proofs, starts, zeros, zeros], 1),
-                        np.array(finer, np.int64).reshape(-1, 5),
-                    ]
-                )
-                columns = [np.arange(len(rows)) < n, rows[:, 0], rows[:, 1], np.full(len(rows), number)]
-                columns += [rows[:, i] for i in (2, 3, 4)]
                 arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
