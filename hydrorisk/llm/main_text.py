@@ -69,11 +69,11 @@ ROLES = frozenset(
 )
 # Words of a class or id that name what is no article, and those that name it.
 ASIDE_WORDS = re.compile(
-    r"ads?|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|copyright|"
-    r"disclaimer|disqus|footer|foot|gdpr|header|login|masthead|menus?|modal|nav|navbar|navigation|"
-    r"newsletter|notices?|notification|pager|pagination|popup|promos?|promotion|recommend\w*|"
-    r"related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|"
-    r"subscription|toc|toolbar|topbar|widgets?"
+    r"ad(s|vert\w*|slot|unit|box|sbygoogle)?\d*|alert|announcement|aside|banner|breadcrumbs?|"
+    r"comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|foot|footer|gdpr|header|"
+    r"login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|"
+    r"pagination|popup|promos?|promotion|rail|recommend\w*|related|replies|respond|search|share|"
+    r"sharing|side|sidebar|signup|social|sponsor\w*|subscribe|subscription|toc|toolbar|topbar|widgets?"
 )
 ARTICLE_WORDS = frozenset("article body content entry main post story text page wrapper container".split())
 STATE_WORDS = frozenset("has is no not with without js".split())
@@ -86,11 +86,16 @@ COMMENTS = re.compile(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _names_aside(name: str) -> bool:
-    """Whether a class or id, like ``site-header`` or ``cookieNotice``, names what is no article."""
+def _names_aside(name: str, in_article: bool) -> bool:
+    """Whether a class or id, like ``site-header`` or ``cookieNotice``, names what is no article.
+
+    The header of an article, like ``entry-header``, holds its title and is part of it.
+    """
     words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-").split("-")
     if words[0] in STATE_WORDS or ARTICLE_WORDS.intersection(words[-1:]):
         return False
+    if in_article or words[0] in ARTICLE_WORDS:
+        words = [w for w in words if w != "header"]
     return any(map(ASIDE_WORDS.fullmatch, words))
 
 
@@ -205,7 +210,7 @@ class _Lines(HTMLParser):
         if tag in HEADINGS:
             return False
         names = attributes.get("class", "").split() + attributes.get("id", "").split()
-        return any(map(_names_aside, names))
+        return any(_names_aside(name, bool(article)) for name in names)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # Browsers ignore the slash of "<p/>".

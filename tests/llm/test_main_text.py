@@ -73,6 +73,8 @@ def test_comments_without_marks_end_the_article():
         ("<body class='has-sidebar'><div class='page-content'><article>kept</article></div>", "kept"),
         ("<main><h1>Title</h1><article><p>Text</article></main>", "Title\n\nText"),
         ("<article><table><tr><td>a<td>b</table></article>", "a\n\nb"),
+        ("<article><div class='entry-header'><h1>T</h1></div><p class='byline'>By X</p><div class='ad-slot'>buy</div>t", "T\n\nBy X\n\nt"),
+        ("<div class='right-side'>side text that is long enough to surge</div><div class='alert'>take care of this alert now</div>", ""),
     ],
 )
 def test_odd_pages(html, text):
