@@ -87,46 +87,20 @@ def window_keys(hashes: np.ndarray, least: int, functions: int) -> np.ndarray:
     """Rows (key, centre, left, right) by which stretches sharing a min-hash meet;
     left and right tell how far the node reaches from its centre.
 
-    A node is keyed by the shingle at its centre. The first function's nodes are also
-    keyed by the centre with half a passage on its left, and on its right: an exact
-    repeat holds one of the two whole, so its occurrences meet under a key that hardly
-    any other text has.
+    A node is keyed by the shingle at its centre. Every stretch of ``least`` shingles lies in
+    exactly one node of each function, with its minimum at the centre, so equal stretches
+    share a key of each, wherever they stand.
     """
-    half = max(1, (least - 1) // 2)
     rows = []
-    spread = _mixed(hashes, 97)
-    with np.errstate(over="ignore"):
-        place = np.arange(len(hashes) + 1, dtype=np.uint64)
-        plain, placed = np.zeros((2, len(hashes) + 1), np.uint64)
-        np.cumsum(spread, out=plain[1:])
-        np.cumsum(spread * place[:-1], out=placed[1:])
-
-        def context(start: np.ndarray, side: int) -> np.ndarray:
-            end = start + half + 1
-            total = plain[end] - plain[start]
-            ordered = placed[end] - placed[start] - place[start] * total
-            return _mixed(total ^ (ordered * FACTORS[2]), 50 + side)
-
-        def parity(keys: np.ndarray, kind: int) -> np.ndarray:
-            return (keys & ~np.uint64(1)) | np.uint64(kind % 2)
-
-        for function in range(functions):
-            nodes = compact_windows(_mixed(hashes, function), least)
-            if not len(nodes):
-                continue
+    for function in range(functions):
+        nodes = compact_windows(_mixed(hashes, function), least)
+        if len(nodes):
             left, centre, right = nodes.T
-            left, right = centre - left, right - centre
-            rows.append((parity(_mixed(hashes[centre], 10 + function), function), centre, left, right))
-            if function == 0:
-                for side, start in ((0, centre - half), (1, centre)):
-                    fits = (start >= 0) & (start + half < len(hashes))
-                    key = parity(context(start[fits], side), side)
-                    rows.append((key, centre[fits], left[fits], right[fits]))
-    if not rows:
-        return np.zeros((0, 4), np.int64)
-    return np.concatenate(
-        [np.stack([key.view(np.int64), *rest], 1) for key, *rest in rows]
-    )
+            keys = _mixed(hashes[centre], 10 + function)
+            # Even keys have the smallest document as head, odd ones the largest.
+            keys = (keys & ~np.uint64(1)) | np.uint64(function % 2)
+            rows.append(np.stack([keys.view(np.int64), centre, centre - left, right - centre], 1))
+    return np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
 
 
 def alike_stretches(

@@ -25,17 +25,23 @@ def test_each_stretch_lies_in_one_window_with_its_minimum(kinds):
     assert len(compact_windows(values[: least - 1], least)) == 0
 
 
-def test_repeats_share_the_keys_of_half_a_passage():
-    """Whatever stands before them, centres well inside two copies have all keys in common."""
-    rng = np.random.default_rng(5)
+@pytest.mark.parametrize("length", [46, 60, 200])
+def test_equal_stretches_share_a_key_of_every_function(length):
+    """Wherever they stand, and be they of the least length only."""
+    rng = np.random.default_rng(length)
     draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
-    passage = draw(200)
-    one = window_keys(np.concatenate([draw(37), passage, draw(11)]), 46, 2)
-    two = window_keys(np.concatenate([draw(700), passage, draw(300)]), 46, 2)
-    inside = one[(one[:, 1] >= 37 + 60) & (one[:, 1] < 37 + 140)]
-    shared = set(one[:, 0].tolist()) & set(two[:, 0].tolist())
-    assert len(inside) > 3 and len(shared) >= len(inside)
-    assert sum(k in shared for k in inside[:, 0].tolist()) >= 0.8 * len(inside)
+    for _ in range(30):
+        passage = draw(length)
+        before = [int(n) for n in rng.integers(0, 300, 2)]
+        one, two = (np.concatenate([draw(n), passage, draw(50)]) for n in before)
+        for function in range(2):
+            keys = []
+            for text, start in ((one, before[0]), (two, before[1])):
+                rows = window_keys(text, 46, 2)
+                rows = rows[rows[:, 0] % 2 == function]
+                inside = (rows[:, 1] >= start) & (rows[:, 1] < start + length)
+                keys.append(set(rows[inside, 0].tolist()))
+            assert keys[0] & keys[1]
 
 
 def test_alike_stretches():
