@@ -27,6 +27,8 @@ PASSAGE = (
     "number bigint, start bigint, length bigint, first bigint, first_start bigint,"
     " similarity double, shift bigint"
 )
+# Rows of a batch, about, that a task hands on at once.
+HANDED_ON = 100_000
 TIES = np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -309,6 +311,7 @@ def _again(texts: DataFrame, unmet: DataFrame, least: int) -> DataFrame:
             flat = windows.values
             fields = [flat.field(side).to_numpy().astype(np.int64) for side in sides]
             numbers, texts = (batch.column(c).to_pylist() for c in ("number", "text"))
+            held, rows = [], 0
             for row, (number, text) in enumerate(zip(numbers, texts, strict=True)):
                 key, centre, left, right = (f[ends[row] : ends[row + 1]] for f in fields)
                 hashes = passage_hashes(text, known)
@@ -325,8 +328,18 @@ def _again(texts: DataFrame, unmet: DataFrame, least: int) -> DataFrame:
                     np.concatenate([np.zeros(n, np.int64), np.tile(left, BANDS)]),
                     np.concatenate([np.zeros(n, np.int64), np.tile(right, BANDS)]),
                 ]
-                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                held.append(columns)
+                rows += n + m
+                if rows >= HANDED_ON:
+                    yield handed_on(held)
+                    held, rows = [], 0
+            if held:
+                yield handed_on(held)
+
+    def handed_on(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = map(np.concatenate, zip(*held, strict=True))
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names)
 
     return (
         texts.join(wanted, "number")
@@ -338,8 +351,8 @@ def _again(texts: DataFrame, unmet: DataFrame, least: int) -> DataFrame:
 def _exact_passages(stretches: DataFrame, least: int) -> DataFrame:
     """Passages of stretches that share both hashes; each is told from the smallest document's.
 
-    Counts per key are combined before the shuffle, and a key that many documents share
-    is split by the skew join.
+    Counts per key are combined before the shuffle, and heads are stored, so that the join
+    has a shuffle of its own, in which a key that many documents share is split.
     """
     rows = stretches.select("key", "proof", "number", F.col("centre").alias("start"))
     heads = (
@@ -348,6 +361,7 @@ def _exact_passages(stretches: DataFrame, least: int) -> DataFrame:
         .filter("head.number <> most")
         .select("key", "proof", "head")
     )
+    heads = settle(heads, "heads")
     met = rows.join(heads, ["key", "proof"]).filter(F.col("number") != F.col("head.number"))
     told = met.select(
         "number", "start", F.col("head.number").alias("first"), (F.col("start") - F.col("head.start")).alias("shift")
