@@ -172,3 +172,33 @@ def test_whole_run_from_matrix_to_evaluation(spark, labelled, monkeypatch):
     table = evaluate_all(test, path).collect()
     # the tail starts inside the last-but-one division, which training knows
     assert {(r["hazard"], r["horizon"]) for r in table} >= {("flood", 1), ("landslide", 3)}
+
+
+def test_batches_give_the_classes_of_transform(spark, prepared):
+    """Trees of all sizes that fit a word, in batches, with missing inputs; none walks them row by row."""
+    for params in (forecast.TreeParams(trees=9, depth=3), forecast.TreeParams(trees=30, depth=6)):
+        model = forecast.fit_hazard(prepared, None, params)
+        asked = forecast.predict(prepared, model)
+        assert "Arrow" in asked._jdf.queryExecution().executedPlan().toString()
+        walked = model.transform(prepared).select(
+            *asked.columns[:-3], *[F.col(p).cast("int").alias(p) for p in PREDICTIONS]
+        )
+        assert asked.exceptAll(walked).isEmpty() and asked.count() == prepared.count()
+
+
+def test_labels_of_all_hazards_share_one_shuffle(spark, labelled):
+    """Rows of two labels prepared together are those of each alone, moved once."""
+    both = labelled.withColumn("drought_severity", F.when(F.col("rain_sum") > 5, "Severe").otherwise("Normal"))
+    rows = forecast.horizon_rows(both, ["flood_severity", "drought_severity"])
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    encoder = fit_division_encoder(both)
+    for label in ("flood_severity", "drought_severity"):
+        alone = forecast.prepare_horizon(both, label, encoder)[0]
+        together = forecast.encode_horizon(rows, label, encoder)
+        assert alone.exceptAll(together).isEmpty() and together.exceptAll(alone).isEmpty()
+
+
+def test_models_that_differ_are_told(spark, prepared):
+    models = [forecast.fit_hazard(prepared, None, forecast.TreeParams(trees=5, depth=d)) for d in (2, 5)]
+    one, two = (forecast.predict(prepared, m).select("division", "date", *PREDICTIONS) for m in models)
+    assert risk_queries._moved(prepared, *models).count() == one.exceptAll(two).count() > 0
