@@ -4,6 +4,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydrorisk.operators import splits
@@ -95,3 +96,26 @@ def test_folds_of_rows_without_a_class_are_even(spark):
     for kind in (None, 1):
         own = [r["count"] for r in sizes if r["c"] == kind]
         assert len(own) == 3 and max(own) - min(own) <= 1
+
+
+def test_folds_move_the_rows_once(spark):
+    """Ranks and block sizes meet without a second shuffle of the rows; NULL classes keep their folds."""
+    df = spark.range(500).select(
+        F.col("id").cast("string").alias("division"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("c"),
+        F.rand(1).alias("wide"),
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = splits.stratified_folds(df, "c", 3)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hash") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert dealt.count() == 500
+    digest = F.md5(F.concat_ws("|", "division", "date", F.lit("42")))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(digest, "division", "date"))
+    plain = df.withColumn("fold", ((place - 1) % 3).cast("int"))
+    assert plain.exceptAll(dealt).isEmpty()
