@@ -52,19 +52,19 @@ class FeatureStore:
         self.schema = T.StructType([*self._panel.fields, *windows])
         self._counts = T.StructType([T.StructField(DIVISION, T.StringType()), T.StructField("rows", T.LongType())])
 
-    def _read(self, table: str, schema: T.StructType, years: Iterable[int] | None = None) -> DataFrame:
-        """Rows of some years, or all, with ``year``; only the folders of these years are read."""
+    def _listed(self, years: Iterable[int] | None = None) -> list[tuple[str, str]]:
+        """Attempt and year of the stored years, or of those among ``years``."""
         listed = current_commits(self.spark, self.path, TASK).select("batch", "attempt").collect()
         wanted = None if years is None else set(years)
+        return [(r["attempt"], r["batch"]) for r in listed if wanted is None or int(r["batch"]) in wanted]
+
+    def _read(self, table: str, schema: T.StructType, years: Iterable[int] | None = None) -> DataFrame:
+        """Rows of some years, or all, with ``year``; only the folders of these years are read."""
         root = f"{self.path}/{table}"
-        folders = [
-            f"{root}/attempt={row['attempt']}/year={row['batch']}"
-            for row in listed
-            if wanted is None or int(row["batch"]) in wanted
-        ]
+        folders = [f"{root}/attempt={attempt}/year={year}" for attempt, year in self._listed(years)]
         full = T.StructType([*schema.fields, _YEAR, _ATTEMPT])
         if not folders:
-            return self.spark.createDataFrame([], full).drop("attempt")
+            return self.spark.createDataFrame([], full).drop("attempt").filter(F.lit(False))
         reader = self.spark.read.schema(full).option("basePath", root)
         return reader.parquet(*sorted(folders)).drop("attempt")
 
@@ -84,25 +84,26 @@ class FeatureStore:
         """
         own = [*self._panel.fieldNames()]
         fresh = settle(batch.select(*own).withColumn("year", F.year(DATE)), "batch")
-        if not fresh.filter(F.col("year").isNull()).isEmpty():
-            raise ValueError("rows without a day have no place in the table")
         changed = self._years_of(fresh)
+        if None in changed:
+            raise ValueError("rows without a day have no place in the table")
         if not changed:
             return []
-        kept = self._unlike(self._read(TABLE, self._panel, changed), fresh)
-        merged = settle(kept.unionByName(fresh), "merged")
-        needed = self._needed_years(fresh, merged, changed)
+        marked = fresh.withColumn("_changed", F.lit(1))
+        if self._listed(changed):
+            kept = self._unlike(self._read(TABLE, self._panel, changed), fresh)
+            marked = settle(kept.withColumn("_changed", F.lit(None).cast("int")).unionByName(marked), "merged")
+        needed = self._needed_years(fresh, marked, changed)
         others = self._read(TABLE, self._panel, set(needed) - set(changed))
-        rows = self._alike(merged.unionByName(others), fresh.select(DIVISION).distinct(), [DIVISION])
-        marks = fresh.select(*KEY).withColumn("_changed", F.lit(1))
-        affected = settle(self._windows(self._marked(rows, marks)), "affected")
-        written = self._years_of(affected)
-        rest = self._unlike(self._read(TABLE, self.schema, written), affected)
-        self._write(rest.unionByName(affected.select(*rest.columns)), written)
-        return written
+        rows = marked.unionByName(others.withColumn("_changed", F.lit(None).cast("int")))
+        if self._listed(needed):
+            touched = settle(fresh.select(DIVISION).distinct(), "touched")
+            rows = self._alike(rows, touched, [DIVISION])
+        return self._replace(self._windows(rows))
 
     def _years_of(self, rows: DataFrame) -> list[int]:
-        return sorted(r["year"] for r in rows.select("year").distinct().collect())
+        years = [r["year"] for r in rows.select("year").distinct().collect()]
+        return sorted(years, key=lambda y: (y is not None, y))
 
     def _same(self, keys: list[str]):
         same = F.lit(True)
@@ -116,9 +117,6 @@ class FeatureStore:
     def _alike(self, rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
         return rows.alias("l").join(others.alias("r"), self._same(keys), "left_semi")
 
-    def _marked(self, rows: DataFrame, marks: DataFrame) -> DataFrame:
-        return rows.alias("l").join(marks.alias("r"), self._same(KEY), "left").select("l.*", "_changed")
-
     def _needed_years(self, fresh: DataFrame, merged: DataFrame, changed: list[int]) -> list[int]:
         """Years that hold a changed row, or one of the ``REACH`` rows before or after it."""
         stored = self._read(COUNTS, self._counts).filter(~F.col("year").isin(changed))
@@ -148,14 +146,26 @@ class FeatureStore:
         done = over_rows(marked, antecedent_rain, *stages, reached, back=REACH).filter("_near = 1")
         return done.select(*self.schema.fieldNames(), "year")
 
-    def _write(self, rows: DataFrame, years: list[int]) -> None:
+    def _replace(self, affected: DataFrame) -> list[int]:
+        """Write the affected rows, then the other rows of their years beside them, and commit these years."""
         attempt = uuid.uuid4().hex
-        spread = rows.hint("rebalance", F.col("year"))
-        spread.write.partitionBy("year").parquet(f"{self.path}/{TABLE}/attempt={attempt}")
+        folder = f"{self.path}/{TABLE}/attempt={attempt}"
+        self._write(affected, folder)
         full = T.StructType([*self.schema.fields, _YEAR])
-        written = self.spark.read.schema(full).parquet(f"{self.path}/{TABLE}/attempt={attempt}")
+        written = self.spark.read.schema(full).parquet(folder)
+        years = self._years_of(written)
+        if not years:
+            return []
+        if self._listed(years):
+            self._write(self._unlike(self._read(TABLE, self.schema, years), written), folder)
+            written = self.spark.read.schema(full).parquet(folder)
         counts = written.groupBy(DIVISION, "year").agg(F.count(F.lit(1)).alias("rows"))
         counts.hint("rebalance", F.col("year")).write.partitionBy("year").parquet(
             f"{self.path}/{COUNTS}/attempt={attempt}"
         )
         commit(self.spark, self.path, TASK, [str(y) for y in years], attempt)
+        return years
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        spread = rows.hint("rebalance", F.col("year"))
+        spread.write.mode("append").partitionBy("year").option("compression", "zstd").parquet(folder)

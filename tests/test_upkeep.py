@@ -104,3 +104,13 @@ def test_empty_batches_and_days_that_are_missing(spark):
     one = spark.createDataFrame([(datetime.date(2000, 1, 1), "A", None)], SCHEMA)
     assert store.update(one) == [2000] and store.update(one) == [2000]
     assert [tuple(r) for r in store.features().collect()] == [(datetime.date(2000, 1, 1), "A", *[None] * 7)]
+
+
+def test_rows_of_a_first_batch_are_written_twice(spark, long_panel, monkeypatch):
+    """The batch and the table are all that is stored, no copy in between; no row is lost or told twice."""
+    staged = []
+    monkeypatch.setattr(upkeep, "settle", lambda df, name="stage": (staged.append(name), settle(df, name))[1])
+    store = FeatureStore(spark, shared_path(spark, "t-copies"), [RAIN])
+    store.update(long_panel)
+    assert staged == ["batch"]
+    same(store.features(), full_rebuild(long_panel))
