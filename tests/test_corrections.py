@@ -107,3 +107,14 @@ def test_unchanged_repeats_give_nothing(spark):
     output = run(spark, path, out)
     assert output.count() == 11 and newest_versions(output).count() == 11
     assert {r["kind"] for r in output.collect()} == {"new"}
+
+
+def test_sums_of_all_rows_at_once():
+    """Every row's sums in one pass, as of each frame by itself."""
+    rng = np.random.default_rng(3)
+    rain = np.where(rng.random(300) < 0.4, np.nan, rng.gamma(0.8, 12.0, 300))
+    for rows in (3, 7):
+        frames = [rain[max(0, i - rows + 1) : i + 1] for i in range(len(rain))]
+        alone = [np.nan if np.isnan(f).all() else np.nansum(f) for f in frames]
+        np.testing.assert_array_equal(corrections._sums(rain, rows), alone)
+    assert len(corrections._sums(rain[:0], 3)) == 0 and corrections._sums(rain[:2], 7).shape == (2,)
