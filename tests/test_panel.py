@@ -201,3 +201,21 @@ def test_a_repeated_key_is_an_error(spark):
     with pytest.raises(Exception, match="repeated key"):
         ops.assemble_unique_panel(one, two).collect()
     assert ops.assemble_unique_panel(two, two.withColumnRenamed("y", "z")).count() == 1
+
+
+def test_station_lines_move_once(spark, tmp_path):
+    """Lines put together by division give the same panel, and windows on it need no shuffle of their own."""
+    from hydrorisk.operators.windows import antecedent_rain, over_rows
+    from hydrorisk.plans.stand_ins import station_panel
+
+    lines = spark.range(400).selectExpr(
+        "if(id % 50 = 0, null, id % 7) AS l_suppkey",
+        "timestamp_ntz'1999-01-01' + make_dt_interval(cast(id % 60 as int)) AS l_shipdate",
+        "if(id % 3 = 0, 'R', 'N') AS l_returnflag",
+        *[f"cast(id % {n} as double) / 4 AS {c}" for n, c in ((11, "l_extendedprice"), (13, "l_quantity"), (5, "l_discount"), (3, "l_tax"))],
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    apart, together = station_panel(spark, str(tmp_path)), station_panel(spark, str(tmp_path), together=True)
+    assert apart.exceptAll(together).isEmpty() and together.exceptAll(apart).isEmpty()
+    windows = over_rows(together, antecedent_rain, back=6)
+    assert windows._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
