@@ -28,9 +28,14 @@ from hydrorisk.session import settle
 
 # Split rule of the word tokenizer, after lower-casing: fixed by its file format.
 WORD_LEVEL = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
+    rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTERS}{NUMBERS}]+"
 )
 
+# Bytes without a sign of their own, in the signs that byte-level files write them as.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = (b for b in range(0x100) if b not in _SHOWN)
+BYTE_SIGNS = {b: chr(0x100 + n) for n, b in enumerate(_HIDDEN)}
+
 # Distinct words that a worker remembers from task to task; beyond it the memory is emptied.
 MEMORY = 600_000
 # Parts in which the pieces of one length are ranked.
@@ -40,12 +45,13 @@ BLOCKS = 1024
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, word by word from a memory.
 
-    The library encodes each distinct word once. Texts with characters that pattern
-    engines may class differently go to it whole.
+    The library's model encodes each distinct word once. Texts with characters that pattern
+    engines may class differently go to the library whole.
     """
 
     def __init__(self, file: str, memory: int = MEMORY):
         self.tokenizer = load_tokenizer(file)
+        self.model = self.tokenizer.model
         self.added = list(added_tokens(self.tokenizer))
         self.words: dict[str, bytes] = {}
         self.memory = memory
@@ -58,26 +64,26 @@ class WordIds:
     def learn(self, words: Iterable[str]) -> None:
         """Know every one of ``words``; the memory is emptied first if it has grown too large.
 
-        White space only separates words for this tokenizer, so new words are encoded as
-        one text and cut where the word number changes.
+        Split words in lower case need nothing of the library but its model, to which they go
+        by the signs of their bytes.
         """
         if len(self.words) > self.memory:
             self.words.clear()
-        new = list({w for w in words if w not in self.words})
+        new = list(set(words).difference(self.words))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            data = np.asarray(encoded.ids, "<u4").tobytes()
-            owner = np.asarray(encoded.word_ids)
-            cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
-            self.words.update(
-                zip(part, (data[4 * a : 4 * b] for a, b in pairwise(cuts)), strict=True)
-            )
+            signs = [
+                w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_SIGNS) for w in part
+            ]
+            pieces = [self.model.tokenize(word) for word in signs]
+            data = np.asarray([p.id for word in pieces for p in word], "<u4").tobytes()
+            cuts = [0, *np.cumsum([4 * len(word) for word in pieces]).tolist()]
+            self.words.update(zip(part, (data[a:b] for a, b in pairwise(cuts)), strict=True))
 
     def of(self, texts: Iterable[str]) -> Iterator[bytes]:
         for portion in portions(texts):
             split = [self.split(text) for text in portion]
-            self.learn(w for words in split if words for w in words)
+            self.learn(set().union(*[words for words in split if words]))
             known = self.words
             for text, words in zip(portion, split, strict=True):
                 if words is not None:

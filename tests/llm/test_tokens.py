@@ -39,6 +39,14 @@ def test_word_ids_equal_the_library(memory):
     assert got == want
 
 
+def test_words_are_asked_of_the_model_alone(monkeypatch):
+    text = "Don't caf\xe9 \xc9\xd8\u0161\u0233 12\xbd \u2013 \u201cx\u201d \xa1\xab!? \xb5"
+    want = WordIds("word_bpe_49k.json").tokenizer.encode(text, add_special_tokens=False).ids
+    words = WordIds("word_bpe_49k.json")
+    monkeypatch.setattr(words, "tokenizer", None)
+    assert [np.frombuffer(b, "<u4").tolist() for b in words.of([text, "", text])] == [want, [], want]
+
+
 def test_token_counts_of_odd_rows(make_docs, odd_rows):
     rows = odd_rows + [(50 + i, t) for i, t in enumerate(random_texts(50))]
     docs = make_docs(rows).withColumns({"id": F.lit("x"), "n_tokens": F.lit("y")})
