@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydrorisk.operators import forecast, metrics
 from hydrorisk.operators.panel import balanced_weights, fit_division_encoder
+from hydrorisk.operators.splits import split_fraction
 from hydrorisk.plans import risk_queries
 from hydrorisk.plans.hazards import evaluate_all, labelled_sets, train_all
 from hydrorisk.schemas import FEATURES, PREDICTIONS, SEVERITIES, SOIL, TARGETS
@@ -155,6 +156,20 @@ def test_tuning_picks_the_best_candidate(prepared):
     assert all(0 <= s <= 1 for _, s in scores)
 
 
+def test_settings_are_scored_together(spark, prepared, monkeypatch):
+    """The hold-out passes Python once for all settings; trees too large for that are walked by Spark."""
+    calls, ask = [], forecast.forest_classes
+    monkeypatch.setattr(forecast, "forest_classes", lambda *args: (calls.append(args), ask(*args))[1])
+    candidates = [forecast.TreeParams(trees=3, depth=d) for d in (1, 3, 12)]
+    _, scores = forecast.tune_hazard(prepared, candidates=candidates)
+    assert len(calls) == 1 and len(calls[0][2]) in (6, 9)
+    fitting, holdout = split_fraction(prepared, 0.8)
+    weights = settle(balanced_weights(prepared, TARGETS[0]))
+    for params, score in scores:
+        predicted = forecast.predict(holdout, forecast.fit_hazard(fitting, weights, params))
+        assert score == metrics.exact_match(predicted).first()["exact_match"]
+
+
 def test_cross_validation(prepared):
     row = forecast.cross_validate_day1(prepared, SMALL).first()
     assert 0.5 < row["accuracy"] <= 1
