@@ -16,7 +16,8 @@ from hydrorisk.session import settle, shared_path, staging
 SHINGLE = 5
 GRID = 64
 NO_ID = -(1 << 63)
-MEMORY = 500_000
+# Bytes of text, or of pieces of it, that a task works on at once.
+TOGETHER = 1 << 20
 # Bands of two further min-hashes each under which windows meet again, and how far from its
 # centre a window is looked at for them.
 BANDS = 4
@@ -30,52 +31,154 @@ PASSAGE = (
 # Rows of a batch, about, that a task hands on at once.
 HANDED_ON = 100_000
 TIES = np.uint64(~((1 << 20) - 1) & (1 << 64) - 1)
+XXH64 = np.array(
+    [
+        0x9E3779B185EBCA87,
+        0xC2B2AE3D27D4EB4F,
+        0x165667B19E3779F9,
+        0x85EBCA77C2B2AE63,
+        0x27D4EB2F165667C5,
+    ],
+    np.uint64,
+)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-class WordHashes(dict):
-    """XXH64 of each distinct word, computed once while the memory lasts."""
+def _groups(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of rows that hold about ``TOGETHER`` bytes, or of one larger row."""
+    marks = np.flatnonzero(np.diff((ends - ends[0]) // TOGETHER))
+    edges = np.unique(np.concatenate([[0], marks, [len(ends) - 1]])).tolist()
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
+def _ranges(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from each low up to its high, one range after the other, and where each begins."""
+    starts = np.concatenate([[0], np.cumsum(np.maximum(highs - lows, 0))])
+    return np.arange(starts[-1]) + np.repeat(lows - starts[:-1], np.diff(starts)), starts
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text or binary column, and where each row's begin, with the end last."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8), ends
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+def _rotated(values: np.ndarray, bits: int) -> np.ndarray:
+    return values << np.uint64(bits) | values >> np.uint64(64 - bits)
 
-def passage_hashes(text: str, known: WordHashes) -> np.ndarray:
-    """A 64-bit hash of each ``SHINGLE``-word shingle, rolled over the words' hashes."""
-    if len(known) > MEMORY:
-        known.clear()
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of each word ``data[start:end]``, of all words in step."""
+    raw = np.frombuffer(data + bytes(8), np.uint8)
+    eights, fours = (
+        np.ndarray(len(data) + 1, kind, raw, strides=(1,)) for kind in (np.uint64, np.uint32)
+    )
+    length = ends - starts
+    hashes = XXH64[4] + length.astype(np.uint64)
+    for at in range(0, 24, 8):
+        some = np.flatnonzero(length >= at + 8)
+        lane = _rotated(eights[starts[some] + at] * XXH64[1], 31) * XXH64[0]
+        hashes[some] = _rotated(hashes[some] ^ lane, 27) * XXH64[0] + XXH64[3]
+    at = starts + length // 8 * 8
+    some = np.flatnonzero(length % 8 >= 4)
+    lane = fours[at[some]].astype(np.uint64) * XXH64[0]
+    hashes[some] = _rotated(hashes[some] ^ lane, 23) * XXH64[1] + XXH64[2]
+    at[some] += 4
+    for byte in range(3):
+        some = np.flatnonzero(length % 4 > byte)
+        lane = raw[at[some] + byte] * XXH64[4]
+        hashes[some] = _rotated(hashes[some] ^ lane, 11) * XXH64[0]
+    for shift, factor in ((33, XXH64[1]), (29, XXH64[2])):
+        hashes = (hashes ^ hashes >> np.uint64(shift)) * factor
+    hashes ^= hashes >> np.uint64(32)
+    for i in np.flatnonzero(length >= 32).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return hashes
+
+
+def shingle_hashes(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's ``SHINGLE``-word shingles, and where those of each text begin.
+
+    Texts lie in ``data`` one after the other, from each end to the next; their shingles do
+    likewise, with the end last. A shingle is rolled over the hashes of its words.
+    """
+    data = data.lower()
+    raw = np.frombuffer(data, np.uint8)
+    # One more byte on each side is no word's.
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
+    before, after = inside[:-2].copy(), inside[2:].copy()
+    before[ends[:-1][ends[:-1] < len(raw)]] = False
+    after[ends[1:][ends[1:] > 0] - 1] = False
+    starts = np.flatnonzero(inside[1:-1] & ~before)
+    hashes = word_hashes(data, starts, np.flatnonzero(inside[1:-1] & ~after) + 1)
+    words = np.searchsorted(starts, ends)
+    n = max(0, len(hashes) - SHINGLE + 1)
     rolled = np.zeros(n, np.uint64)
     for at in range(SHINGLE):
         rolled = rolled * FACTORS[0] + hashes[at : at + n]
         rolled ^= rolled >> np.uint64(29)
-    return rolled * FACTORS[1]
+    own, begins = _ranges(words[:-1], words[1:] - SHINGLE + 1)
+    return rolled[own] * FACTORS[1], begins
+
+
+def _shingled(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, shingles, where each row's begin) of rows read together."""
+    data, ends = _buffers(texts)
+    for first, last in _groups(ends):
+        own = ends[first : last + 1]
+        yield first, last, *shingle_hashes(data[own[0] : own[-1]].tobytes(), own - own[0])
 
 
-def compact_windows(values: np.ndarray, least: int) -> np.ndarray:
+def _over_stretches(function: np.ufunc, values: np.ndarray, length: int) -> np.ndarray:
+    """The least or greatest of each ``length`` values in a row, by doubling."""
+    reach = 1
+    while 2 * reach <= length:
+        values = function(values[:-reach], values[reach:])
+        reach *= 2
+    rest = length - reach
+    return function(values[:-rest], values[rest:]) if rest else values
+
+
+def compact_windows(
+    values: np.ndarray, least: int, starts: np.ndarray | None = None
+) -> np.ndarray:
     """Rows (left, centre, right): nodes of the Cartesian tree over at least ``least`` values.
 
     The centre holds the minimum of its node, so all stretches inside the node that hold
     the centre share that minimum; every stretch of ``least`` values or more belongs to
     exactly one node. Places break ties by a hash in the lowest bits, which keeps the
-    tree shallow for repetitive texts.
+    tree shallow for repetitive texts. With ``starts`` (the end last) the values are those of
+    several texts, each with its own tree.
+
+    Only values that are the minimum of some stretch of ``least`` are looked at one by one: a
+    node's next smaller value on either side is that of a larger node, so it is among them.
     """
-    place = np.arange(len(values), dtype=np.uint64) * FACTORS[2] >> np.uint64(44)
+    n = len(values)
+    if n < least:
+        return np.zeros((0, 3), np.int64)
+    starts = np.array([0, n]) if starts is None else starts
+    begin, end = (np.repeat(edge, np.diff(starts)) for edge in (starts[:-1], starts[1:]))
+    place = (np.arange(n) - begin).astype(np.uint64) * FACTORS[2] >> np.uint64(44)
     order = (values & TIES) | place
-    found, todo = [], [(0, len(values) - 1)]
-    while todo:
-        left, right = todo.pop()
-        if right - left + 1 < least:
-            continue
-        centre = left + int(order[left : right + 1].argmin())
-        found.append((left, centre, right))
-        todo += [(left, centre - 1), (centre + 1, right)]
-    return np.asarray(found, np.int64).reshape(-1, 3)
+    lowest = np.zeros(n + least - 1, np.uint64)
+    inside = np.arange(n - least + 1) + least <= end[: n - least + 1]
+    lowest[least - 1 : n] = np.where(inside, _over_stretches(np.minimum, order, least), 0)
+    centre = np.flatnonzero(_over_stretches(np.maximum, lowest, least) == order)
+    held = order[centre].tolist()
+    before, after, smaller = [-1] * len(held), [len(held)] * len(held), []
+    for i, value in enumerate(held):
+        while smaller and held[smaller[-1]] > value:
+            after[smaller.pop()] = i
+        if smaller:
+            before[i] = smaller[-1]
+        smaller.append(i)
+    edges = np.concatenate([centre, [n, -1]])
+    left = np.maximum(edges[before] + 1, begin[centre])
+    right = np.minimum(edges[after], end[centre]) - 1
+    return np.stack([left, centre, right], 1)[right - left + 1 >= least]
 
 
 def _mixed(values: np.ndarray, function: int) -> np.ndarray:
@@ -85,17 +188,20 @@ def _mixed(values: np.ndarray, function: int) -> np.ndarray:
     return mixed * FACTORS[2]
 
 
-def window_keys(hashes: np.ndarray, least: int, functions: int) -> np.ndarray:
+def window_keys(
+    hashes: np.ndarray, least: int, functions: int, starts: np.ndarray | None = None
+) -> np.ndarray:
     """Rows (key, centre, left, right) by which stretches sharing a min-hash meet;
     left and right tell how far the node reaches from its centre.
 
     A node is keyed by the shingle at its centre. Every stretch of ``least`` shingles lies in
     exactly one node of each function, with its minimum at the centre, so equal stretches
-    share a key of each, wherever they stand.
+    share a key of each, wherever they stand. With ``starts`` the hashes are those of several
+    texts.
     """
     rows = []
     for function in range(functions):
-        nodes = compact_windows(_mixed(hashes, function), least)
+        nodes = compact_windows(_mixed(hashes, function), least, starts)
         if len(nodes):
             left, centre, right = nodes.T
             keys = _mixed(hashes[centre], 10 + function)
@@ -106,18 +212,42 @@ def window_keys(hashes: np.ndarray, least: int, functions: int) -> np.ndarray:
 
 
 def alike_stretches(
-    own: np.ndarray, other: np.ndarray, least: int, similarity: float
+    own: np.ndarray,
+    other: np.ndarray,
+    least: int,
+    similarity: float,
+    own_starts: np.ndarray | None = None,
+    other_starts: np.ndarray | None = None,
 ) -> list[tuple[int, int, float]]:
     """(start, end, Jaccard) of maximal stretches of ``own`` whose shingles ``other`` holds.
 
     Runs of shared shingles are joined over gaps while the shared part stays above
-    2s / (1 + s), which for stretches of equal length is a Jaccard similarity of s.
+    2s / (1 + s), which for stretches of equal length is a Jaccard similarity of s. Shingles
+    are hashes of 32 bits. With starts (the end last) each row of ``own`` is compared with
+    its row of ``other``; what is told are places in the whole of ``own``.
     """
     share = 2 * similarity / (1 + similarity)
-    shared = np.isin(own, other)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], shared.view(np.int8), [0]])))
-    found: list[tuple[int, int, int]] = []
-    for start, end in edges.reshape(-1, 2).tolist():
+    own_starts = np.array([0, len(own)]) if own_starts is None else own_starts
+    other_starts = np.array([0, len(other)]) if other_starts is None else other_starts
+    rows = np.arange(len(own_starts) - 1)
+    row = np.repeat(rows, np.diff(own_starts))
+    mine = own.astype(np.uint64) | row.astype(np.uint64) << np.uint64(32)
+    row = np.repeat(rows, np.diff(other_starts)).astype(np.uint64)
+    theirs = np.sort(other.astype(np.uint64) | row << np.uint64(32))
+    if not len(mine) or not len(theirs):
+        return []
+    at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+    # A place that is not shared parts the rows.
+    gapped, gaps = np.arange(len(own)) + np.repeat(rows, np.diff(own_starts)), len(rows)
+    shared = np.zeros(len(own) + gaps + 1, np.int8)
+    shared[1 + gapped] = theirs[at] == mine
+    edges = np.flatnonzero(np.diff(shared)).reshape(-1, 2)
+    of = np.searchsorted(own_starts + np.arange(gaps + 1), edges[:, 0], "right") - 1
+    result, found, last = [], [], -1
+    for (start, end), row in zip((edges - of[:, None]).tolist(), of.tolist(), strict=True):
+        if row != last:
+            result += found
+            found, last = [], row
         run = (start, end, end - start)
         while found:
             first, _, inside = found[-1]
@@ -126,12 +256,11 @@ def alike_stretches(
             found.pop()
             run = (first, run[1], inside + run[2])
         found.append(run)
-    result = []
-    for start, end, inside in found:
-        if end - start >= least:
-            n = end - start
-            result.append((start, end, inside / (2 * n - inside)))
-    return result
+    return [
+        (start, end, inside / (2 * (end - start) - inside))
+        for start, end, inside in result + found
+        if end - start >= least
+    ]
 
 
 def _number(id_col: str, kind: str) -> Column:
@@ -145,19 +274,21 @@ def _windows(texts: DataFrame, least: int, functions: int) -> DataFrame:
     """(number, key, centre, left, right): all windows of all texts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            numbers = batch.column("number").to_pylist()
-            held = [np.zeros((0, 5), np.int64)]
-            for number, text in zip(numbers, batch.column("text").to_pylist(), strict=True):
-                rows = window_keys(passage_hashes(text, known), least, functions)
-                held.append(np.column_stack([np.full(len(rows), number, np.int64), rows]))
-            rows = np.concatenate(held)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[:, i], kind) for i, kind in enumerate(kinds)],
-                ["number", "key", "centre", "left", "right"],
-            )
+            numbers = batch.column("number").to_numpy()
+            for first, _, hashes, starts in _shingled(batch.column("text")):
+                key, centre, left, right = window_keys(hashes, least, functions, starts).T
+                of = np.searchsorted(starts, centre, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(numbers[first + of], pa.int64()),
+                        pa.array(key, pa.int64()),
+                        pa.array(centre - starts[of], pa.int32()),
+                        pa.array(left, pa.int32()),
+                        pa.array(right, pa.int32()),
+                    ],
+                    ["number", "key", "centre", "left", "right"],
+                )
 
     return texts.mapInArrow(cut, "number bigint, key bigint, centre int, left int, right int")
 
@@ -263,27 +394,32 @@ def stretch_hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> list[
     return found
 
 
-def _stretch_starts(centre: np.ndarray, left: np.ndarray, right: np.ndarray, shingles: int, least: int) -> np.ndarray:
+def _stretch_starts(
+    centre: np.ndarray, left: np.ndarray, right: np.ndarray, shingles: int, least: int
+) -> np.ndarray:
     """Starts of all stretches of ``least`` shingles that hold a window's centre and lie inside it."""
     first = np.maximum(centre - left, centre - least + 1)
     last = np.minimum(centre, centre + right - least + 1)
-    edges = np.zeros(shingles + 2, np.int64)
-    np.add.at(edges, first, 1)
-    np.add.at(edges, last + 1, -1)
-    return np.flatnonzero(np.cumsum(edges)[: max(0, shingles - least + 1)])
+    edges = np.bincount(first, minlength=shingles + 1) - np.bincount(last + 1, minlength=shingles + 1)
+    return np.flatnonzero(np.cumsum(edges))
+
 
+def finer_keys(
+    hashes: np.ndarray, keys: np.ndarray, centres: np.ndarray, begin: np.ndarray, end: np.ndarray
+) -> np.ndarray:
+    """Per band, the windows' keys joined with two further min-hashes around their centres.
 
-def finer_keys(hashes: np.ndarray, keys: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Per band, the windows' keys joined with two further min-hashes around their centres."""
-    padded = np.pad(hashes, AROUND, mode="edge")
+    ``begin`` and ``end`` bound the text that each window is of.
+    """
+    around = centres[:, None] + np.arange(-AROUND, AROUND + 1)
+    around = np.clip(around, begin[:, None], end[:, None] - 1)
     found = []
     with np.errstate(over="ignore"):
         for band in range(BANDS):
             joined = keys.view(np.uint64)
             for i in (0, 1):
-                mixed = _mixed(padded, 20 + 2 * band + i)
-                around = np.lib.stride_tricks.sliding_window_view(mixed, 2 * AROUND + 1)
-                joined = joined ^ (around[centres].min(axis=1) * FACTORS[i])
+                mixed = _mixed(hashes, 20 + 2 * band + i)
+                joined = joined ^ (mixed[around].min(axis=1) * FACTORS[i])
             found.append(_mixed(joined, 40 + band).view(np.int64))
     return np.stack(found)
 
@@ -304,42 +440,35 @@ def _again(texts: DataFrame, unmet: DataFrame, least: int) -> DataFrame:
     kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             windows = batch.column("windows")
             ends = windows.offsets.to_numpy()
             flat = windows.values
             fields = [flat.field(side).to_numpy().astype(np.int64) for side in sides]
-            numbers, texts = (batch.column(c).to_pylist() for c in ("number", "text"))
-            held, rows = [], 0
-            for row, (number, text) in enumerate(zip(numbers, texts, strict=True)):
-                key, centre, left, right = (f[ends[row] : ends[row + 1]] for f in fields)
-                hashes = passage_hashes(text, known)
-                starts = _stretch_starts(centre, left, right, len(hashes), least)
+            numbers = batch.column("number").to_numpy()
+            for low, high, hashes, begins in _shingled(batch.column("text")):
+                key, centre, left, right = (f[ends[low] : ends[high]] for f in fields)
+                of = np.repeat(np.arange(high - low), np.diff(ends[low : high + 1]))
+                # Of rows that share an id, a text may be too short for another's windows.
+                fits = begins[of] + centre + right < begins[of + 1]
+                key, centre, left, right, of = (f[fits] for f in (key, centre, left, right, of))
+                begin, end = begins[of], begins[of + 1]
+                starts = _stretch_starts(begin + centre, left, right, len(hashes), least)
                 stretches, proofs = stretch_hashes(hashes, starts, least)
-                finer = finer_keys(hashes, key, centre).ravel()
+                finer = finer_keys(hashes, key, begin + centre, begin, end).ravel()
+                held = np.searchsorted(begins, starts, "right") - 1
                 n, m = len(starts), len(finer)
                 columns = [
                     np.arange(n + m) < n,
                     np.concatenate([stretches, finer]),
                     np.concatenate([proofs, np.zeros(m, np.int64)]),
-                    np.full(n + m, number),
-                    np.concatenate([starts, np.tile(centre, BANDS)]),
+                    numbers[low + np.concatenate([held, np.tile(of, BANDS)])],
+                    np.concatenate([starts - begins[held], np.tile(centre, BANDS)]),
                     np.concatenate([np.zeros(n, np.int64), np.tile(left, BANDS)]),
                     np.concatenate([np.zeros(n, np.int64), np.tile(right, BANDS)]),
                 ]
-                held.append(columns)
-                rows += n + m
-                if rows >= HANDED_ON:
-                    yield handed_on(held)
-                    held, rows = [], 0
-            if held:
-                yield handed_on(held)
-
-    def handed_on(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = map(np.concatenate, zip(*held, strict=True))
-        arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names)
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                yield from pa.table(arrays, names).to_batches(HANDED_ON)
 
     return (
         texts.join(wanted, "number")
@@ -382,15 +511,6 @@ def _exact_passages(stretches: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _passage_table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
-    names = ["number", "start", "length", "first", "first_start", "similarity", "shift"]
-    return pa.table(
-        {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)}
-    )
-
-
 def _pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """(number, low, high, hashes): shingle hashes of the asked stretches, each text read once."""
     wanted = (
@@ -400,24 +520,38 @@ def _pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            for number, text, stretches in zip(
-                *(batch.column(c).to_pylist() for c in ("number", "text", "stretches")), strict=True
-            ):
-                hashes = (passage_hashes(text, known) >> np.uint64(32)).astype(np.uint32)
-                lows = [s["low"] for s in stretches]
-                highs = [s["high"] for s in stretches]
-                parts = [hashes[a:b].tobytes() for a, b in zip(lows, highs, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number] * len(lows), pa.int64()),
-                        pa.array(lows, pa.int32()),
-                        pa.array(highs, pa.int32()),
-                        pa.array(parts, pa.binary()),
-                    ],
-                    ["number", "low", "high", "hashes"],
-                )
+            stretches = batch.column("stretches")
+            ends = stretches.offsets.to_numpy()
+            fields = [stretches.values.field(side).to_numpy() for side in ("low", "high")]
+            numbers = batch.column("number").to_numpy()
+            for first, last, hashes, begins in _shingled(batch.column("text")):
+                hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+                low, high = (f[ends[first] : ends[last]] for f in fields)
+                of = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+                begin, end = begins[of], begins[of + 1]
+                own = np.minimum(begin + low, end), np.minimum(begin + high, end)
+                sizes = np.cumsum(np.maximum(own[1] - own[0], 0)) * hashes.itemsize
+                for a, b in _groups(np.concatenate([[0], sizes])):
+                    places, starts = _ranges(own[0][a:b], own[1][a:b])
+                    parts = pa.Array.from_buffers(
+                        pa.large_binary(),
+                        b - a,
+                        [
+                            None,
+                            pa.py_buffer(starts * hashes.itemsize),
+                            pa.py_buffer(hashes[places]),
+                        ],
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(numbers[first + of[a:b]], pa.int64()),
+                            pa.array(low[a:b], pa.int32()),
+                            pa.array(high[a:b], pa.int32()),
+                            parts.cast(pa.binary()),
+                        ],
+                        ["number", "low", "high", "hashes"],
+                    )
 
     return (
         texts.join(wanted, "number")
@@ -453,21 +587,47 @@ def _verified(texts: DataFrame, met: DataFrame, least: int, similarity: float) -
     asked = found.select("number", "own_low", "own_high").union(
         found.select("first", "first_low", "first_high")
     )
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                low, shift = row["low"], row["shift"]
-                mine = np.frombuffer(row["own"], np.uint32)
-                mine = mine[low - row["own_low"] : row["high"] - row["own_low"]]
-                theirs = np.frombuffer(row["other"], np.uint32)
-                for start, end, jaccard in alike_stretches(mine, theirs, least, similarity):
-                    at = low + start
-                    length = end - start + SHINGLE - 1
-                    rows.append(
-                        (row["number"], at, length, row["first"], max(0, at - shift), jaccard, shift)
-                    )
-            yield from _passage_table(rows).to_batches()
+            sides = ("number", "first", "shift", "low", "high", "own_low")
+            fields = [batch.column(c).to_numpy().astype(np.int64) for c in sides]
+            # Shingles are hashes of four bytes.
+            (own, own_ends), (other, other_ends) = (
+                (data.view(np.uint32), ends // 4)
+                for data, ends in map(_buffers, (batch.column("own"), batch.column("other")))
+            )
+            for a, b in _groups((own_ends + other_ends) * 4):
+                number, first, shift, low, high, own_low = (f[a:b] for f in fields)
+                mine, starts = _ranges(
+                    own_ends[a:b] + low - own_low,
+                    np.minimum(own_ends[a:b] + high - own_low, own_ends[a + 1 : b + 1]),
+                )
+                theirs = other_ends[a : b + 1]
+                found = alike_stretches(
+                    own[mine],
+                    other[theirs[0] : theirs[-1]],
+                    least,
+                    similarity,
+                    starts,
+                    theirs - theirs[0],
+                )
+                start, end, jaccard = np.array(found, np.float64).reshape(-1, 3).T
+                start, end = start.astype(np.int64), end.astype(np.int64)
+                of = np.searchsorted(starts, start, "right") - 1
+                at = low[of] + start - starts[of]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(number[of]),
+                        pa.array(at),
+                        pa.array(end - start + SHINGLE - 1),
+                        pa.array(first[of]),
+                        pa.array(np.maximum(at - shift[of], 0)),
+                        pa.array(jaccard),
+                        pa.array(shift[of]),
+                    ],
+                    [field.split()[0] for field in PASSAGE.split(", ")],
+                )
 
     columns = ["number", "first", "shift", "low", "high", "own_low", "own", "other"]
     spark, path = texts.sparkSession, shared_path(texts.sparkSession, "passages")
