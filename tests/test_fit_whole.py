@@ -27,3 +27,15 @@ def test_folds_are_fitted_on_all_rows_of_the_others(spark, prepared, monkeypatch
     counts = risk_queries.cross_validated_model(spark, "").collect()
     assert len(fitted) == 3 and sum(fitted) == 2 * rows
     assert sum(r["rows"] for r in counts) == rows
+
+
+def test_settings_are_fitted_on_all_rows_before_the_hold_out(spark, prepared, monkeypatch):  # noqa: F811
+    """Each of the five settings sees the first 80 % of the rows, no sample of them."""
+    rows, fitted, fit = prepared.count(), [], forecast.fit_hazard
+    monkeypatch.setattr(risk_queries, "FIT_ROWS", 100)
+    monkeypatch.setattr(risk_queries, "_prepared", lambda *_: prepared)
+    monkeypatch.setattr(forecast, "draw_params", lambda *_: SMALL)
+    monkeypatch.setattr(forecast, "fit_hazard", lambda df, *a: (fitted.append(df.count()), fit(df, *a))[1])
+    tried = risk_queries.tuned_model(spark, "").collect()
+    assert fitted == [int(0.8 * rows)] * 5
+    assert {r["holdout_rows"] for r in tried} == {rows - int(0.8 * rows)}
